@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, licenses, secrets, transducer
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -12,4 +12,16 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return found.drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination,)}
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark, sf_dir):
+    return transducer.encode(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op8_sentencepiece, op9_secret_scan)}
