@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets, transducer
+from . import decontaminate, licenses, secrets, transducer, webtext
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -24,4 +24,8 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op8_sentencepiece, op9_secret_scan)}
+def op10_html_extraction(spark, sf_dir):
+    return webtext.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
