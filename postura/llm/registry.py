@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets, transducer, webtext
+from . import decontaminate, fingerprints, licenses, secrets, transducer, webtext
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -16,6 +16,10 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return transducer.encode(table(spark, sf_dir, "documents"))
 
@@ -28,4 +32,4 @@ def op10_html_extraction(spark, sf_dir):
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op6_document_fingerprints, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
