@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs (DataFrame functions only).
 
-A text's paragraphs (lines, and sentences within lines) are hashed to digests. A sketch of
+A text's paragraphs are hashed to digests: its lines, and the runs of sentences into which
+a rule of local content cuts long lines, so that an edit changes the digests near it only. A sketch of
 m cells holds each digest in three cells, as a count, the exclusive or of the digests and
 that of their check values. Sketches of two versions subtract cell by cell, common
 paragraphs vanish, and peeling recovers the digests that differ: a cell with one digest
@@ -32,12 +33,15 @@ ROUNDS = 24
 #: Documents in a range of ids that is sorted together, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 2000, 16384
 
+#: Ends a paragraph: a line's end, or a sentence's where the letters on both sides are early ones.
+PARAGRAPH = r"\s*\n\s*|(?<=[a-lA-L][.!?])\s+(?=[A-MÀ-Ì])"
+
 CELL = "array<struct<cell:int,n:int,key:bigint,check:bigint>>"
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
-    parts = F.split(text, r"(?<=[.!?])\s+|\s*\n\s*")
+    parts = F.split(text, PARAGRAPH)
     return F.array_except(F.transform(parts, lambda p: F.xxhash64(p)), F.array(F.xxhash64(F.lit(""))))
 
 
@@ -108,14 +112,19 @@ def recovered(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
 
     a, b: the digests; a_cells, b_cells: their fingerprints of CELLS cells.
     """
-    result = lambda ok, m, p: F.struct(ok.alias("ok"), m.cast("int").alias("m"), p["more"].alias("more"), p["fewer"].alias("fewer"))
-    tried = lambda cells, m: let(peeled(cells, m), lambda p: result(F.size(p["cells"]) == 0, m, p))
     least = F.abs(F.size(a) - F.size(b))  # so many differ at least
-    # more differ than so many cells can tell apart if (nearly) all of them are in use
-    first = let(subtracted(a_cells, b_cells), lambda cells: tried(F.when(F.size(cells) < CELLS, cells).otherwise(F.slice(cells, 1, 1)), F.lit(CELLS)))
-    larger = lambda acc, m: F.when(acc["ok"] | (least > m), acc).otherwise(tried(merged(F.concat(placed(a, 1, m), placed(b, -1, m))), m))
+    nothing = F.expr("cast(array() as array<bigint>)")
+    start = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("m"), nothing.alias("more"), nothing.alias("fewer"))
+
+    def attempt(acc: Column, m: Column) -> Column:
+        cells = merged(F.when(m == CELLS, F.concat(a_cells, negated(b_cells))).otherwise(F.concat(placed(a, 1, m), placed(b, -1, m))))
+        # more differ than the cells can tell apart if all of them are in use
+        hopeful = let(cells, lambda c: F.when(F.size(c) < m, c).otherwise(F.slice(c, 1, 1)))
+        done = let(peeled(hopeful, m), lambda p: F.struct((F.size(p["cells"]) == 0).alias("ok"), m.alias("m"), p["more"].alias("more"), p["fewer"].alias("fewer")))
+        return F.when(acc["ok"] | (least > m), acc).otherwise(done)
+
     last = lambda acc: F.when(acc["ok"], acc).otherwise(F.struct(F.lit(True).alias("ok"), F.lit(0).alias("m"), F.array_except(a, b).alias("more"), F.array_except(b, a).alias("fewer")))
-    return F.aggregate(F.array(*map(F.lit, RETRIES)), first, larger, last)
+    return F.aggregate(F.array(*map(F.lit, (CELLS, *RETRIES))), start, attempt, last)
 
 
 def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
