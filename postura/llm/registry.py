@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, neardup, privacy, secrets, transducer, webtext
+from . import decontaminate, fingerprints, licenses, neardup, privacy, secrets, substrings, transducer, webtext
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -28,6 +28,10 @@ def op6_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return transducer.encode(table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op10_html_extraction(spark, sf_dir):
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op4_personal_data, op5_minhash_near_dedup, op6_document_fingerprints, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op4_personal_data, op5_minhash_near_dedup, op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
