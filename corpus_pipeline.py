@@ -1,7 +1,68 @@
-"""The corpus pipeline: a chain of training-data stages over documents."""
-STAGES = []
+"""The corpus pipeline: five training-data stages over documents, each written and read again.
+
+Every stage works on all that the one before kept. Documents without a recognisable
+language go; of near-duplicates the one with the least id stays (a row without an id is
+not named by any class and stays); contaminated documents go; secrets are blanked out in
+place; what is left is encoded.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from postura.llm import decontaminate, langid, neardup, secrets, transducer
+from postura.llm.common import shared_folder, table
+
+#: Least share of a text's words that has to be of its language.
+LEAST_SHARE = 0.4
+
+
+def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.predict(docs, langid.fitted(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti")
+
+
+def blank_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs.withColumn("before", F.col("text")))
+    length = F.when(F.col("text") != F.col("before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(docs.columns)
+
+
+def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return transducer.encode(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", blank_secrets),
+    ("sentencepiece", encode),
+]
+
+#: SQL can express neither the classifier, the signatures nor the transducer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -28,14 +28,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints and tables between stages.
 
-    spark.checkpoint.dir is set by the cluster; where it is unset (a laptop), a folder
-    under the session's warehouse is used, never a machine-local temporary folder.
+    spark.checkpoint.dir names it; where that is unset (a laptop), a folder under the
+    session's warehouse is used, never a machine-local temporary folder.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(where)
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, neardup, privacy, secrets, substrings, transducer, webtext
+from . import decontaminate, fingerprints, langid, licenses, neardup, privacy, secrets, substrings, transducer, webtext
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -12,6 +12,10 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return found.drop("n_near")
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,10 @@ def op10_html_extraction(spark, sf_dir):
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_license_scan, op4_personal_data, op5_minhash_near_dedup, op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_language_id, op3_license_scan, op4_personal_data, op5_minhash_near_dedup,
+        op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction,
+    )
+}
