@@ -38,6 +38,8 @@ from .common import durable, words
 K, BANDS, SHINGLE, ALIKE = 80, 20, 5, 0.8
 #: Coordinates that have to agree before texts are compared.
 SCREEN = K // 2
+#: Words of the bitmap of ids whose texts are wanted.
+MARKS = 1 << 19
 U = np.uint64
 #: Ends of the rank intervals in which darts are thrown: the first begins at 0.
 LEVELS = [4.0**j for j in range(-3, 9)]
@@ -215,6 +217,20 @@ def alike(x: Counter, y: Counter) -> bool:
     return max(sets, low / (x.total() + y.total() - low)) >= ALIKE
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with the given ids (column id), and of few others.
+
+    The ids are marked in a bitmap of MARKS words, a table of that many rows at most, which is
+    broadcast: most other texts go before anything is sent. With very many ids more pass,
+    and the joins that follow leave them out.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int"))
+    marks = ids.select(word("id").alias("word"), bit("id").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("word", word("doc_id"))
+    return rows.join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
+
+
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are alike; each text goes to the pairs by joining on its id."""
 
@@ -229,12 +245,13 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(alike(shingled(ta[i].as_py() or ""), seen))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: docs.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(f"t{c}"))
+    texts = among(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, class): the least rep of each node's connected component, by passing labels on and following them."""
+def components(links: DataFrame) -> DataFrame:
+    """(rep, class): the least rep of each linked node's connected component, by passing labels on and following them."""
     both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("rep"), "c"))
     while True:
@@ -245,37 +262,35 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         changed = new.where("now <> c").limit(1).count()
         labels = new.select("rep", F.col("now").alias("c"))
         if not changed:
-            break
-    return nodes.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("c", "rep").alias("class"))
+            return labels.select("rep", F.col("c").alias("class"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id."""
     every = durable(signed(docs))
     reps = every.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = durable(every.join(reps, ["s1", "s2"]).select("doc_id", "rep", "signature", "bands"))
-    nodes = named.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "signature", "bands")
-    nodes = durable(nodes)
+    nodes = durable(every.join(reps, ["s1", "s2"]).where("doc_id = rep").select("rep", "signature", "bands"))
     meets = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
     hubs = (
         meets.groupBy("band", "h")
         .agg(F.count("*").alias("n"), F.min("rep").alias("h1"), F.min(F.struct(F.xxhash64("rep"), "rep"))["rep"].alias("h2"))
         .where("n > 1").drop("n")
     )
-    crowded = meets.join(hubs, ["band", "h"])
+    crowded = durable(meets.join(hubs, ["band", "h"]))
     pairs = crowded.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = durable(linked(screened(pairs, nodes), docs))
-    found = durable(components(nodes, links))
+    pairs = durable(screened(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
+    links = durable(linked(pairs, docs))
+    found = durable(components(links))
 
     # documents of a bucket that are not of one class yet meet each other
-    placed = crowded.select("rep", "band", "h").join(found, "rep")
+    placed = crowded.join(found, "rep", "left").select("rep", "band", "h", F.coalesce("class", "rep").alias("class"))
     mixed = placed.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "h")
-    left = durable(placed.join(mixed, ["band", "h"]).select("rep", "band", "h", "class"))
+    left = durable(placed.join(mixed, ["band", "h"]))
     one = left.select("band", "h", F.col("rep").alias("a"), F.col("class").alias("ca"))
     other = left.select("band", "h", F.col("rep").alias("b"), F.col("class").alias("cb"))
     rest = one.join(other, ["band", "h"]).where((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = durable(linked(screened(rest, nodes), docs))
-    if more.limit(1).count():
-        found = components(nodes, links.unionAll(more))
-    return named.select("doc_id", "rep").join(found, "rep", "left").select("doc_id", F.col("class").alias("class_id"))
+    rest = durable(screened(rest, nodes))
+    if rest.limit(1).count():
+        found = components(links.unionAll(linked(rest, docs)))
+    named = every.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"])
+    return named.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
