@@ -36,7 +36,7 @@ def top_components(assets: DataFrame, n: int = 12) -> DataFrame:
 
 def heatmap(assets: DataFrame) -> DataFrame:
     """Assets by component and tier, every tier a column."""
-    rows = assets.groupBy("component").pivot("tier", TIERS).agg(F.count("*")).na.fill(0, TIERS)
+    rows = assets.groupBy("component").pivot("tier", TIERS).agg(F.count(F.lit(1))).na.fill(0, TIERS)
     return rows.withColumn("rank_score", 1000 * F.col("critical") + 100 * F.col("high") + 10 * F.col("medium") + F.col("low"))
 
 
