@@ -21,8 +21,8 @@ LEAST_SHARE = 0.4
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.fitted(docs))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    found = langid.predict(docs, langid.fitted(docs), ("__language", "__share"))
+    return found.where((F.col("__language") != langid.UNDETERMINED) & (F.col("__share") >= LEAST_SHARE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def blank_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(docs.withColumn("before", F.col("text")))
-    length = F.when(F.col("text") != F.col("before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    clean = secrets.redact(docs.withColumn("__before", F.col("text")))
+    length = F.when(F.col("text") != F.col("__before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length).select(docs.columns)
 
 

@@ -156,26 +156,22 @@ def extract(page: str | None) -> str:
             break
         node = node.parent
     threshold = min(x.density for x in path)
-    keep = heart
     out: list[list[str]] = [[]]
     on_path = {id(x) for x in path}
-
-    def gather(node: Node) -> None:
-        if node is keep:
-            blocks(node, out)
-            return
-        for x in node.children:
-            if isinstance(x, str):
-                if x.strip():
-                    out[-1].append(html.unescape(x))
-            elif id(x) in on_path:
-                out.append([])
-                gather(x)
-                out.append([])
-            elif not x.part and x.chars and (x.density >= threshold or x.tag in INLINE):
-                blocks(x, out)
-
-    gather(path[-1])
+    todo: list[Node | str | None] = [path[-1]]
+    while todo:  # from the body down the path; None ends a block
+        x = todo.pop()
+        if x is None:
+            out.append([])
+        elif isinstance(x, str):
+            if x.strip():
+                out[-1].append(html.unescape(x))
+        elif x is heart:
+            blocks(x, out)
+        elif id(x) in on_path:
+            todo += [None, *reversed(x.children), None]
+        elif not x.part and x.chars and (x.density >= threshold or x.tag in INLINE):
+            blocks(x, out)
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 
 
