@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from postura.plans import evidence  # noqa: F401  registers its queries
 from postura.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
