@@ -155,3 +155,46 @@ def library_versions(spark, d):
     from postura.engine import version_at_least
 
     return estate.read(spark, d, "supplier").select("s_suppkey", F.expr(VERSION).alias("version")).withColumn("enough", version_at_least(F.col("version"), "3.5.0"))
+
+
+# --- names and documents
+
+SPELLED = {
+    "name": "CASE l_partkey % 9 WHEN 0 THEN 'AES-' || CAST(128 + 64 * (l_suppkey % 3) AS STRING) || '-GCM' WHEN 1 THEN 'SHA256withRSA' WHEN 2 THEN 'ecdh-sha2-nistp' || split_part('256,384,521', ',', CAST(1 + l_suppkey % 3 AS INT)) "
+    "WHEN 3 THEN 'RS' || split_part('256,384,512', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 4 THEN 'ML-KEM-' || split_part('512,768,1024', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 5 THEN 'des-ede3-cbc' "
+    "WHEN 6 THEN 'RSA-' || CAST(1024 * (1 + l_suppkey % 3) AS STRING) WHEN 7 THEN 'hmac-sha2-256-etm@openssh.com' ELSE 'AESUtil' END",
+}
+
+EXPECTED = """(VALUES ('AES-128-GCM', 'aes', 128, NULL, NULL, 'gcm', NULL), ('AES-192-GCM', 'aes', 192, NULL, NULL, 'gcm', NULL), ('AES-256-GCM', 'aes', 256, NULL, NULL, 'gcm', NULL),
+('SHA256withRSA', 'rsa', NULL, NULL, NULL, NULL, 'sha-256'), ('ecdh-sha2-nistp256', 'ecdh', NULL, NULL, 'P-256', NULL, NULL), ('ecdh-sha2-nistp384', 'ecdh', NULL, NULL, 'P-384', NULL, NULL), ('ecdh-sha2-nistp521', 'ecdh', NULL, NULL, 'P-521', NULL, NULL),
+('RS256', 'rsa', NULL, NULL, NULL, NULL, 'sha-256'), ('RS384', 'rsa', NULL, NULL, NULL, NULL, 'sha-384'), ('RS512', 'rsa', NULL, NULL, NULL, NULL, 'sha-512'), ('ML-KEM-512', 'ml-kem', NULL, '512', NULL, NULL, NULL), ('ML-KEM-768', 'ml-kem', NULL, '768', NULL, NULL, NULL),
+('ML-KEM-1024', 'ml-kem', NULL, '1024', NULL, NULL, NULL), ('des-ede3-cbc', '3des', NULL, NULL, NULL, 'cbc', NULL), ('RSA-1024', 'rsa', 1024, NULL, NULL, NULL, NULL), ('RSA-2048', 'rsa', 2048, NULL, NULL, NULL, NULL), ('RSA-3072', 'rsa', 3072, NULL, NULL, NULL, NULL),
+('hmac-sha2-256-etm@openssh.com', 'hmac', NULL, NULL, NULL, NULL, 'sha-256')) e(name, alg_id, key_bits, parameter_set, curve, mode, digest)"""
+
+
+@query(f"WITH s AS (SELECT {columns(SPELLED)} FROM lineitem) SELECT name, alg_id, key_bits, parameter_set, curve, mode, digest, count(*) AS uses FROM s LEFT JOIN {EXPECTED} USING (name) GROUP BY ALL")
+def names_resolve(spark, d):
+    from postura.functions import names
+
+    rows = names.resolved(projected(estate.read(spark, d, "lineitem"), SPELLED), "name")
+    fields = ["alg_id", "key_bits", "parameter_set", "curve", "mode", "digest"]
+    return rows.groupBy("name", *(F.col(f"algorithm.{f}").alias(f) for f in fields)).agg(F.count("*").alias("uses"))
+
+
+@query()
+def cbom_components(spark, d):
+    from postura.plans.registry import inventory
+    from postura.sinks import documents
+
+    return documents.components(inventory(spark, d))
+
+
+@query()
+def graph_edges(spark, d):
+    from postura.operators import graph, normalize
+    from postura.plans.registry import classified
+    from postura.sinks import documents
+
+    rows = estate.observations(spark, d)
+    calls = graph.resolved_calls(estate.calls(spark, d), estate.functions(spark, d))
+    return documents.edges(classified(spark, d), normalize.dependency_links(rows, estate.catalogue(spark)), calls, normalize.occurrences(rows))
