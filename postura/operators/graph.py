@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postura.policy import DEFAULT, Policy
+from postura.storage import durable
 
 #: A name that stands for more functions than this is left unresolved.
 MOST_CANDIDATES = 8
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the session names."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        spark.sparkContext.setCheckpointDir(f"{where}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
-
-
 def resolution(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """The calls whose name stands for few enough functions, and whether these are of the caller's file.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postura import engine, estate
 from postura.operators import advise, assess, classify, compare, graph, normalize, summary
 from postura.plans import sql
+from postura.storage import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +35,8 @@ def occurrences(spark, d) -> DataFrame:
 
 
 def inventory(spark, d) -> DataFrame:
-    return engine.inventory(occurrences(spark, d), estate.catalogue(spark), estate.libraries(spark, d))
+    """Assessed and advised assets; the occurrences are joined and told apart once, and written for the steps that read them."""
+    return engine.inventory(written(occurrences(spark, d), "occurrences"), estate.catalogue(spark), estate.libraries(spark, d))
 
 
 def cols(*names: str) -> str:
@@ -118,7 +120,7 @@ def refine(spark, d):
 
 @query()
 def refined_inventory(spark, d):
-    found = occurrences(spark, d)
+    found = written(occurrences(spark, d), "occurrences")
     return normalize.assets(normalize.folded(found, normalize.assets(found))).select(*ASSET_COLS)
 
 
@@ -136,7 +138,7 @@ def classify_best(spark, d):
 
 
 def classified(spark, d) -> DataFrame:
-    found = occurrences(spark, d)
+    found = written(occurrences(spark, d), "occurrences")
     return classify.classified(normalize.assets(found), classify.best(classify.scores(classify.evidence(found))))
 
 
@@ -262,7 +264,7 @@ REGRESSION = f"change IN ('added', 'worsened') AND {TIER('new_tier')} >= 4"
 
 def halves(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = observed(spark, d)
-    half = lambda test: engine.inventory(normalize.occurrences(rows.where(f"seen {test} DATE '{CUT}'")), estate.catalogue(spark), estate.libraries(spark, d)).select("asset_id", "component", "tier")
+    half = lambda test: engine.inventory(written(normalize.occurrences(rows.where(f"seen {test} DATE '{CUT}'")), "occurrences"), estate.catalogue(spark), estate.libraries(spark, d)).select("asset_id", "component", "tier")
     return half("<"), half(">=")
 
 
