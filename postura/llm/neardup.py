@@ -9,9 +9,9 @@ a signature whose coordinates agree with the probability of the weighted Jaccard
 a cost that hardly depends on k. Documents that agree in all coordinates of a band meet.
 
 Groups never pair up with themselves: rows with the same shingles collapse first; in a
-bucket every document meets two of its members (the least id, and one picked by hash);
-only documents of a bucket that then lie in different classes meet each other. Each
-meeting is screened by the signatures (under 40 of 80 coordinates agree with a probability
+bucket every document meets two of its members (the least id, and the one that meets
+most others); only documents of a bucket that then lie in different classes and whose
+counts of shared shingles let them be alike meet each other. Each meeting is screened by the signatures (under 40 of 80 coordinates agree with a probability
 below 1e-8 at the least similarity) and decided on the texts: linked at 0.8 or more, of the
 shingle sets or of the weighted sets. Classes are the connected components of the links.
 
@@ -265,30 +265,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("rep", F.col("c").alias("class"))
 
 
+def measured(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, n, u, w, uw): a text's distinct shingles and those that no other of the texts has; the same by weight.
+
+    Shingles are counted over the given texts by aggregation alone: a shingle of one text
+    names that text by its least rep.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("hashes").offsets.to_numpy()).astype(np.int64)
+            flat = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(U)
+            doc, x, weight = weighted(*shingles(flat, sizes)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[doc]), pa.array(x.view(np.int64)), pa.array(weight)], names=["rep", "x", "c"])
+
+    texts = among(docs, reps.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+    hashed = texts.select("rep", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    each = hashed.mapInArrow(run, "rep long, x long, c long")
+    once = each.groupBy("x").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.sum("c").alias("c"))
+    alone = once.where("texts = 1").groupBy("rep").agg(F.count("*").alias("u"), F.sum("c").alias("uw"))
+    whole = each.groupBy("rep").agg(F.count("*").alias("n"), F.sum("c").alias("w"))
+    return whole.join(alone, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
+
+
+def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): documents of a bucket and of different classes that can be alike.
+
+    A text with n shingles, u of which no other text has, shares at most n - u with any; so
+    for another with m shingles the index is at most (n - u) / (u + max(n - u, m)). That
+    bound, with the least m of the bucket, drops documents before they meet, and with the
+    other's m and u pairs as they meet. The bound is exact: no link is lost.
+    """
+    placed = crowded.select("rep", "band", "h").join(found, "rep", "left").select("rep", "band", "h", F.coalesce("class", "rep").alias("class"))
+    several = lambda df: df.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("n", "w") if c in df.columns)).where("lo <> hi").drop("lo", "hi")
+    left = durable(placed.join(several(placed), ["band", "h"]))
+    known = durable(left.join(durable(measured(docs, left.select("rep").distinct())), "rep"))
+    most = lambda n, u, m: (n - u) / (u + F.greatest(n - u, m))
+    able = known.join(several(known), ["band", "h"]).where(
+        (most(F.col("n"), F.col("u"), F.col("least_n")) >= ALIKE) | (most(F.col("w"), F.col("uw"), F.col("least_w")) >= ALIKE)
+    )
+    able = able.drop("least_n", "least_w")
+    able = durable(able.join(several(able), ["band", "h"]).drop("least_n", "least_w"))
+    side = lambda x: able.select("band", "h", F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("class", "n", "u", "w", "uw")))
+
+    def both(n: str, u: str):
+        shared = F.least(F.col(f"a_{n}") - F.col(f"a_{u}"), F.col(f"b_{n}") - F.col(f"b_{u}"))
+        return shared / (F.col(f"a_{n}") + F.col(f"b_{n}") - shared) >= ALIKE
+
+    x, y = side("a").alias("x"), side("b").alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
+    return x.join(y, same & (F.col("a_class") != F.col("b_class")) & (F.col("a") > F.col("b")) & (both("n", "u") | both("w", "uw"))).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id."""
     every = durable(signed(docs))
     reps = every.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     nodes = durable(every.join(reps, ["s1", "s2"]).where("doc_id = rep").select("rep", "signature", "bands"))
     meets = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
-    hubs = (
-        meets.groupBy("band", "h")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("h1"), F.min(F.struct(F.xxhash64("rep"), "rep"))["rep"].alias("h2"))
-        .where("n > 1").drop("n")
-    )
-    crowded = durable(meets.join(hubs, ["band", "h"]))
-    pairs = crowded.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
+    crowds = meets.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("h1")).where("n > 1")
+    crowded = durable(meets.join(crowds, ["band", "h"]))
+    # the one that meets most others is the likeliest to be what they are copies of
+    busy = crowded.groupBy("rep").agg(F.sum("n").alias("met"))
+    hubs = crowded.join(busy, "rep").groupBy("band", "h").agg(F.max(F.struct("met", "rep"))["rep"].alias("h2"))
+    pairs = crowded.join(hubs, ["band", "h"]).select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
     pairs = durable(screened(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
     links = durable(linked(pairs, docs))
     found = durable(components(links))
-
-    # documents of a bucket that are not of one class yet meet each other
-    placed = crowded.join(found, "rep", "left").select("rep", "band", "h", F.coalesce("class", "rep").alias("class"))
-    mixed = placed.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "h")
-    left = durable(placed.join(mixed, ["band", "h"]))
-    one = left.select("band", "h", F.col("rep").alias("a"), F.col("class").alias("ca"))
-    other = left.select("band", "h", F.col("rep").alias("b"), F.col("class").alias("cb"))
-    rest = one.join(other, ["band", "h"]).where((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = unresolved(crowded, found, docs).join(pairs, ["a", "b"], "left_anti")
     rest = durable(screened(rest, nodes))
     if rest.limit(1).count():
         found = components(links.unionAll(linked(rest, docs)))
