@@ -198,3 +198,89 @@ def graph_edges(spark, d):
     rows = estate.observations(spark, d)
     calls = graph.resolved_calls(estate.calls(spark, d), estate.functions(spark, d))
     return documents.edges(classified(spark, d), normalize.dependency_links(rows, estate.catalogue(spark)), calls, normalize.occurrences(rows))
+
+
+# --- certificates, protocols, key material
+
+CERTIFICATE = {
+    "o_orderkey": "o_orderkey", "key_status": "CAST(o_custkey % 4 AS INT)", "signature_status": "CAST(o_orderkey % 3 AS INT)", "not_before_year": "CAST(2018 + o_orderkey % 9 AS INT)",
+    "not_after_year": "CAST(2019 + o_orderkey % 9 + o_custkey % 5 AS INT)", "is_ca": "o_custkey % 6 = 0",
+}
+
+
+@query(f"""WITH c AS (SELECT {columns(CERTIFICATE)} FROM orders) SELECT o_orderkey, greatest(key_status, signature_status, CASE WHEN not_after_year < 2026 THEN 2 ELSE 0 END,
+CASE WHEN not_after_year - not_before_year > 2 AND NOT is_ca THEN 1 ELSE 0 END) AS status, CAST(greatest(not_after_year - 2026, 0) AS DOUBLE) AS lifetime FROM c""")
+def certificate_status(spark, d):
+    from postura.operators import findings
+
+    rows = projected(estate.read(spark, d, "orders"), CERTIFICATE)
+    return rows.select("o_orderkey", findings.certificate_status(rows).alias("status"), findings.certificate_lifetime().alias("lifetime"))
+
+
+SETTING = {
+    "kind": "CASE o_orderkey % 4 WHEN 0 THEN 'ssh' ELSE 'tls' END", "version": "split_part('ssl3.0,1.0,1.1,1.2,1.3', ',', CAST(1 + o_custkey % 5 AS INT))",
+    "suite": "split_part('TLS_AES_256_GCM_SHA384,TLS_RSA_WITH_RC4_128_SHA,ECDHE-RSA-AES128-GCM-SHA256,TLS_RSA_EXPORT_WITH_DES40_CBC_SHA', ',', CAST(1 + o_orderkey % 4 AS INT))",
+    "grp": "split_part('X25519,X25519MLKEM768,P-256', ',', CAST(1 + o_custkey % 3 AS INT))",
+}
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {columns(SETTING)} FROM orders),
+q AS (SELECT *, list_has_any(regexp_split_to_array(suite, '[_-]'), ['NULL', 'EXPORT', 'EXP', 'anon', 'ADH', 'AECDH', 'RC4', 'DES', 'MD5']) AS weak, CASE WHEN grp = 'X25519MLKEM768' THEN 0.0 ELSE 1.0 END::DOUBLE AS qb FROM p)
+SELECT o_orderkey, CASE WHEN version LIKE 'ssl%' OR weak THEN 3 WHEN version IN ('1.0', '1.1') AND kind <> 'ssh' THEN 2 ELSE 0 END AS status, qb,
+CASE WHEN kind = 'ssh' THEN 'enable' WHEN version LIKE 'ssl%' OR version IN ('1.0', '1.1') THEN 'upgrade' WHEN qb = 0 THEN 'retain' ELSE 'enable' END AS action FROM q""")
+def protocol_scores(spark, d):
+    from postura.operators import findings
+
+    rows = projected(estate.read(spark, d, "orders"), {"o_orderkey": "o_orderkey"} | SETTING)
+    status = findings.protocol_status(F.col("kind"), F.col("version"), F.array("suite"))
+    rows = rows.select("*", status.alias("status"), findings.protocol_breakability(F.array("grp", "suite")).alias("qb"))
+    return rows.select("o_orderkey", "status", "qb", findings.protocol_advice(F.col("kind"), F.col("version"), F.col("qb")).alias("action"))
+
+
+MATERIAL = {
+    "kind": "split_part('private-key,public-key,secret-key', ',', CAST(1 + o_orderkey % 3 AS INT))", "encrypted": "o_custkey % 2 = 0", "custody": "CASE WHEN o_orderkey % 7 = 0 THEN 'cloud-kms' END",
+    "algorithm_status": "CAST(o_custkey % 4 AS INT)", "qb": "CAST(CASE o_custkey % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 1.0 END AS DOUBLE)", "known": "o_orderkey % 5 <> 0",
+}
+
+
+@query(f"""WITH m AS (SELECT o_orderkey, {columns(MATERIAL)} FROM orders), k AS (SELECT *, CASE WHEN NOT known THEN 'review' WHEN qb <= 0.2 AND algorithm_status < 3 THEN 'retain' ELSE 'replace' END AS kept FROM m)
+SELECT o_orderkey, greatest(algorithm_status, CASE WHEN kind = 'private-key' AND NOT encrypted AND custody IS NULL THEN 2 ELSE 0 END) AS status,
+CASE WHEN custody IS NOT NULL THEN kept WHEN kind = 'private-key' AND NOT encrypted THEN 'rotate' ELSE kept END AS action FROM k""")
+def material_scores(spark, d):
+    from postura.operators import findings
+
+    rows = projected(estate.read(spark, d, "orders"), {"o_orderkey": "o_orderkey"} | MATERIAL)
+    c = F.col
+    status = findings.material_status(c("algorithm_status"), c("kind"), c("encrypted"), c("custody"))
+    action = findings.material_advice(c("kind"), c("encrypted"), c("custody"), c("known"), c("qb"), c("algorithm_status") == 3)
+    return rows.select("o_orderkey", status.alias("status"), action.alias("action"))
+
+
+KEY_SETTINGS = "CASE WHEN k LIKE '%protocol%' OR k LIKE '%tls_version%' THEN 'versions' WHEN k LIKE '%cipher%' OR k LIKE '%suite%' THEN 'suites' WHEN k LIKE '%curve%' OR k LIKE '%group%' THEN 'groups' WHEN k LIKE '%keysize%' OR k LIKE '%key_bits%' THEN 'key-size' WHEN k LIKE '%algorithm%' OR k LIKE '%digest%' OR k LIKE '%hash%' THEN 'algorithm' END"
+CONFIG_KEY = {"k": "split_part('ssl_protocols,tls_version_min,cipher_list,ssl_suites,ecdh_curve,tls_groups,rsa_keysize,key_bits,jwt_algorithm,digest,hash_fn,timeout,port', ',', CAST(1 + l_partkey % 13 AS INT))"}
+
+
+@query(f"WITH c AS (SELECT {columns(CONFIG_KEY)} FROM lineitem) SELECT k, {KEY_SETTINGS} AS setting, count(*) AS uses FROM c GROUP BY ALL")
+def key_setting(spark, d):
+    """What configuration keys set, by the first rule that their name meets."""
+    rules = [(("protocol", "tls_version"), "versions"), (("cipher", "suite"), "suites"), (("curve", "group"), "groups"), (("keysize", "key_bits"), "key-size"), (("algorithm", "digest", "hash"), "algorithm")]
+    setting = F.lit(None).cast("string")
+    for parts, name in reversed(rules):
+        meets = F.lit(False)
+        for p in parts:
+            meets = meets | F.contains("k", F.lit(p))
+        setting = F.when(meets, name).otherwise(setting)
+    return projected(estate.read(spark, d, "lineitem"), CONFIG_KEY).groupBy("k", setting.alias("setting")).agg(F.count("*").alias("uses"))
+
+
+USE = {"language": "split_part('java,c,python,go', ',', CAST(1 + l_partkey % 4 AS INT))", "callee": "split_part('Cipher.getInstance,EVP_aes_256_gcm,hashlib.new,rsa.GenerateKey,tls.Config,util.helper', ',', CAST(1 + l_suppkey % 6 AS INT))"}
+RULES = [("java.cipher", "java", "Cipher.getInstance", "getInstance"), ("c.evp", "c", "EVP_aes_256_gcm", "EVP_aes_256_gcm"), ("python.hashlib", "python", "hashlib.new", "new"), ("go.rsa", "go", "rsa.GenerateKey", "GenerateKey"), ("go.tls", "go", "tls.Config", "Config")]
+
+
+@query("WITH u AS (SELECT " + columns(USE) + f" FROM lineitem), r(rule_id, language, callee, last) AS (VALUES {sql.values(RULES)}) SELECT u.language, u.callee, rule_id, count(*) AS uses FROM u JOIN r ON u.language = r.language AND u.callee = r.callee GROUP BY ALL")
+def rule_match(spark, d):
+    """Calls that rules know: a broadcast hash join on language and last segment, then the whole name."""
+    uses = projected(estate.read(spark, d, "lineitem"), USE).withColumn("last", F.element_at(F.split("callee", r"\."), -1))
+    rules = spark.createDataFrame(RULES, "rule_id string, language string, name string, last string")
+    hits = uses.join(F.broadcast(rules), ["language", "last"]).where((F.col("callee") == F.col("name")) | F.endswith("callee", F.concat(F.lit("."), "name")))
+    return hits.groupBy("language", "callee", "rule_id").agg(F.count("*").alias("uses"))
