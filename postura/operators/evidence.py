@@ -118,3 +118,16 @@ def broken_links(lines: DataFrame) -> DataFrame:
 def property_of(props: Column, name: str) -> Column:
     """A property of a JSON object as text, null if it is missing."""
     return F.get_json_object(props, f"$.{name}")
+
+
+def listener_for(places: DataFrame, listeners: DataFrame) -> DataFrame:
+    """(asset_id, listener_id): by an asset's configuration file, else by a file that a listener of its component serves.
+
+    places: (asset_id, component, surface, path); listeners: (listener_id, component, path, served).
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    by_path = listeners.groupBy("path").agg(F.min("listener_id").alias("by_path"))
+    by_file = listeners.groupBy("component", F.col("served").alias("file")).agg(F.min("listener_id").alias("by_file"))
+    rows = places.withColumn("file", name).join(by_path, "path", "left").join(by_file, ["component", "file"], "left")
+    configured = F.when(F.col("surface").isin("config", "cloud"), F.col("by_path"))
+    return rows.groupBy("asset_id").agg(F.coalesce(F.min(configured), F.min("by_file")).alias("listener_id"))

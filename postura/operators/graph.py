@@ -65,3 +65,20 @@ def exposure(occurrences: DataFrame, reach: DataFrame, policy: Policy = DEFAULT)
     weights = uses.join(reach.select("function_id", "entry_weight"), "function_id", "left")
     grouped = weights.groupBy("asset_id").agg(F.max("entry_weight").alias("w"), F.max(F.when(F.col("surface") == "runtime", 1).otherwise(0)).alias("wire"))
     return grouped.select("asset_id", F.coalesce("w", F.when(F.col("wire") == 1, policy.exposure["listener"]), F.lit(policy.exposure["unreached"])).alias("exposure"), (F.col("w").isNotNull()).alias("reachable"))
+
+
+def relevant(edges: DataFrame, targets: DataFrame, most_levels: int = 1000) -> DataFrame:
+    """(function_id, depth): functions from which calls lead to the targets, and how many calls away.
+
+    The search runs over reversed edges and doesn't pass through a target.
+    """
+    seen = durable(targets.select("function_id", F.lit(0).alias("depth")).distinct())
+    hops = durable(edges.where("caller <> target"))
+    frontier = seen
+    for depth in range(1, most_levels):
+        found = frontier.join(hops, F.col("function_id") == F.col("target")).select(F.col("caller").alias("function_id")).distinct()
+        frontier = durable(found.join(seen, "function_id", "left_anti").select("function_id", F.lit(depth).alias("depth")))
+        if not frontier.limit(1).count():
+            break
+        seen = durable(seen.unionByName(frontier))
+    return seen

@@ -284,3 +284,37 @@ def rule_match(spark, d):
     rules = spark.createDataFrame(RULES, "rule_id string, language string, name string, last string")
     hits = uses.join(F.broadcast(rules), ["language", "last"]).where((F.col("callee") == F.col("name")) | F.endswith("callee", F.concat(F.lit("."), "name")))
     return hits.groupBy("language", "callee", "rule_id").agg(F.count("*").alias("uses"))
+
+
+# --- listeners and relevance
+
+SERVING = {"listener_id": "CAST(s_suppkey AS BIGINT)", "component": "n_name", "path": "concat('svc', CAST(s_suppkey AS STRING), '/f', CAST(s_suppkey % 50 AS STRING))", "served": "concat('f', CAST(s_suppkey % 17 AS STRING))"}
+
+
+@query(sql.query("", sql.OCC).rstrip() + f""",
+li AS (SELECT {columns(SERVING)} FROM supplier JOIN nation ON s_nationkey = n_nationkey), bp AS (SELECT path, min(listener_id) AS l FROM li GROUP BY 1), bf AS (SELECT component, served, min(listener_id) AS l FROM li GROUP BY ALL)
+SELECT asset_id, coalesce(min(CASE WHEN surface IN ('config', 'cloud') THEN bp.l END), min(bf.l)) AS listener_id FROM occ LEFT JOIN bp ON occ.path = bp.path
+LEFT JOIN bf ON occ.component = bf.component AND string_split(occ.path, '/')[-1] = bf.served GROUP BY 1""")
+def served_listener(spark, d):
+    from postura.plans.registry import occurrences
+
+    listeners = estate.read(spark, d, "supplier").join(F.broadcast(estate.read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    places = occurrences(spark, d).select("asset_id", "component", "surface", "path").distinct()
+    return ev.listener_for(places, projected(listeners, SERVING))
+
+
+def relevance_oracle() -> str:
+    from postura.plans.registry import graph_sql
+
+    return graph_sql(""", hops AS (SELECT * FROM edges WHERE caller <> target),
+bfs(function_id, depth) AS (SELECT function_id, 0 FROM fns WHERE name = 'fn3' UNION SELECT caller, depth + 1 FROM bfs JOIN hops ON function_id = target WHERE depth < 40)
+SELECT function_id, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY 1""", recursive=True)
+
+
+@query(relevance_oracle())
+def backward_relevance(spark, d):
+    """Functions that lead to those named fn3."""
+    from postura.operators import graph
+
+    fns = estate.functions(spark, d)
+    return graph.relevant(graph.resolved_calls(estate.calls(spark, d), fns), fns.where("name = 'fn3'"))
