@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments remembered by a Python worker, and the longest of them in characters.
-REMEMBERED, MEMO_CHARS = 200_000, 48
+REMEMBERED, MEMO_CHARS = 100_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
