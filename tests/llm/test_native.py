@@ -107,6 +107,22 @@ def test_boosted_trees_add_what_resembles_the_confirmed(spark):
     assert privacy.scan(docs, (trees, least)).where("n_email <> 1 or n_phone <> 1").count() == 0
 
 
+def test_uncovered_formats_are_added_and_numbers_are_not(spark):
+    texts = [f"word write to user{i}.name@mail{i % 9}.example.com then +1 (918) 555-{1000 + i} today, room {i} of {i * 37 % 1000}" for i in range(200)]
+    personal = {
+        1000: ("so call (918) 555-2191 today", "(918) 555-2191"), 1001: ("then jane.doe [at] mail.example.org said", "jane.doe [at] mail.example.org"), 1002: ("my phone: 020 7946 0958 or", "020 7946 0958"),
+        1003: ("with account: 4411223344 at", "4411223344"), 1004: ("her ssn 078-05-1120 was", "078-05-1120"), 1005: ("ask jane(at)example.org for", "jane(at)example.org"),
+    }
+    other = ["on 2024-03-15 we", "in version 10.4.2.1183 of", "for $1299.00 each", "from 1914-1918 there", "some 1250000 people", "a code x12345678y here", "dated 15.03.2024 by", "then 4465758382889438 of"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(i, t, None, None, None) for i, (t, _) in personal.items()] + [(2000 + i, t, None, None, None) for i, t in enumerate(other)]
+    got = {r.doc_id: (r.n_other, r.spans) for r in privacy.scan(cases.documents(spark, rows)).collect()}
+    for i, (text, value) in personal.items():
+        at = text.index(value)
+        assert got[i] == (1, f"other:{at}:{at + len(value)}"), (text, got[i])
+    assert all(got[2000 + i] == (0, "") for i in range(len(other))), [(t, got[2000 + i]) for i, t in enumerate(other)]
+    assert all(got[i][0] == 0 for i in range(200))
+
+
 def test_no_personal_data_in_nothing(spark):
     assert privacy.report(cases.documents(spark).limit(0)).count() == 0
 
