@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs (DataFrame functions only).
 
-A text's paragraphs are hashed to digests: its lines, and the runs of sentences into which
-a rule of local content cuts long lines, so that an edit changes the digests near it only. A sketch of
+A text's paragraphs are hashed to digests: its lines, and the runs of words into which
+a rule of local content cuts them, so that an edit changes the digests near it only. The
+rule looks at the characters around a place: it cuts between words, or within a run
+without spaces, where they belong to sets that hold about a quarter of every script. A sketch of
 m cells holds each digest in three cells, as a count, the exclusive or of the digests and
 that of their check values. Sketches of two versions subtract cell by cell, common
 paragraphs vanish, and peeling recovers the digests that differ: a cell with one digest
@@ -33,8 +35,25 @@ ROUNDS = 24
 #: Documents in a range of ids that is sorted together, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 2000, 16384
 
-#: Ends a paragraph: a line's end, or a sentence's where the letters on both sides are early ones.
-PARAGRAPH = r"\s*\n\s*|(?<=[a-lA-L][.!?])\s+(?=[A-MÀ-Ì])"
+#: Ranges of code points with the period and width of their stripes, for sets of about a quarter of each script.
+STRIPES = ((0x100, 0x6FF, 8, 2), (0x700, 0x1FFF, 16, 4), (0x3040, 0x30FF, 8, 2), (0x3400, 0x9FFF, 0x100, 0x40), (0xA000, 0xD7A3, 0x40, 0x10), (0x10000, 0x3FFFF, 0x1000, 0x400))
+
+
+def striped(latin: str, offset: int) -> list[tuple[str, str]]:
+    """(a cheap test, a set): the given characters below U+0100, and a stripe of each period beyond, from that share of it on."""
+    found = [("", f"[{latin}]")]
+    for low, high, period, width in STRIPES:
+        starts = range(low + period * offset // 4, high - width + 2, period)
+        found.append((f"[{chr(low)}-{chr(high)}]", "[" + "".join(f"{chr(x)}-{chr(x + width - 1)}" for x in starts) + "]"))
+    return found
+
+
+ENDS, BEGINS = striped(r"adhlptxADHLPTX0-2.!?)\xe0-\xe3\xe8-\xeb", 0), striped(r"bcfmsBCFMS3-5\xc0-\xcc\xe4-\xe7\xec-\xef", 2)
+BEHIND = f"(?:(?<={ENDS[0][1]})|(?<=[^\x00-\xff])(?:" + "|".join(f"(?<={cheap})(?<={one})" for cheap, one in ENDS[1:]) + "))"
+AHEAD = f"(?:{BEGINS[0][1]}|(?=[^\x00-\xff])(?:" + "|".join(f"(?={cheap}){one}" for cheap, one in BEGINS[1:]) + "))"
+#: Ends a paragraph: a line's end, spaces after one of ENDS and before one of BEGINS, or, 24 characters into a run
+#: without spaces, a place after one of ENDS and before two of BEGINS.
+PARAGRAPH = rf"[\t-\r\x20]*\n[\t-\r\x20]*|(?=[\t-\r\x20]){BEHIND}[\t-\r\x20]+(?={AHEAD})|{BEHIND}(?={AHEAD}{{2}})(?<=[!-퟿]{{24}})"
 
 CELL = "array<struct<cell:int,n:int,key:bigint,check:bigint>>"
 

@@ -1,6 +1,7 @@
 """Operators 1, 4 and 6 against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -152,6 +153,26 @@ def test_fingerprints_equal_brute_force(spark, clash):
     assert got[9].fingerprint == got[10].fingerprint
 
 
+SCRIPTS = {"latin": (97, 122), "greek": (0x3B1, 0x3C9), "cyrillic": (0x430, 0x44F), "arabic": (0x620, 0x64A), "devanagari": (0x905, 0x939), "hangul": (0xAC00, 0xD7A3), "cjk": (0x4E00, 0x9FA5), "thai": (0xE01, 0xE2E), "hiragana": (0x3041, 0x3096), "rare": (0x20000, 0x2A6D6)}
+
+
+def one_line(script: str, spaced: bool, n: int = 6000) -> str:
+    r = random.Random(script)
+    letters = "".join(chr(r.randint(*SCRIPTS[script])) for _ in range(n))
+    return " ".join(letters[i : i + 6] for i in range(0, n, 6)) if spaced else letters
+
+
+def test_long_lines_of_every_script_keep_their_likeness(spark):
+    cases_ = [(s, spaced) for s in SCRIPTS for spaced in (True, False) if (s, spaced) != ("rare", False)]
+    rows = [(i, one_line(*c), None, None, None) for i, c in enumerate(cases_)]
+    pieces = lambda t: {x for x in re.split(fingerprints.PARAGRAPH, t) if x}
+    for r in fingerprints.fingerprints(cases.documents(spark, rows)).collect():
+        t, after = rows[r.doc_id][1], rows[(r.doc_id + 1) % len(rows)][1]
+        a, b = pieces(t), pieces(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b)), cases_[r.doc_id]
+        assert len(a) >= 20 and r.near_edited > 0.4, (cases_[r.doc_id], len(a), r.near_edited)
+
+
 def test_fingerprints_of_ties_nulls_one_and_none(spark):
     docs = cases.documents(spark)
     assert fingerprints.fingerprints(docs).count() == docs.count()
