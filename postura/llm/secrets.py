@@ -2,8 +2,10 @@
 
 A tokenizer's vocabulary packs ordinary text into few tokens, but random strings into
 many, so a low ratio of characters to tokens exposes them. Candidates are runs of
-letters, digits and the signs of base64 that mix digits and letters; known digests
-(hexadecimal of a digest's length), UUIDs and the like are excluded before the test.
+letters, digits and the signs of base64 that hold letters; known digests (hexadecimal of
+a digest's length), UUIDs and the like are excluded before the test. A name that begins
+with a date is excluded if the date is one and the rest packs like words; joined words and
+words with a short number are, if their letters do.
 
 Every text is scanned whole, in one pass without a shuffle. Defined results for odd
 input: null is scanned as an empty text and gives zero counts, the digest of an empty
@@ -36,13 +38,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-IDENTIFIER = re.compile(
-    r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"  # UUID
-    r"|\d{4}[-_/]?\d\d[-_/]?\d\d.*"  # dated names
-    r"|([A-Za-z]+[-_/]+)+[A-Za-z]*\d{0,4}"  # words joined by signs, and a short number
-    r"|[A-Za-z]+\d{1,4}",
-    re.I,
-)
+UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+#: A name that begins with a date, and the rest of it.
+DATED = re.compile(r"(?:19|20)\d\d[-_/]?(?:0[1-9]|1[0-2])[-_/]?(?:0[1-9]|[12]\d|3[01])(?!\d)(.*)", re.S)
+#: Words joined by signs, and a short number; a word and a short number.
+JOINED = re.compile(r"(([A-Za-z]+[-_/]+)+[A-Za-z]*)\d{0,4}|([A-Za-z]+)\d{1,4}")
 #: Split pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -67,16 +67,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def packs_badly(s: str, path: str, ratio: float) -> bool:
+    return len(s) < ratio * len(encoder(path).encode_ordinary(s))
+
+
+def identifier(s: str, path: str, ratio: float) -> bool:
+    """Whether a candidate that the vocabulary packs badly is a name all the same."""
+    if UUID.fullmatch(s):
+        return True
+    dated = DATED.fullmatch(s)
+    if dated:
+        rest = dated[1].strip("-_/=")
+        return not rest or not packs_badly(rest, path, ratio) or rest.isdigit() and len(rest) <= 9
+    m = JOINED.fullmatch(s)
+    return bool(m) and not packs_badly(re.sub("[-_/]+", " ", m[1] or m[3]).strip(), path, ratio)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], path: str, ratio: float) -> list[tuple[int, int, int]]:
     """Candidates outside the spans already taken that the vocabulary packs badly."""
     found = []
     for m in CANDIDATE.finditer(text):
         s, (a, b) = m.group(), m.span()
-        if not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s) or any(x < b and a < y for x, _, y in taken):
+        if not re.search(r"[A-Za-z]", s) or any(x < b and a < y for x, _, y in taken):
             continue
-        if len(s) in DIGESTS and re.fullmatch("[0-9a-fA-F]+", s) or IDENTIFIER.fullmatch(s):
+        if len(s) in DIGESTS and re.fullmatch("[0-9a-fA-F]+", s):
             continue
-        if len(s) / len(encoder(path).encode_ordinary(s)) < ratio:
+        if packs_badly(s, path, ratio) and not identifier(s, path, ratio):
             found.append((a, 3, b))
     return found
 

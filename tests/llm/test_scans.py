@@ -1,7 +1,9 @@
 """Operators 2, 3, 8, 9 and 10."""
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -120,6 +122,19 @@ def test_random_strings_stand_out():
     assert find("2024-01-31-report-of-the-committee thonentandtherestofthewords") == []
 
 
+def test_random_letters_and_strings_that_begin_with_digits_stand_out():
+    find = lambda t: [t[a:b] for a, _, b in secrets.random_spans(t, [], secrets.VOCABULARY, secrets.RATIO)]
+    r = random.Random(5)
+    mixed = string.ascii_letters
+    drawn = ["".join(r.choice(mixed) for _ in range(n)) for n in (20, 24, 40, 64) for _ in range(300)]
+    drawn += ["".join(r.choice(mixed + string.digits) for _ in range(n)) for n in (20, 24) for _ in range(1000)]
+    assert all(find(f"key {s} end") == [s] for s in drawn)
+    for s in ("123456789012-q8Zr2mK9xTb4Lw7PhN3vYd6s", "20240131-q8Zr2mK9xTb4Lw7PhN3vYd6s", "12345678A9F3C07D5E21B46F"):
+        assert find(f"key {s} end") == [s]
+    for s in ("20240131-report-of-the-committee", "2024_01_31_annual_report_of_the_house", "AbstractSingletonProxyFactoryBean", "CONFIGURATION_DIRECTORY_PATH", "donaudampfschifffahrtsgesellschaft", "-" * 40, "12345678901234567890"):
+        assert find(f"see {s} end") == []
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = cases.documents(spark, [(1, "a password=abcdefgh b", None, None, None), (2, "clean", None, None, None), (3, None, None, None, None)], clash=True)
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
