@@ -62,7 +62,7 @@ def directives(files: DataFrame) -> DataFrame:
 
 
 def key_values(files: DataFrame) -> DataFrame:
-    """(path, line, key, value) of sections and dotted keys; keys that begin with 'disabled' are left out."""
+    """(path, line, key, value) of flat lines; section names and nested paths are not kept; keys that begin with 'disabled' are left out."""
     found = r"^([A-Za-z0-9_.-]+)\s*[=:]\s*(.*)$"
     rows = lines(files).select("path", "line", F.regexp_extract("text", found, 1).alias("key"), F.regexp_replace(F.regexp_extract("text", found, 2), "^[\"']|[\"']$", "").alias("value"))
     return rows.where(~F.rlike("key", F.lit(r"(?i)(^|\.)disabled")) & (F.col("key") != ""))
