@@ -8,17 +8,30 @@ it some k ln k of them, deals them to k coordinates and keeps the earliest per c
 a signature whose coordinates agree with the probability of the weighted Jaccard index, at
 a cost that hardly depends on k. Documents that agree in all coordinates of a band meet.
 
-Groups never pair up with themselves: rows with the same shingles collapse first; in a
-bucket every document meets two of its members (the least id, and the one that meets
-most others); only documents of a bucket that then lie in different classes and whose
-counts of shared shingles let them be alike meet each other. Each meeting is screened by the signatures (under 40 of 80 coordinates agree with a probability
-below 1e-8 at the least similarity) and decided on the texts: linked at 0.8 or more, of the
-shingle sets or of the weighted sets. Classes are the connected components of the links.
+Sets are signed twice where it matters, by weights and, if a shingle repeats, with all
+weights 1, and meets others on bands of either: links are of 0.8 or more in either index.
+
+Groups never pair up with themselves. Rows with the same weighted set collapse first. In a
+bucket every document meets two of its members (the least id, and the one that meets most
+others, the hub). A meeting is screened by the signatures (under 40 of 80 coordinates agree
+with a probability below 1e-8 at the least similarity) and decided on the texts. Classes
+are the connected components of the links.
+
+Documents of a bucket that are then in different classes could still be alike. They are
+described by what sets them apart from their hub, elements removed and elements added, so
+that what the whole bucket shares cancels out, and joined by the rarest of these elements:
+a prefix filter with positions. For a hub c of size |c|, let v(x) be the removed plus 0.8
+times the added elements of x. Counting shows that x and y can be linked only if they have
+(v(x) + v(y) - 0.2 |c|) / 1.8 of these elements in common, and that x is linked to c itself
+unless v(x) > 0.2 |c|. So a document outside of its hub's class shares at least
+v(x) - 0.2 |c| of its elements, any other at least v(y) / 1.8 of its own. No link is lost.
 
 Defined results for odd input: texts without words (null, empty) are alike only if equal,
 null counting as empty; texts of under five words have one shingle, all their words;
 a row without doc_id gets the class of an equal text, if any, else null; repeated rows
-share a class; further columns are ignored. A class is named by its least doc_id.
+share a class; rows with one doc_id and different texts are classed by their texts, and
+their links count for that id; further columns are ignored. A class is named by its least
+doc_id.
 """
 
 from __future__ import annotations
@@ -30,7 +43,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, words
@@ -152,26 +165,35 @@ def signed_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     n = len(sizes)
     doc, x, weight = weighted(*shingles(flat, sizes)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
     signature = signatures(doc, x, weight, n)
+    repeats = np.bincount(doc, weight > 1, n) > 0  # documents that differ from their sets
+    rows = np.flatnonzero(repeats)
+    mine = repeats[doc]
+    plain = signatures(np.searchsorted(rows, doc[mine]), x[mine], np.ones(int(mine.sum()), np.int64), len(rows))
     keys = np.zeros((2, n), U)
     with np.errstate(over="ignore"):
-        np.add.at(keys[0], doc, mix(x))
-        np.add.at(keys[1], doc, mix(x ^ U(0xA5A5A5A5A5A5A5A5)))
+        told = x * U(2) + U(1) + mix(weight.astype(U))
+        np.add.at(keys[0], doc, mix(told))
+        np.add.at(keys[1], doc, mix(told ^ U(0xA5A5A5A5A5A5A5A5)))
     empty = sizes == 0
     s = [np.where(empty, batch.column(c).to_numpy(), k.view(np.int64)) for c, k in zip(("t1", "t2"), keys)]
-    found = np.where(empty, 0, BANDS)
-    rows = bands(signature)[~empty].reshape(-1)
+    both = np.concatenate([bands(signature), np.zeros((n, BANDS), np.int64)], axis=1)
+    both[rows, BANDS:] = bands(plain)
+    some = np.concatenate([np.repeat(~empty[:, None], BANDS, axis=1), repeats[:, None] & (both[:, BANDS:] != both[:, :BANDS])], axis=1)
+    sets: list = [None] * n
+    for i, v in zip(rows.tolist(), plain):
+        sets[i] = v.tobytes()
     return pa.RecordBatch.from_arrays(
         [
-            batch.column("doc_id"), pa.array(s[0]), pa.array(s[1]),
-            pa.array([v.tobytes() for v in signature], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found)]), pa.int32()), pa.array(rows, pa.int64())),
+            batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(s[0]), pa.array(s[1]),
+            pa.array([v.tobytes() for v in signature], pa.binary()), pa.array(sets, pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]), pa.int32()), pa.array(both[some], pa.int64())),
         ],
-        names=["doc_id", "s1", "s2", "signature", "bands"],
+        names=["doc_id", "t1", "t2", "s1", "s2", "signature", "plain", "bands"],
     )
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (equal for equal shingle sets), signature (K 32-bit numbers) and bands."""
+    """doc_id, s1, s2 (equal for equal weighted sets), signature (K 32-bit numbers), plain (the same of the set, if a shingle repeats) and bands."""
 
     def run(batches):
         for whole in batches:
@@ -186,23 +208,20 @@ def signed(docs: DataFrame) -> DataFrame:
     hashed = docs.select("doc_id", words(F.col("text")).alias("ws"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")).select(
         F.col("doc_id").cast("long"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hashes"), F.size("ws").cast("long").alias("n"), "t1", "t2"
     )
-    return hashed.mapInArrow(run, "doc_id long, s1 long, s2 long, signature binary, bands array<long>")
-
-
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=1)
+    return hashed.mapInArrow(run, "doc_id long, t1 long, t2 long, s1 long, s2 long, signature binary, plain binary, bands array<long>")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough."""
+    """The pairs (a, b) whose signatures agree often enough, by weights or as sets."""
 
     @F.pandas_udf("boolean")
-    def often(x, y):
+    def often(x, px, y, py):
         unpack = lambda v: np.frombuffer(b"".join(v), np.uint32).reshape(-1, K)
-        return pd.Series(agreeing(unpack(x), unpack(y)) >= SCREEN)
+        agree = lambda u, v: (unpack(u) == unpack(v)).sum(axis=1) >= SCREEN
+        return pd.Series(agree(x, y) | agree(px, py))
 
-    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(often("sa", "sb")).select("a", "b")
+    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"), F.coalesce("plain", "signature").alias(f"p{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(often("sa", "pa", "sb", "pb")).select("a", "b")
 
 
 def shingled(text: str) -> Counter:
@@ -265,76 +284,141 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("rep", F.col("c").alias("class"))
 
 
-def measured(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def described(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, n, cells): the cells of a text's weighted set, the first n of which are its set; a cell is a shingle and the how manieth it is."""
+
+    def run(batches):
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                k = max(1, int(np.searchsorted(np.cumsum(whole.column("words").slice(at).to_numpy()), 200_000)))
+                batch = whole.slice(at, k)
+                at += k
+                sizes = np.diff(batch.column("hashes").offsets.to_numpy()).astype(np.int64)
+                flat = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(U)
+                doc, x, weight = weighted(*shingles(flat, sizes)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
+                nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                owner, cell = np.repeat(doc, weight), mix(np.repeat(x, weight) + U(0x9E3779B97F4A7C15) * nth.astype(U)).view(np.int64)
+                order = np.lexsort((nth > 0, owner))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, len(sizes)).astype(np.int64))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep"), pa.array(np.bincount(doc, minlength=len(sizes)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order]))],
+                    names=["rep", "n", "cells"],
+                )
+
+    texts = among(docs, reps.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+    hashed = texts.select("rep", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).withColumn("words", F.size("hashes").cast("long"))
+    return hashed.mapInArrow(run, "rep long, n long, cells array<long>")
+
+
+def measured(sets: DataFrame) -> DataFrame:
     """(rep, n, u, w, uw): a text's distinct shingles and those that no other of the texts has; the same by weight.
 
-    Shingles are counted over the given texts by aggregation alone: a shingle of one text
+    Shingles are counted over the given texts by aggregation alone: a cell of one text
     names that text by its least rep.
     """
+    each = sets.select("rep", "n", F.posexplode("cells").alias("at", "x")).withColumn("plain", F.col("at") < F.col("n"))
+    once = each.groupBy("x").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.first("plain").alias("plain"))
+    alone = once.where("texts = 1").groupBy("rep").agg(F.count_if("plain").alias("u"), F.count("*").alias("uw"))
+    whole = sets.select("rep", "n", F.size("cells").cast("long").alias("w"))
+    return whole.join(alone, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
 
-    def run(batches):
-        for batch in batches:
-            sizes = np.diff(batch.column("hashes").offsets.to_numpy()).astype(np.int64)
-            flat = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(U)
-            doc, x, weight = weighted(*shingles(flat, sizes)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[doc]), pa.array(x.view(np.int64)), pa.array(weight)], names=["rep", "x", "c"])
 
-    texts = among(docs, reps.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
-    hashed = texts.select("rep", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    each = hashed.mapInArrow(run, "rep long, x long, c long")
-    once = each.groupBy("x").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.sum("c").alias("c"))
-    alone = once.where("texts = 1").groupBy("rep").agg(F.count("*").alias("u"), F.sum("c").alias("uw"))
-    whole = each.groupBy("rep").agg(F.count("*").alias("n"), F.sum("c").alias("w"))
-    return whole.join(alone, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
+def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, rep, weighted, class, outside, e, size, v, most): a row for each element that sets a member apart from its hub c.
 
+    By weighted sets and by sets. size: how many elements there are; v: removed ones plus ALIKE
+    times added ones; most: (1 - ALIKE) |c|; outside: whether the member's class is not its hub's.
+    """
 
-def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i] for k in batch.schema.names}
+                mine, hub = (row[k].values.to_numpy() for k in ("cells", "hub_cells"))
+                for weighted in (True, False):
+                    x, c = (mine, hub) if weighted else (mine[: row["n"].as_py()], hub[: row["hub_n"].as_py()])
+                    removed, added = np.setdiff1d(c, x), np.setdiff1d(x, c)
+                    e, k = np.concatenate([removed, added]), len(removed) + len(added)
+                    same = lambda v, t: pa.array(np.full(k, v), t)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            same(row["c"].as_py(), pa.int64()), same(row["rep"].as_py(), pa.int64()), same(weighted, pa.bool_()), same(row["class"].as_py(), pa.int64()), same(row["outside"].as_py(), pa.bool_()),
+                            pa.array(e), same(k, pa.int64()), same(len(removed) + ALIKE * len(added), pa.float64()), same((1 - ALIKE) * len(c), pa.float64()),
+                        ],
+                        names=["c", "rep", "weighted", "class", "outside", "e", "size", "v", "most"],
+                    )
+
+    hub = sets.select(F.col("rep").alias("c"), F.col("n").alias("hub_n"), F.col("cells").alias("hub_cells"))
+    return members.join(sets, "rep").join(hub, "c").mapInArrow(run, "c long, rep long, weighted boolean, class long, outside boolean, e long, size long, v double, most double")
+
+
+def unresolved(crowded: DataFrame, hubs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): documents of a bucket and of different classes that can be alike.
 
     A text with n shingles, u of which no other text has, shares at most n - u with any; so
     for another with m shingles the index is at most (n - u) / (u + max(n - u, m)). That
-    bound, with the least m of the bucket, drops documents before they meet, and with the
-    other's m and u pairs as they meet. The bound is exact: no link is lost.
+    bound, with the least m of the bucket, drops documents at first. The others are joined,
+    hub by hub, by the rarest elements that set them apart from the hub. Both steps are exact.
     """
-    placed = crowded.select("rep", "band", "h").join(found, "rep", "left").select("rep", "band", "h", F.coalesce("class", "rep").alias("class"))
-    several = lambda df: df.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("n", "w") if c in df.columns)).where("lo <> hi").drop("lo", "hi")
-    left = durable(placed.join(several(placed), ["band", "h"]))
-    known = durable(left.join(durable(measured(docs, left.select("rep").distinct())), "rep"))
+    placed = crowded.select("rep", "h").join(found, "rep", "left").select("rep", "h", F.coalesce("class", "rep").alias("class"))
+    several = lambda df: df.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("n", "w") if c in df.columns)).where("lo <> hi").drop("lo", "hi")
+    left = durable(placed.join(several(placed), "h").join(hubs, "h"))
+    sets = durable(described(docs, left.select("rep").union(left.select("h2")).distinct()))
+    known = left.join(durable(measured(sets)), "rep")
     most = lambda n, u, m: (n - u) / (u + F.greatest(n - u, m))
-    able = known.join(several(known), ["band", "h"]).where(
+    able = known.join(several(known), "h").where(
         (most(F.col("n"), F.col("u"), F.col("least_n")) >= ALIKE) | (most(F.col("w"), F.col("uw"), F.col("least_w")) >= ALIKE)
     )
-    able = able.drop("least_n", "least_w")
-    able = durable(able.join(several(able), ["band", "h"]).drop("least_n", "least_w"))
-    side = lambda x: able.select("band", "h", F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("class", "n", "u", "w", "uw")))
-
-    def both(n: str, u: str):
-        shared = F.least(F.col(f"a_{n}") - F.col(f"a_{u}"), F.col(f"b_{n}") - F.col(f"b_{u}"))
-        return shared / (F.col(f"a_{n}") + F.col(f"b_{n}") - shared) >= ALIKE
-
-    x, y = side("a").alias("x"), side("b").alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
-    return x.join(y, same & (F.col("a_class") != F.col("b_class")) & (F.col("a") > F.col("b")) & (both("n", "u") | both("w", "uw"))).select("a", "b").distinct()
+    able = able.join(found.select(F.col("rep").alias("h2"), F.col("class").alias("hub_class")), "h2", "left")
+    members = able.select(F.col("h2").alias("c"), "rep", "class", (F.col("class") != F.coalesce("hub_class", "h2")).alias("outside")).where("rep <> c").distinct()
+    mixed = members.groupBy("c").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outside").alias("some")).where("lo <> hi and some").select("c")
+    elements = durable(apart(members.join(mixed, "c"), sets))
+    # an element that one class alone has joins nothing; in the common order these come first
+    shared = elements.groupBy("c", "weighted", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mine = Window.partitionBy("c", "weighted", "rep")
+    ranked = (
+        elements.join(shared, ["c", "weighted", "e"])
+        .withColumn("rank", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "e")))
+        # elements that it has in common with any other of another class, and with one outside of the hub's class
+        .withColumn("to_any", F.greatest(F.ceil(F.col("v") - F.col("most") - 1e-6), F.lit(1)))
+        .withColumn("to_outside", F.greatest(F.ceil(F.col("v") / (1 + ALIKE) - 1e-6), F.when(F.col("outside"), F.col("to_any")).otherwise(1)))
+        .withColumn("is_x", F.col("outside") & (F.col("rank") <= F.col("size") - F.col("to_any") + 1))
+        .withColumn("is_y", F.col("rank") <= F.col("size") - F.col("to_outside") + 1)
+        .where("is_x or is_y")
+    )
+    ranked = durable(ranked.select("c", "weighted", "e", "rep", "class", "size", "v", "most", "rank", "is_x", "is_y"))
+    side = lambda x, df: df.select("c", "weighted", "e", *(F.col(k).alias(f"{x}_{k}") for k in ("rep", "class", "size", "v", "rank", "most")))
+    in_common = 1 + F.least(F.col("x_size") - F.col("x_rank"), F.col("y_size") - F.col("y_rank"))
+    met = side("x", ranked.where("is_x")).join(side("y", ranked.where("is_y")), ["c", "weighted", "e"]).where(
+        (F.col("x_class") != F.col("y_class")) & (in_common >= (F.col("x_v") + F.col("y_v") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
+    )
+    return met.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id."""
+    return named(docs).select("doc_id", "class_id")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, and t1, t2, which tell apart rows of one id by their texts."""
     every = durable(signed(docs))
     reps = every.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    nodes = durable(every.join(reps, ["s1", "s2"]).where("doc_id = rep").select("rep", "signature", "bands"))
-    meets = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
-    crowds = meets.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("h1")).where("n > 1")
-    crowded = durable(meets.join(crowds, ["band", "h"]))
+    nodes = durable(every.join(reps, ["s1", "s2"]).where("doc_id = rep").select("rep", "signature", "plain", "bands"))
+    meets = nodes.select("rep", F.explode("bands").alias("h"))
+    crowds = meets.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("h1")).where("n > 1")
+    crowded = durable(meets.join(crowds, "h"))
     # the one that meets most others is the likeliest to be what they are copies of
     busy = crowded.groupBy("rep").agg(F.sum("n").alias("met"))
-    hubs = crowded.join(busy, "rep").groupBy("band", "h").agg(F.max(F.struct("met", "rep"))["rep"].alias("h2"))
-    pairs = crowded.join(hubs, ["band", "h"]).select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
+    hubs = durable(crowded.join(busy, "rep").groupBy("h").agg(F.max(F.struct("met", "rep"))["rep"].alias("h2")))
+    pairs = crowded.join(hubs, "h").select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
     pairs = durable(screened(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
     links = durable(linked(pairs, docs))
     found = durable(components(links))
-    rest = unresolved(crowded, found, docs).join(pairs, ["a", "b"], "left_anti")
+    rest = unresolved(crowded, hubs, found, docs).join(pairs, ["a", "b"], "left_anti")
     rest = durable(screened(rest, nodes))
     if rest.limit(1).count():
         found = components(links.unionAll(linked(rest, docs)))
-    named = every.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"])
-    return named.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
+    rows = every.select("doc_id", "s1", "s2", "t1", "t2").join(reps, ["s1", "s2"])
+    return rows.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), "t1", "t2")

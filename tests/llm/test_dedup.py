@@ -211,3 +211,45 @@ def test_stages_stand_odd_documents(spark, index):
     got = stage(spark, docs, bench)
     assert got.count() <= docs.count()
     assert stage(spark, docs.limit(0), bench).count() == 0
+
+
+def crowd() -> list[tuple]:
+    """Copies of one text, few edits to many; some pairs far from it are alike; a pair that differs in repeats only."""
+    r = random.Random(8)
+    base, rows = cases.prose(700, 150).split(), []
+    for k in range(90):
+        ws = list(base)
+        for _ in range(k % 45):
+            ws[r.randrange(len(ws))] = f"z{r.randrange(60)}"
+        rows.append((5000 + k, " ".join(ws), "en", "s", 1))
+    for k in range(8):
+        ws = list(base)
+        for j in range(0, 150, 12):
+            ws[j] = f"far{k}x{j}"
+        rows += [(6000 + 10 * k + e, " ".join(ws[: 150 - 3 * e]), "en", "s", 1) for e in range(3)]
+    line, rest = "the same sentence stands here over and over ", cases.prose(701, 120)
+    return rows + [(7000, line * 40 + rest, "en", "s", 1), (7001, line * 4 + rest, "en", "s", 1)]
+
+
+def test_a_crowd_of_near_copies_loses_no_link(spark):
+    rows = crowd()
+    got = {r.doc_id: r.class_id for r in neardup.classes(cases.documents(spark, rows)).collect()}
+    assert got == plain_classes(rows)
+    assert got[7001] == 7000
+
+
+def plain_classes(rows) -> dict:
+    """By comparing all texts, with nothing of the code under test."""
+    sets = []
+    for _, t, *_ in rows:
+        ws = cases.words(t)
+        sets.append(Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))))
+    name = {r[0]: r[0] for r in rows}
+    ids = [r[0] for r in rows]
+    for i in range(len(ids)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if len(x.keys() & y.keys()) >= 0.8 * len(x.keys() | y.keys()) or (x & y).total() >= 0.8 * (x | y).total():
+                a, b = name[ids[i]], name[ids[j]]
+                name = {k: min(a, b) if v in (a, b) else v for k, v in name.items()}
+    return name
