@@ -43,3 +43,26 @@ def durable(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for readers that each need some of its columns."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Words of 64 bits of a bitmap of keys.
+MARKS = 1 << 19
+
+
+def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose columns are among the keys, and few others, so that a join with the keys has little to send.
+
+    The keys are marked in a bitmap of MARKS words, a table of that many rows at most, which is
+    broadcast. With very many keys more rows pass, and the join that follows leaves them out.
+    """
+    word = F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(64)).cast("int"))
+    marks = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.withColumn("__word", word).join(F.broadcast(marks), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")

@@ -1,29 +1,42 @@
-"""Benchmark decontamination with a positional inverted index (DataFrame functions only).
+"""Benchmark decontamination with a stored positional inverted index (DataFrame functions only).
 
-The corpus is indexed by term: a posting is (term, document, position) and carries the
-terms around it, so that the other lists of a phrase can be intersected at their
-offset-adjusted positions without sending the corpus over the network. Only lists that
-the benchmark asks for are stored: of the terms of every benchmark window the rarest in
-the corpus is looked up first, then the second rarest, then the rest; a window with a
-term that the corpus lacks is dropped before any list is read.
+The corpus is read and tokenised once. A posting is (term, document, position); the
+postings of the terms that the benchmark asks for are written as a table, together with
+one posting that ends each document and so holds its number of words. Everything else is
+read from that table: how rare the terms are, and the places of the phrases.
+
+Of a benchmark window the list of the rarest term is read first; its postings are the
+anchors. The second rarest term's list is intersected with them, adjusted by offset and
+slack, then the lists of the other terms with what is left; a window with a term that the
+corpus lacks is dropped before any list is read. An anchor is an exact match if every term
+stands at its offset; else it is a proximity match if within len + slop - 1 words before or
+after it every term stands at least as often as in the window, in any order. Of a list,
+only postings near an anchor are sent (a bitmap of bounded size tells, see common.marked).
 
 Defined results for odd input: null text has no words and gets zeros; an item without
-words has no window; a repeated item_id counts once, and repeated document rows each get
-their own, equal, row; an empty benchmark leaves every document clean; further columns
-are ignored.
+words has no window; a repeated item_id counts once; a null item_id makes words hit but is
+no item; repeated document rows each get their own, equal, row; an empty benchmark leaves
+every document clean; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import durable, marked, words, written
 
-#: Windows per broadcast block; a window takes under 1 KB, so a block is under 100 MB.
+#: Rows of a table of windows or terms up to which it is broadcast; a row takes under 1 KB.
 BLOCK = 100_000
+#: Positions are compared within blocks of this size and its neighbours.
+NEAR = 32
+#: What ends a document in the index; no word has this character.
+END = "\x00"
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcasting if it is small."""
+    return F.broadcast(df) if df.limit(BLOCK + 1).count() <= BLOCK else df
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -33,81 +46,73 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
         .where(F.size("ws") > 0)
         .select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1)))).alias("at"))
         .select("item_id", F.slice("ws", F.col("at"), n).alias("terms"))
-        .select("item_id", F.concat_ws(" ", "terms").alias("phrase"), "terms")
+        .select("item_id", F.xxhash64("terms").alias("phrase"), "terms")
         .distinct()
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, text): k tells apart rows that share a doc_id but not a text."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-
-
-def tokens(docs: DataFrame) -> DataFrame:
-    """Every token of the corpus as (doc_id, k, ws, pos, term); pos from 0, ws is the document's term array."""
-    return docs.select("doc_id", "k", words(F.col("text")).alias("ws")).select("doc_id", "k", "ws", F.posexplode("ws").alias("pos", "term"))
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(h, n): corpus counts of the given terms (column h, a 64-bit hash), counted over all tokens."""
-    return tokens(docs).select(F.xxhash64("term").alias("h")).join(F.broadcast(terms), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+def indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: (h, id, k, doc_id, pos), a posting for each place of the terms (h, term).
 
+    h: hash of the term; id and k name a document (its doc_id, or 0, and a hash of its text);
+    pos counts from 0. The posting of END stands at the document's number of words.
+    """
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select(
+        "doc_id",
+        F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("k"),
+        F.array_append(words(F.col("text")), F.lit(END)).alias("ws"),
+    )
+    places = texts.select("doc_id", "id", "k", F.posexplode("ws").alias("pos", "term")).withColumn("h", F.xxhash64("term"))
+    ended = terms.unionAll(terms.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("h"), F.lit(END).alias("term")))
+    asked = ended.withColumnRenamed("term", "asked")
+    return written(places.join(sized(asked), "h").where("term = asked").select("h", "id", "k", "doc_id", "pos"), "postings")
 
-def by_rarity(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per phrase: its terms, and the terms with their offsets from the rarest on.
 
-    Phrases with a term that the corpus lacks are absent.
-    """
+def by_rarity(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """(phrase, hs, h1, o1, h2) of the phrases all of whose terms the corpus has: hashes of the terms, the rarest and its offset, the second rarest."""
     lists = windows.select("phrase", "terms").distinct()
-    spelled = lists.select("phrase", "terms", F.posexplode("terms").alias("off", "term")).withColumn("h", F.xxhash64("term"))
-    counts = term_counts(docs, spelled.select("h").distinct())
+    spelled = lists.select("phrase", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).withColumn("h", F.xxhash64("term"))
+    counts = index.groupBy("h").agg(F.count("*").alias("n"))
     return (
         spelled.join(counts, "h")
-        .groupBy("phrase")
-        .agg(F.first("terms").alias("terms"), F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("ranked"))
-        .where(F.size("ranked") == F.size("terms"))
-        .select("phrase", "terms", "ranked", F.col("ranked")[0]["off"].alias("o1"), F.col("ranked")[0]["term"].alias("t1"), *second())
+        .groupBy("phrase", "len")
+        .agg(F.array_sort(F.collect_list(F.struct("off", "h")))["h"].alias("hs"), F.array_sort(F.collect_list(F.struct("n", "off", "h"))).alias("ranked"))
+        .where(F.size("ranked") == F.col("len"))
+        .select("phrase", "hs", F.col("ranked")[0]["h"].alias("h1"), F.col("ranked")[0]["off"].alias("o1"), F.element_at("ranked", F.least("len", F.lit(2)))["h"].alias("h2"))
     )
 
 
-def second() -> list[Column]:
-    last = F.least(F.size("ranked"), F.lit(2))
-    return [F.element_at("ranked", last)["off"].alias("o2"), F.element_at("ranked", last)["term"].alias("t2")]
-
-
-def occurrences(docs: DataFrame, windows: DataFrame, slop: int = 5) -> DataFrame:
-    """(doc_id, k, phrase, start, len, exact): places of the phrases in the documents.
-
-    exact: the terms stand consecutively from start. Otherwise a proximity match: all the
-    terms stand within len + slop words of the rarest one, in any order.
-    """
-    ranked = F.broadcast(by_rarity(windows, docs).withColumn("h", F.xxhash64("t1")))
-    start = F.col("pos") - F.col("o1")
-    length = F.size("terms")
-    inside = (start >= 0) & (start + length <= F.size("ws"))
-    # the second rarest list at its offset, then the others
-    exact = inside & (F.try_element_at("ws", F.greatest(start + F.col("o2") + 1, F.lit(1))) == F.col("t2")) & (F.slice("ws", F.greatest(start + 1, F.lit(1)), length) == F.col("terms"))
-    around = F.slice("ws", F.greatest(F.col("pos") - length - slop + 2, F.lit(1)), F.least(F.col("pos") + 1, length + slop - 1) + length + slop - 1)
-    near = F.size(F.array_except("terms", around)) == 0
+def around(anchors: DataFrame, index: DataFrame) -> DataFrame:
+    """The anchors (id, k, at, phrase, reach, h) with the places, pos, of their terms h within reach of them."""
+    part = F.explode(F.sequence(F.floor((F.col("at") - F.col("reach")) / NEAR), F.floor((F.col("at") + F.col("reach")) / NEAR)))
+    sought = durable(anchors.withColumn("part", part))
+    places = index.select("id", "k", "h", "pos", F.floor(F.col("pos") / NEAR).alias("part"))
+    keys = ["id", "k", "h", "part"]
+    return marked(places, sought.select(*keys), keys).join(sought, keys).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+
+
+def occurrences(index: DataFrame, ranked: DataFrame, slop: int = 5) -> DataFrame:
+    """(id, k, phrase, start, len, exact): exact and proximity matches of the phrases; start counts for exact ones."""
+    reach = F.size("hs") + F.lit(slop - 1)
+    first = sized(ranked.select("phrase", F.col("h1").alias("h"), F.col("h2"), reach.alias("reach")))
+    anchors = index.join(first, "h").select("id", "k", F.col("pos").alias("at"), "phrase", "reach", F.col("h2").alias("h"))
+    two = durable(around(anchors, index).select("id", "k", "at", "phrase", "reach").distinct())
+    others = two.join(sized(ranked.select("phrase", F.explode(F.array_distinct("hs")).alias("h"))), "phrase")
+    found = around(others, index).groupBy("id", "k", "at", "phrase").agg(F.collect_set(F.struct("h", "pos")).alias("places"))
+    start = F.col("at") - F.col("o1")
+    exact = F.forall(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: F.array_contains("places", F.struct(F.get("hs", i).alias("h"), (start + i).cast("int").alias("pos"))))
+    often = lambda h, xs: F.size(F.filter(xs, lambda x: x == h))
+    near = F.forall("hs", lambda h: often(h, F.col("places")["h"]) >= often(h, F.col("hs")))
     return (
-        tokens(docs)
-        .join(ranked, F.xxhash64("term") == F.col("h"))
-        .where(F.col("term") == F.col("t1"))
-        .select("doc_id", "k", "phrase", start.alias("start"), length.alias("len"), exact.alias("exact"), near.alias("near"))
-        .where(F.col("exact") | F.col("near"))
+        found.join(sized(ranked.select("phrase", "hs", "o1")), "phrase")
+        .select("id", "k", "phrase", start.alias("start"), F.size("hs").alias("len"), exact.alias("exact"), near.alias("near"))
+        .where("exact or near")
         .drop("near")
     )
 
 
-def in_blocks(docs: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """occurrences(), with the windows dealt into blocks of a bounded size for broadcasting."""
-    blocks = -(-windows.count() // BLOCK) or 1
-    if blocks == 1:
-        return occurrences(docs, windows, slop)
-    part = lambda i: windows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == i)
-    return reduce(DataFrame.unionAll, [occurrences(docs, part(i), slop) for i in range(blocks)])
-
-
 def covered(places: Column) -> Column:
     """Words inside any of the places, an array of (start, len)."""
     step = lambda acc, p: F.struct(
@@ -119,33 +124,32 @@ def covered(places: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near (phrases matched by proximity only)."""
-    texts = keyed(docs)
-    windows = benchmark_windows(benchmark, n)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (phrases matched by proximity only), and k, a hash of the text."""
+    windows = durable(benchmark_windows(benchmark, n))
+    terms = windows.select(F.explode("terms").alias("term")).distinct().select(F.xxhash64("term").alias("h"), "term")
+    index = indexed(docs, terms)
+    end = F.xxhash64(F.lit(END))
+    ranked = durable(by_rarity(windows, index.where(F.col("h") != end)))
     holders = windows.select("phrase", F.col("item_id").cast("string").alias("item"))
     found = (
-        in_blocks(texts, windows, slop)
-        .groupBy("doc_id", "k")
+        occurrences(index, ranked, slop)
+        .groupBy("id", "k")
         .agg(
             F.collect_set(F.when(F.col("exact"), F.struct("start", "len"))).alias("places"),
             F.collect_set(F.when(F.col("exact"), F.col("phrase"))).alias("phrases"),
             F.collect_set(F.when(~F.col("exact"), F.col("phrase"))).alias("close"),
         )
-        .select("doc_id", "k", covered(F.col("places")).alias("n_hit"), F.size(F.array_except("close", "phrases")).cast("long").alias("n_near"), F.explode_outer("phrases").alias("phrase"))
-        .join(holders, "phrase", "left")
-        .groupBy("doc_id", "k")
+        .select("id", "k", covered(F.col("places")).alias("n_hit"), F.size(F.array_except("close", "phrases")).cast("long").alias("n_near"), F.explode_outer("phrases").alias("phrase"))
+        .join(sized(holders), "phrase", "left")
+        .groupBy("id", "k")
         .agg(F.first("n_hit").alias("n_hit"), F.first("n_near").alias("n_near"), F.sort_array(F.collect_set("item")).alias("items"))
     )
-    left = texts.select("doc_id", "k", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    every = index.where(F.col("h") == end).select("doc_id", "id", "k", F.col("pos").cast("long").alias("n_words"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return (
-        left.alias("a")
-        .join(found.withColumnRenamed("doc_id", "d").alias("b"), F.col("a.doc_id").eqNullSafe(F.col("d")) & (F.col("a.k") == F.col("b.k")), "left")
-        .select(
-            "a.doc_id", "n_words", zero("n_hit"),
-            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-            F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-            zero("n_near"),
-        )
-    )
+    return every.join(found, ["id", "k"], "left").select(
+        "doc_id", "n_words", zero("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        zero("n_near"), "k",
+    )

@@ -9,7 +9,7 @@ from .sql import ORACLES  # noqa: F401
 
 def op1_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")
+    return found.drop("k")
 
 
 def op2_language_id(spark, sf_dir):

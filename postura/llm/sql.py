@@ -10,14 +10,25 @@ w AS (SELECT DISTINCT item_id, ws[s:s + 9] AS t
 sizes AS (SELECT DISTINCT len(t) AS n FROM w),
 g AS (SELECT doc_id, s, n, ws[s:s + n - 1] AS t
       FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s FROM d, sizes WHERE len(ws) >= n)),
-h AS (SELECT g.doc_id, g.s, g.n, w.item_id FROM g JOIN w ON g.t = w.t),
+h AS (SELECT g.doc_id, g.s, g.n, w.item_id, w.t FROM g JOIN w ON g.t = w.t),
+tok AS (SELECT doc_id, unnest(ws) AS term, unnest(generate_series(0, len(ws) - 1)) AS p FROM d WHERE len(ws) > 0),
+e AS (SELECT t, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS off FROM (SELECT DISTINCT t FROM w)),
+r AS (SELECT t, arg_min(term, n * 100 + off) AS rarest FROM e JOIN (SELECT term, count(*) AS n FROM tok GROUP BY 1) c USING (term)
+      GROUP BY t HAVING count(*) = len(t)),
+a AS (SELECT tok.doc_id, tok.p, r.t, len(r.t) + 4 AS reach FROM tok JOIN r ON tok.term = r.rarest),
+m AS (SELECT t, term, count(*) AS times FROM e GROUP BY 1, 2),
+f AS (SELECT a.doc_id, a.p, a.t, m.term FROM a JOIN m ON a.t = m.t
+      JOIN tok ON tok.doc_id = a.doc_id AND tok.term = m.term AND abs(tok.p - a.p) <= a.reach
+      GROUP BY a.doc_id, a.p, a.t, m.term, m.times HAVING count(*) >= m.times),
+nr AS (SELECT doc_id, count(DISTINCT t) AS n_near FROM (SELECT doc_id, p, t FROM f GROUP BY 1, 2, 3 HAVING count(*) = len(list_distinct(t))) q
+       WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = q.doc_id AND h.t = q.t) GROUP BY 1),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM h) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 ORACLES = {"op1_benchmark_decontamination": OP1}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def test_contamination_equals_brute_force(spark, clash):
                     found |= owners
         names = ",".join(sorted(str(i) for i in found if i is not None))
         expected.append((row.doc_id, len(ws), len(hit), len([i for i in found if i is not None]), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
-    got = [tuple(r) for r in decontaminate.contamination(docs, bench).drop("n_near").collect()]
+    got = [tuple(r) for r in decontaminate.contamination(docs, bench).drop("n_near", "k").collect()]
     assert by_text(got) == by_text(expected)
     assert any(r[5] for r in got)
 
@@ -48,13 +49,41 @@ def test_proximity_matches_are_found(spark):
     assert got == {1: (True, 0), 2: (False, 1), 3: (False, 0)}
 
 
+def test_proximity_matches_equal_brute_force(spark):
+    r, vocabulary = random.Random(4), [f"t{i}" for i in range(30)]
+    texts = {i: [r.choice(vocabulary) for _ in range(r.randrange(400))] for i in range(40)}
+    items = [[r.choice(vocabulary) for _ in range(r.randrange(1, 5))] for _ in range(60)] + [["t1", "t1", "t2"], ["t3"] * 3]
+    count = Counter(w for ws in texts.values() for w in ws)
+    want = {}
+    for i, ws in texts.items():
+        near = set()
+        for t in map(tuple, items):
+            if any(tuple(ws[s : s + len(t)]) == t for s in range(len(ws))):
+                continue
+            rarest = min(t, key=lambda w: (count[w], t.index(w)))
+            around = [Counter(ws[max(0, p - len(t) - 4) : p + len(t) + 5]) for p, w in enumerate(ws) if w == rarest]
+            if any(all(c[w] >= n for w, n in Counter(t).items()) for c in around):
+                near.add(t)
+        want[i] = len(near)
+    docs = cases.documents(spark, [(i, " ".join(ws), None, None, None) for i, ws in texts.items()])
+    got = decontaminate.contamination(docs, cases.benchmark(spark, [(i, " ".join(t)) for i, t in enumerate(items)]))
+    assert {x.doc_id: x.n_near for x in got.collect()} == want and sum(want.values()) > 20
+
+
+def test_postings_are_stored_and_end_their_documents(spark):
+    terms = spark.createDataFrame([("b",), ("absent",)], "term string").select(F.xxhash64("term").alias("h"), "term")
+    index = decontaminate.indexed(cases.documents(spark, [(1, "a B b", None, None, None), (2, None, None, None, None)]), terms)
+    assert sorted((r.doc_id, r.pos) for r in index.collect()) == [(1, 1), (1, 2), (1, 3), (2, 0)]
+    assert index.inputFiles()
+
+
 def test_contamination_of_and_by_nothing(spark):
     docs, bench = cases.documents(spark), cases.benchmark(spark)
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated or n_items > 0").count() == 0
 
 
-def test_blocks_of_windows_give_the_same(spark, monkeypatch):
+def test_tables_beyond_broadcasting_give_the_same(spark, monkeypatch):
     docs, bench = cases.documents(spark), cases.benchmark(spark)
     whole = by_text(tuple(r) for r in decontaminate.contamination(docs, bench).collect())
     monkeypatch.setattr(decontaminate, "BLOCK", 10)
