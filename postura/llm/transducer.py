@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
 The model file is compiled into three relations: the normaliser (white space to the word
-mark, and a mark before the text), the pieces, and byte fallback for characters without
-a piece. Their composition with a text is a graph: a state is a position and the last
-piece, an arc reads the characters of one piece and writes its id. Weights add up along
-a path, and the path of least weight is taken (tropical semiring).
+mark, and a mark before the text), the pieces as a deterministic acceptor that reads one
+character an arc, and byte fallback for characters without a piece. Their composition
+with a text is a graph: a state is a position and the last piece, an arc reads the
+characters of one piece and writes its id. Weights add up along a path, of paths to one
+state the least is kept (tropical semiring), and states are relaxed from left to right.
 
 Arc weights follow the model's kind. A unigram model's arcs weigh minus the piece's
 score, and the state needs the position only. In a merge-ranked (BPE) model an arc weighs
 0 if the two pieces may stand side by side, that is, if merging their joined text yields
 just those two, and infinity otherwise; each prefix then has at most one last piece of
-finite weight, so the search keeps one state a position, and the path is the very
+finite weight, so one state a position is enough here too, and the path is the very
 segmentation that the merges give.
 
 Pieces never cross from a text character to a following word mark, so a text falls into
@@ -25,7 +26,9 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments remembered by a Python worker, and the longest of them in characters.
-REMEMBERED, MEMO_CHARS = 100_000, 48
+REMEMBERED, MEMO_CHARS = 200_000, 48
+#: Pairs of pieces remembered by it.
+MOST_PAIRS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -98,25 +103,30 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
-        self.longest = max(map(len, self.ids), default=1)
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        #: Neighbouring characters inside pieces: no piece of any path lies across other neighbours.
-        self.within = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in x for x in self.within))
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         self.segments = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.old: dict[str, tuple[int, ...]] = {}  # the memo before it was last full
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}  # whether a piece may stand before another, as far as asked
+        self.known = 0
         if self.bpe:
             #: How each piece is last merged; pieces that their own text's merges don't yield never appear.
             self.halves: dict[int, tuple[int, int]] = {}
             for p, i in list(self.ids.items()):
                 if len(p) > 1 and not self.split(p, i):
                     del self.ids[p]
-            #: The longest piece that begins with two characters, and the next shorter piece that begins a piece.
-            self.reach: dict[str, int] = {}
-            for p in self.ids:
-                self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
+        #: The acceptor of the pieces: a state maps a character to the next state and the piece that ends there, or -1.
+        self.acceptor: dict = {}
+        for p, i in self.ids.items():
+            state = self.acceptor
+            for c in p[:-1]:
+                state = state.setdefault(c, ({}, -1))[0]
+            state[p[-1]] = (state[p[-1]][0] if p[-1] in state else {}, i)
+        self.worst = 10.0 - min(self.scores, default=0.0)
+        self.spelled = [p.replace(MARK, " ") if k in (NORMAL, USER) else " \u2047 " if k == UNKNOWN else "" for p, k in zip(self.pieces, self.kinds)]
+        self.byte_ids = frozenset(self.bytes.values())
 
     def merges(self, text: str) -> list[str]:
         """Pieces by repeated merging of the best-scored neighbours, leftmost first; for short texts."""
@@ -152,9 +162,6 @@ class Transducer:
         at the border would have merged if their joint piece ranked before the merge that
         was undone last (at equal rank the leftmost goes first).
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         ids, pieces, scores, halves = self.ids, self.pieces, self.scores, self.halves
         x, y, ok = a, b, True
         bound, left = float("-inf"), False  # the rank of the merge undone last, and whether it was in the left piece
@@ -174,9 +181,6 @@ class Transducer:
             else:
                 bound, left = sy, False
                 y = halves[y][0]
-        if len(self.pairs) >= 2 * REMEMBERED:
-            self.pairs.clear()
-        self.pairs[a, b] = ok
         return ok
 
     def fallback(self, c: str) -> list[int]:
@@ -184,84 +188,61 @@ class Transducer:
 
     def best_path(self, s: str) -> list[int]:
         """Ids on the path of least weight through the composition with s."""
-        return self.finite_path(s) if self.bpe else self.least_path(s)
-
-    def least_path(self, s: str) -> list[int]:
-        """Relaxes the arcs from left to right; weights are minus the scores."""
-        n, ids, inf = len(s), self.ids, float("inf")
+        n, inf, bpe, beside, scores = len(s), float("inf"), self.bpe, self.beside, self.scores
         weight, last, start = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        worst = 10.0 - min(self.scores, default=0.0)
-        for end in range(1, n + 1):
-            for a in range(max(0, end - self.longest), end):
-                piece = ids.get(s[a:end], -1)
-                if piece < 0 and end - a > 1:
+        for a in range(n):
+            so_far, before = weight[a], last[a]
+            if so_far == inf:
+                continue
+            beside_it = self.pairs.setdefault(before, {}) if bpe else None
+            state, end, alone = self.acceptor, a, True
+            for c in s[a:] if n < 64 else islice(s, a, None):
+                arc = state.get(c)
+                if arc is None:
+                    break
+                state, piece = arc
+                end += 1
+                if piece < 0:
+                    continue
+                alone = alone and end > a + 1
+                if not bpe:
+                    cost = so_far - scores[piece]
+                elif weight[end] == 0.0:  # no other arc can weigh less
                     continue
-                cost = weight[a] + (worst if piece < 0 else -self.scores[piece])
+                else:
+                    fits = beside_it.get(piece)
+                    if fits is None:
+                        fits = beside_it[piece] = before < 0 or beside(before, piece)
+                        self.known += 1
+                    cost = so_far if fits else inf
                 if cost < weight[end]:
                     weight[end], last[end], start[end] = cost, piece, a
+            if alone and so_far + self.worst < weight[a + 1]:
+                weight[a + 1], last[a + 1], start[a + 1] = so_far + (0.0 if bpe else self.worst), -1, a
+        if self.known > MOST_PAIRS:
+            self.pairs, self.known = {}, 0
         path, end = [], n
         while end:
-            path.append([last[end]] if last[end] >= 0 else self.fallback(s[start[end] : end]))
+            path.append((last[end],) if last[end] >= 0 else self.fallback(s[start[end] : end]))
             end = start[end]
         return [i for x in reversed(path) for i in x]
 
-    def finite_path(self, s: str) -> list[int]:
-        """The path whose arcs all have finite weight: longest pieces first, stepping back at an infinite arc.
-
-        A state (position, last piece) from which the search stepped back is not entered again.
-        """
-        n, ids, reach, beside, dead = len(s), self.ids, self.reach, self.beside, set()
-        path: list[tuple[int, int, int]] = []  # (from, length, piece); piece -1: bytes
-        at, last, length = 0, -1, 0  # length: try shorter pieces than this; 0: any
-        while at < n:
-            k = min(n - at, reach.get(s[at : at + 2], 1)) if not length else length - 1
-            while k > 0:
-                piece = ids.get(s[at : at + k])
-                if piece is None:
-                    if k == 1:
-                        piece = -1
-                        break
-                elif (last < 0 or beside(last, piece)) and (at + k, piece) not in dead:
-                    break
-                k -= 1
-            if k > 0:
-                path.append((at, k, piece))
-                at, last, length = at + k, piece, 0
-            else:
-                dead.add((at, last))
-                at, length, _ = path.pop()
-                last = path[-1][2] if path else -1
-        out: list[int] = []
-        for a, k, piece in path:
-            out += [piece] if piece >= 0 else self.fallback(s[a : a + k])
-        return out
-
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        text, get = self.normalise(text), self.memo.get
-        for s in self.segments.findall(text) if self.splits else [text]:
-            ids = get(s)
-            if ids is None:
-                ids = self.segment(s)
-                get = self.memo.get
-            out += ids
-        return out
+        text = self.normalise(text)
+        parts = self.segments.findall(text) if self.splits else [text]
+        found = list(map(self.memo.get, parts))
+        if None in found:
+            found = [self.segment(s) if ids is None else ids for ids, s in zip(found, parts)]
+        return list(chain.from_iterable(found))
 
     def segment(self, s: str) -> tuple[int, ...]:
-        """The best path of a segment: those of its parts between which no piece can lie, one after another."""
-        ids = self.old.get(s)
-        if ids is None:
-            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.within]
-            if cuts:
-                parts = [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)])]
-                ids = tuple(i for p in parts for i in self.memo.get(p) or self.segment(p))
-            else:
-                ids = tuple(self.best_path(s))
+        """The best path of a segment; short ones are remembered, and forgotten if not seen for long."""
+        ids = self.memo.get(s) or self.old.get(s) or tuple(self.best_path(s))
         if len(s) <= MEMO_CHARS:
             if len(self.memo) >= REMEMBERED:
                 self.old, self.memo = self.memo, {}
@@ -269,24 +250,21 @@ class Transducer:
         return ids
 
     def decode(self, ids) -> str:
-        kinds, pieces = self.kinds, self.pieces
-        parts: list[str] = []
-        pending = bytearray()
-        for i in ids:
-            kind = kinds[i]
-            if kind == BYTE:
-                pending.append(int(pieces[i][3:5], 16))
-                continue
-            if pending:
-                parts.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if kind in (NORMAL, USER):
-                parts.append(pieces[i])
-            elif kind == UNKNOWN:
-                parts.append(" ⁇ ")
-        if pending:
+        if self.byte_ids.isdisjoint(ids):
+            text = "".join(map(self.spelled.__getitem__, ids))
+        else:
+            parts: list[str] = []
+            pending = bytearray()
+            for i in ids:
+                if i in self.byte_ids:
+                    pending.append(int(self.pieces[i][3:5], 16))
+                    continue
+                if pending:
+                    parts.append(pending.decode("utf-8", "replace"))
+                    pending.clear()
+                parts.append(self.spelled[i])
             parts.append(pending.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+            text = "".join(parts).replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def expected(self, text: str) -> str:
@@ -315,7 +293,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                     same.append(model.decode(found) == model.expected(text or ""))
                     ids.append(found)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.array(list(chain.from_iterable(ids)), np.int32))), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "n_tokens", "round_trip"],
                 )
 

@@ -77,8 +77,9 @@ def test_round_trip_of_anything(model):
 
 def test_unigram_weights_take_the_lightest_path(model):
     t = object.__new__(transducer.Transducer)
-    t.ids, t.scores, t.longest, t.bytes, t.unknown = {"a": 0, "b": 1, "ab": 2, "aba": 3}, [-1.0, -1.0, -1.5, -4.0], 3, {}, 9
-    t.bpe = False
+    t.ids, t.scores, t.bytes, t.unknown = {"a": 0, "b": 1, "ab": 2, "aba": 3}, [-1.0, -1.0, -1.5, -4.0], {}, 9
+    t.acceptor = {"a": ({"b": ({"a": ({}, 3)}, 2)}, 0), "b": ({}, 1)}
+    t.bpe, t.worst, t.known = False, 14.0, 0
     assert t.best_path("aba") == [2, 0]
     assert t.best_path("abx") == [2, 9]
 
