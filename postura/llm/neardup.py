@@ -327,53 +327,65 @@ def measured(sets: DataFrame) -> DataFrame:
 def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, rep, weighted, class, outside, e, size, v, most): a row for each element that sets a member apart from its hub c.
 
-    By weighted sets and by sets. size: how many elements there are; v: removed ones plus ALIKE
-    times added ones; most: (1 - ALIKE) |c|; outside: whether the member's class is not its hub's.
+    By sets, and by weighted sets too where any of the hub's members repeats a shingle. size:
+    how many elements there are; v: removed ones plus ALIKE times added ones; most:
+    (1 - ALIKE) |c|; outside: whether the member's class is not its hub's. A member that is
+    alike to its hub has a row without e, and counts as inside.
     """
+    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, size long, v double, most double"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(k: int, *values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(np.full(k, v), t) for v, t in zip(values, types)], names=names)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i] for k in batch.schema.names}
                 mine, hub = (row[k].values.to_numpy() for k in ("cells", "hub_cells"))
-                for weighted in (True, False):
-                    x, c = (mine, hub) if weighted else (mine[: row["n"].as_py()], hub[: row["hub_n"].as_py()])
-                    removed, added = np.setdiff1d(c, x), np.setdiff1d(x, c)
-                    e, k = np.concatenate([removed, added]), len(removed) + len(added)
-                    same = lambda v, t: pa.array(np.full(k, v), t)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            same(row["c"].as_py(), pa.int64()), same(row["rep"].as_py(), pa.int64()), same(weighted, pa.bool_()), same(row["class"].as_py(), pa.int64()), same(row["outside"].as_py(), pa.bool_()),
-                            pa.array(e), same(k, pa.int64()), same(len(removed) + ALIKE * len(added), pa.float64()), same((1 - ALIKE) * len(c), pa.float64()),
-                        ],
-                        names=["c", "rep", "weighted", "class", "outside", "e", "size", "v", "most"],
-                    )
+                n, m, c, rep, group, outside = (row[k].as_py() for k in ("n", "hub_n", "c", "rep", "class", "outside"))
+                found = []
+                for weighted in (False, True) if row["repeats"].as_py() or len(hub) > m else (False,):
+                    x, y = (mine, hub) if weighted else (mine[:n], hub[:m])
+                    removed, added = np.setdiff1d(y, x), np.setdiff1d(x, y)
+                    found.append((weighted, pa.array(np.concatenate([removed, added])), len(removed) + ALIKE * len(added), (1 - ALIKE) * len(y)))
+                alike = any(v <= most + 1e-6 for _, _, v, most in found)
+                if alike and outside:
+                    yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), 0, 0.0, 0.0)
+                for weighted, e, v, most in found:
+                    yield rows(len(e), c, rep, weighted, group, outside and not alike, e, len(e), v, most)
 
     hub = sets.select(F.col("rep").alias("c"), F.col("n").alias("hub_n"), F.col("cells").alias("hub_cells"))
-    return members.join(sets, "rep").join(hub, "c").mapInArrow(run, "c long, rep long, weighted boolean, class long, outside boolean, e long, size long, v double, most double")
+    return members.join(sets, "rep").join(hub, "c").mapInArrow(run, schema)
 
 
-def unresolved(crowded: DataFrame, hubs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): documents of a bucket and of different classes that can be alike.
 
     A text with n shingles, u of which no other text has, shares at most n - u with any; so
     for another with m shingles the index is at most (n - u) / (u + max(n - u, m)). That
     bound, with the least m of the bucket, drops documents at first. The others are joined,
-    hub by hub, by the rarest elements that set them apart from the hub. Both steps are exact.
+    hub by hub, by the rarest elements that set them apart from the hub; buckets whose hubs
+    lead to one that meets yet more are taken together under that one. Both steps are exact.
     """
-    placed = crowded.select("rep", "h").join(found, "rep", "left").select("rep", "h", F.coalesce("class", "rep").alias("class"))
+    placed = crowded.select("rep", "h", "h2").join(found, "rep", "left").select("rep", "h", "h2", F.coalesce("class", "rep").alias("class"))
     several = lambda df: df.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("n", "w") if c in df.columns)).where("lo <> hi").drop("lo", "hi")
-    left = durable(placed.join(several(placed), "h").join(hubs, "h"))
-    sets = durable(described(docs, left.select("rep").union(left.select("h2")).distinct()))
-    known = left.join(durable(measured(sets)), "rep")
+    leads = crowded.groupBy(F.col("rep").alias("h2")).agg(F.max(F.struct("met", F.col("h2").alias("c")))["c"].alias("c"))
+    left = durable(placed.join(several(placed), "h").join(leads, "h2").select("rep", "h", "class", "c"))
+    sets = durable(described(docs, left.select("rep").union(left.select("c")).distinct()))
+    known = durable(left.join(measured(sets), "rep"))
     most = lambda n, u, m: (n - u) / (u + F.greatest(n - u, m))
     able = known.join(several(known), "h").where(
         (most(F.col("n"), F.col("u"), F.col("least_n")) >= ALIKE) | (most(F.col("w"), F.col("uw"), F.col("least_w")) >= ALIKE)
     )
-    able = able.join(found.select(F.col("rep").alias("h2"), F.col("class").alias("hub_class")), "h2", "left")
-    members = able.select(F.col("h2").alias("c"), "rep", "class", (F.col("class") != F.coalesce("hub_class", "h2")).alias("outside")).where("rep <> c").distinct()
-    mixed = members.groupBy("c").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outside").alias("some")).where("lo <> hi and some").select("c")
-    elements = durable(apart(members.join(mixed, "c"), sets))
+    able = able.select("c", "rep", "class", (F.col("w") > F.col("n")).alias("repeats")).where("rep <> c").distinct()
+    members = able.join(found.select(F.col("rep").alias("c"), F.col("class").alias("hub_class")), "c", "left")
+    members = durable(members.select("c", "rep", "class", "repeats", (F.col("class") != F.coalesce("hub_class", "c")).alias("outside")))
+    mixed = members.groupBy("c").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outside").alias("some"), F.max("repeats").alias("repeats"))
+    mixed = mixed.where("some").select("c", "repeats")
+    rows = durable(apart(members.drop("repeats").join(mixed, "c"), sets))
+    elements = rows.where("e is not null")
     # an element that one class alone has joins nothing; in the common order these come first
     shared = elements.groupBy("c", "weighted", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
     mine = Window.partitionBy("c", "weighted", "rep")
@@ -393,7 +405,8 @@ def unresolved(crowded: DataFrame, hubs: DataFrame, found: DataFrame, docs: Data
     met = side("x", ranked.where("is_x")).join(side("y", ranked.where("is_y")), ["c", "weighted", "e"]).where(
         (F.col("x_class") != F.col("y_class")) & (in_common >= (F.col("x_v") + F.col("y_v") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
     )
-    return met.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+    both = met.select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).unionAll(rows.where("e is null").select("c", "rep"))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -411,14 +424,16 @@ def named(docs: DataFrame) -> DataFrame:
     crowded = durable(meets.join(crowds, "h"))
     # the one that meets most others is the likeliest to be what they are copies of
     busy = crowded.groupBy("rep").agg(F.sum("n").alias("met"))
-    hubs = durable(crowded.join(busy, "rep").groupBy("h").agg(F.max(F.struct("met", "rep"))["rep"].alias("h2")))
-    pairs = crowded.join(hubs, "h").select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
+    hubs = crowded.join(busy, "rep").groupBy("h").agg(F.max(F.struct("met", "rep")).alias("hub")).select("h", "hub.met", F.col("hub.rep").alias("h2"))
+    crowded = durable(crowded.select("rep", "h", "h1").join(hubs, "h"))
+    pairs = crowded.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b")).where("a <> b")
     pairs = durable(screened(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes))
     links = durable(linked(pairs, docs))
     found = durable(components(links))
-    rest = unresolved(crowded, hubs, found, docs).join(pairs, ["a", "b"], "left_anti")
-    rest = durable(screened(rest, nodes))
+    rest = durable(unresolved(crowded, found, docs).join(pairs, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        found = components(links.unionAll(linked(rest, docs)))
+        more = durable(linked(screened(rest, nodes), docs))
+        if more.limit(1).count():
+            found = components(links.unionAll(more))
     rows = every.select("doc_id", "s1", "s2", "t1", "t2").join(reps, ["s1", "s2"])
     return rows.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), "t1", "t2")
