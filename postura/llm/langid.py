@@ -7,9 +7,10 @@ neighbours. Weights are fitted by gradient ascent on the likelihood, with expect
 forward-backward, to runs of words from a bounded sample of labelled texts, half of them
 joined from two languages. A text's language is the one with the most expected words.
 
-Every text is labelled whole, in one pass without a shuffle. The recursions run over the
-joined words of many documents in segments: segment products first, then all segments side
-by side, which is exact whatever a document's length.
+Every text is labelled whole, in one pass without a shuffle. Features of all different words
+of many documents are looked up together, and the recursions run over their joined words in
+segments: segment products first, then all segments side by side, which is exact whatever
+a document's length. A word has all its features whatever its own length.
 
 Defined results for odd input: a null text or one without a letter is `und` with score 0;
 without any labelled text all are `und`; repeated rows each give their row; further columns
@@ -27,49 +28,89 @@ from pyspark.sql import functions as F
 from .common import words
 
 UNDETERMINED = "und"
-#: Labelled texts that the weights are fitted to, at most, and runs of words made of them.
-SAMPLE, RUNS, RUN = 1500, 4000, 30
+#: Labelled texts that the weights are fitted to, at most; runs of words taken of each, and their length; runs made of them.
+SAMPLE, SLICES, RUN, RUNS = 1500, 8, 30, 4000
 STEPS, RATE, DECAY = 40, 0.5, 1e-6
-#: Words a task labels together, and words whose weights a Python worker remembers.
-TOGETHER, REMEMBERED = 100_000, 60_000
-
-
-def features(word: str) -> list[str]:
-    """Affixes, n-grams and the word itself."""
-    w = f"^{word.lower()}$"
-    n = len(w)
-    out = ["w" + w] + ["p" + w[:k] for k in (3, 4) if n > k] + ["s" + w[-k:] for k in (3, 4) if n > k]
-    return out + [w[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1)]
+#: Words a task labels together.
+TOGETHER = 200_000
+U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def features(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word): hashes of the words' affixes of 2 and 3 characters, their 1- to 3-grams with the ends marked, and the words themselves."""
+    low = pc.utf8_lower(vocabulary).to_pylist()
+    if not low:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    code = np.frombuffer(("^" + "$^".join(low) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)  # no word has these two signs
+    size = np.fromiter(map(len, low), np.int64, len(low)) + 2
+    word, first = np.repeat(np.arange(len(low)), size), np.cumsum(size) - size
+    spread = mix(code + U(0x9E3779B97F4A7C15))
+    keys, owners = [], []
+    gram = np.zeros(len(code), U)
+    for k in (1, 2, 3):  # grams of k characters begin at all places but the last k - 1 of a word
+        gram = mix(gram[: len(code) - k + 1] * U(31) + spread[k - 1 :])
+        inside = word[: len(gram)] == word[k - 1 :]
+        keys.append(gram[inside])
+        owners.append(word[: len(gram)][inside])
+    at = np.arange(len(code)) - first[word]
+    whole = np.add.reduceat(mix(spread + at.astype(U) * U(0xD1B54A32D192ED03)), first)
+    keys.append(mix(whole ^ U(1)))
+    owners.append(np.arange(len(low)))
+    for k in (3, 4):
+        some = np.flatnonzero(size > k)
+        for kind, start in ((2, first[some]), (3, first[some] + size[some] - k)):
+            affix = np.full(len(some), kind, U)
+            for i in range(k):
+                affix = mix(affix * U(31) + spread[start + i])
+            keys.append(affix)
+            owners.append(some)
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 class Model:
-    """Labels, weights by feature (a row for each, a column for each label), transitions and starts."""
-
-    def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, moves: np.ndarray, starts: np.ndarray):
-        self.labels, self.index, self.weights, self.moves, self.starts = labels, index, weights, moves, starts
-        self.memo: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}  # the memo before it was last full
+    """Labels, weights by feature (a row for each, a column for each label), transitions and starts.
 
-    def __getstate__(self):
-        return self.labels, self.index, self.weights, self.moves, self.starts
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+    Features are found in a hash table with linear probing.
+    """
 
-    def emissions(self, vocabulary: list[str]) -> np.ndarray:
+    def __init__(self, labels: list[str], keys: np.ndarray, weights: np.ndarray, moves: np.ndarray, starts: np.ndarray):
+        self.labels, self.moves, self.starts = labels, moves, starts
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.mask = U(size - 1)
+        self.row = np.full(size, -1, np.int32)
+        self.keys, self.weights, self.probes = keys, weights, 1
+        todo, at = np.arange(len(keys)), keys & self.mask
+        while len(todo):  # of those that want a free place one gets it, the others look at the next place
+            free = self.row[at] < 0
+            self.row[at[free]] = todo[free]
+            placed = self.row[at] == todo
+            todo, at = todo[~placed], (at[~placed] + U(1)) & self.mask
+            self.probes += 1
+
+    def emissions(self, vocabulary: pa.Array) -> np.ndarray:
         """A row of label weights for each word."""
-        index, out = self.index, np.zeros((len(vocabulary), len(self.labels)), np.float32)
-        for i, w in enumerate(vocabulary):
-            row = self.memo.get(w)
-            if row is None:
-                row = self.old.get(w)
-                if row is None:
-                    at = [index[f] for f in features(w) if f in index] if len(w) < 100 else []
-                    row = tuple(self.weights[at].sum(axis=0).tolist()) if at else (0.0,) * len(self.labels)
-                if len(self.memo) >= REMEMBERED:  # words not seen since it was last full are forgotten
-                    self.old, self.memo = self.memo, {}
-                self.memo[w] = row
-            out[i] = row
+        out = np.zeros((len(vocabulary), len(self.labels)), np.float32)
+        if not len(self.keys):
+            return out
+        keys, owners = features(vocabulary)
+        at = keys & self.mask
+        for _ in range(self.probes):
+            row = self.row[at]
+            known = row >= 0
+            keys, owners, at, row = keys[known], owners[known], at[known], row[known]
+            same = self.keys[row] == keys
+            found, whose = self.weights[row[same]], owners[same]
+            for c in range(out.shape[1]):
+                out[:, c] += np.bincount(whose, found[:, c], len(out))
+            keys, owners, at = keys[~same], owners[~same], (at[~same] + U(1)) & self.mask
+            if not len(keys):
+                break
         return out
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -86,7 +127,7 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     n, k = scores.shape
     if not n:
         return np.zeros((0, k)), np.zeros((k, k))
-    length = max(1, int(np.sqrt(n)))
+    length, ones = max(1, int(np.sqrt(n))), np.ones(k)
     rows = -(-n // length)
     e = np.ones((rows * length, k))
     e[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -97,14 +138,14 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
 
     def forward(x: np.ndarray, t: int) -> np.ndarray:
         """x (segments, label) past word t."""
-        out = np.where(begins[t], x.sum(axis=1, keepdims=True) * starts, x @ moves) * e[t]
-        return out / out.sum(axis=1, keepdims=True)
+        out = np.where(begins[t], (x @ ones)[:, None] * starts, x @ moves) * e[t]
+        return out / (out @ ones)[:, None]
 
     def backward(y: np.ndarray, t: int) -> np.ndarray:
         """y (segments, label) before word t."""
         v = y * e[t]
-        out = np.where(begins[t], (v * starts).sum(axis=1, keepdims=True), v @ moves.T)
-        return out / out.sum(axis=1, keepdims=True)
+        out = np.where(begins[t], (v @ starts)[:, None], v @ moves.T)
+        return out / (out @ ones)[:, None]
 
     product = np.broadcast_to(np.eye(k), (rows, k, k)).copy()
     for t in range(length):
@@ -126,7 +167,7 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     y = after
     for t in range(length - 1, -1, -1):
         g = alpha[t] * y
-        gamma[t] = g / g.sum(axis=1, keepdims=True)
+        gamma[t] = g / (g @ ones)[:, None]
         if count_moves:
             left = alpha[t - 1] if t else before
             both = left[:, :, None] * moves * (y * e[t])[:, None, :]
@@ -136,56 +177,53 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     return gamma.transpose(1, 0, 2).reshape(-1, k)[:n], pairs
 
 
-def runs(texts: list[tuple[list[str], int]], rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
+def runs(texts: list[tuple[list[list[str]], int]], rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, labels, first): runs of words, every other one continued by a run of another text."""
-    usable = [x for x in texts if x[0]]
+    usable = [([x for x in some if x], label) for some, label in texts if any(some)]
     out, labels, first = [], [], []
     for i in range(RUNS if usable else 0):
         for part in range(1 + i % 2):
-            ws, label = usable[rng.integers(len(usable))]
-            size = RUN if not i % 2 else int(rng.integers(3, RUN))
-            at = int(rng.integers(max(1, len(ws) - size + 1)))
-            some = ws[at : at + size]
-            out += some
-            labels += [label] * len(some)
-            first += [part == 0 and j == 0 for j in range(len(some))]
+            some, label = usable[rng.integers(len(usable))]
+            ws = some[rng.integers(len(some))]
+            if i % 2:
+                size = int(rng.integers(3, RUN))
+                at = int(rng.integers(max(1, len(ws) - size + 1)))
+                ws = ws[at : at + size]
+            out += ws
+            labels += [label] * len(ws)
+            first += [part == 0 and j == 0 for j in range(len(ws))]
     return out, np.array(labels, int), np.array(first, bool)
 
 
-def fit(texts: list[tuple[list[str], str]], seed: int = 7) -> Model:
-    """Weights for (words, language) pairs, by adaptive gradient ascent on the likelihood of all runs."""
+def fit(texts: list[tuple[list[list[str]], str]], seed: int = 7) -> Model:
+    """Weights for (runs of words, language) pairs, by adaptive gradient ascent on the likelihood of all runs."""
     labels = sorted({x for _, x in texts})
     k = max(1, len(labels))
     sequence, gold, first = runs([(w, labels.index(x)) for w, x in texts], np.random.default_rng(seed))
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(sequence))}
-    at = np.array([vocabulary[w] for w in sequence], int)
-    index: dict[str, int] = {}
-    flat, owner = [], []
-    for w, i in vocabulary.items():
-        for f in features(w):
-            flat.append(index.setdefault(f, len(index)))
-            owner.append(i)
-    flat, owner = np.array(flat, int), np.array(owner, int)
-    weights, moves, starts = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
+    coded = pa.array(sequence, pa.string()).dictionary_encode()
+    at, n = coded.indices.to_numpy(), len(coded.dictionary)
+    keys, owner = features(coded.dictionary)
+    keys, flat = np.unique(keys, return_inverse=True)
+    weights, moves, starts = np.zeros((len(keys), k)), np.zeros((k, k)), np.zeros(k)
     squares = [np.full(x.shape, 1e-3) for x in (weights, moves, starts)]
     observed = np.eye(k)[gold] if len(gold) else np.zeros((0, k))
     inside = ~first[1:] if len(first) else first
     gold_moves = np.zeros((k, k))
     np.add.at(gold_moves, (gold[:-1][inside], gold[1:][inside]), 1)
-    by_word = lambda x: np.stack([np.bincount(at, x[:, c], len(vocabulary)) for c in range(k)], axis=1)
+    by_word = lambda x: np.stack([np.bincount(at, x[:, c], n) for c in range(k)], axis=1)
     for _ in range(STEPS if len(gold) else 0):
-        emission = np.stack([np.bincount(owner, weights[flat, c], len(vocabulary)) for c in range(k)], axis=1)
+        emission = np.stack([np.bincount(owner, weights[flat, c], n) for c in range(k)], axis=1)
         p, pairs = forward_backward(emission[at], first, np.exp(moves), np.exp(starts))
         g = by_word(observed - p)
         steps = (
-            np.stack([np.bincount(flat, g[owner, c], len(index)) for c in range(k)], axis=1) / len(gold) - DECAY * weights,
+            np.stack([np.bincount(flat, g[owner, c], len(keys)) for c in range(k)], axis=1) / len(gold) - DECAY * weights,
             (gold_moves - pairs) / len(gold),
             (observed - p)[first].sum(axis=0) / len(gold),
         )
         for x, s, q in zip((weights, moves, starts), steps, squares):
             q += s * s
             x += RATE * s / np.sqrt(q)
-    return Model(labels, index, weights.astype(np.float32), moves, starts)
+    return Model(labels, keys, weights.astype(np.float32), moves, starts)
 
 
 def learning(docs: DataFrame) -> DataFrame:
@@ -198,18 +236,20 @@ def held_out():
 
 
 def fitted(docs: DataFrame) -> Model:
-    """A model of at most SAMPLE labelled texts, dealt by a hash of the id."""
+    """A model of at most SAMPLE labelled texts, dealt by a hash of the id; of each, SLICES runs of RUN words come to the driver."""
     known = learning(docs)
     share = max(1, known.select("doc_id").count() // SAMPLE)
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(words(F.col("text")).alias("ws"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE).collect()
-    return fit([(list(r.ws), r.lang) for r in rows])
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(words(F.col("text")).alias("ws"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
+    part = lambda i: F.slice("ws", (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.size("ws") - RUN + 1, F.lit(1))) + 1).cast("int"), F.lit(RUN))
+    rows = chosen.select("lang", "h", "doc_id", F.transform(F.sequence(F.lit(1), F.lit(SLICES)), part).alias("parts")).orderBy("h", "doc_id").limit(SAMPLE).collect()
+    return fit([([list(x) for x in r.parts], r.lang) for r in rows])
 
 
 def label_lists(lists: pa.ListArray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(label, share of the expected words) of each list of words; label -1 without words."""
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    emission = model.emissions(coded.dictionary.to_pylist())
+    emission = model.emissions(coded.dictionary)
     scores = emission[coded.indices.to_numpy()]
     sizes = np.diff(offsets)
     first = np.zeros(len(scores), bool)

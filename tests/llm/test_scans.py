@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postura.llm import langid, licenses, secrets, transducer, webtext
@@ -226,12 +228,56 @@ def test_held_out_accuracy(spark, clash):
 
 
 def test_words_are_labelled_in_mixed_text(spark):
-    model = langid.fit([(cases.words(t), x) for _, t, x, *_ in labelled(60)[:60]])
+    model = langid.fit([([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]])
     sequence = ["the", "and", "with", "from", "und", "der", "nicht", "mit"]
-    p = model.marginals(model.emissions(sequence), np.array([True] + [False] * 7))
+    p = model.marginals(model.emissions(pa.array(sequence)), np.array([True] + [False] * 7))
     assert [model.labels[i] for i in p.argmax(axis=1)] == ["en"] * 4 + ["de"] * 4
 
 
+def plain_features(word):
+    w = f"^{word.lower()}$"
+    return Counter([(k, w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)] + [("w", w)] + [x for k in (3, 4) if len(w) > k for x in (("p", w[:k]), ("s", w[-k:]))])
+
+
+def test_features_are_those_of_the_words():
+    vocabulary = ["a", "ab", "aba", "abba", "überall", "日本語", "abb" * 50, "x" * 5000]
+    keys, owners = langid.features(pa.array(vocabulary))
+    name = {}
+    for i, w in enumerate(vocabulary):
+        got, want = Counter(keys[owners == i].tolist()), plain_features(w)
+        assert sorted(got.values()) == sorted(want.values()), w
+        for f, n in want.items():
+            name.setdefault(f, set()).update(k for k, m in got.items() if m == n)
+    assert len({*keys.tolist()}) == len({f for w in vocabulary for f in plain_features(w)})
+
+
+def test_predictions_equal_brute_force():
+    """Weights looked up by feature, and forward-backward text by text."""
+    texts = [([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]]
+    model = langid.fit(texts)
+    mixed = [cases.prose(900, 40, EN) + " " + cases.prose(901, 25, DE), "the", "", "schönschön " * 9 + "x" * 300, "unheard-of words"]
+    lists = pa.array([cases.words(t) for t in mixed], pa.list_(pa.string()))
+    best, share = langid.label_lists(lists, model)
+    weight = dict(zip(model.keys.tolist(), model.weights.astype(float)))
+    for ws, b, s in zip(lists.to_pylist(), best, share):
+        if not ws:
+            assert b == -1 and s == 0
+            continue
+        scores = []
+        for w in ws:
+            keys, _ = langid.features(pa.array([w]))
+            scores.append(sum((weight.get(k, np.zeros(2)) for k in keys.tolist()), np.zeros(2)))
+        scores = np.array(scores)
+        p = brute_force(scores - scores.max(axis=1, keepdims=True), np.arange(len(ws)) == 0, np.exp(model.moves), np.exp(model.starts)).sum(axis=0)
+        assert b == p.argmax() and s == pytest.approx(p.max() / len(ws), abs=1e-4)
+
+
+def test_long_words_have_features():
+    model = langid.fit([([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]])
+    got = model.emissions(pa.array(["schön" * 24, "thing" * 24]))
+    assert [model.labels[i] for i in got.argmax(axis=1)] == ["de", "en"] and abs(got).max() > 5
+
+
 def test_nothing_to_learn_from(spark):
     docs = cases.documents(spark, [(1, "text", None, None, None)])
     assert [r.lang_pred for r in langid.report(docs).collect()] == ["und"]
