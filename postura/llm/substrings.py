@@ -7,10 +7,15 @@ it stands for. Equal contexts are counted; those that occur again go as they are
 one of each, where an anchor has several contexts, has its bytes sent to be compared.
 
 There the suffixes that begin at the anchors are sorted: a mergesort whose comparisons find
-the common extension by binary search over prefix polynomial hashes, in logarithmic time.
-Common extensions of neighbours then tell, for every string at once, which contexts share its
-part from the anchor on; its part before the anchor is compared by hash. What is found equal
-is verified on the bytes, and a group with a collision is compared string by string.
+the common extension by binary search over prefix polynomial hashes, in logarithmic time, and
+verify it on the bytes. Common extensions of neighbours then tell, for every string at once,
+which contexts share its part from the anchor on; its part before the anchor is compared by
+hash. What is found equal is verified on the bytes, and a group with a collision is compared
+string by string. Contexts count as equal by a cryptographic digest of their bytes.
+
+An anchor with more than CROWD contexts is split: its strings are dealt by where they lie
+around the anchor into ranges, and within a range by a digest of the bytes that every string
+of the range has, some seven eighths of it; so only contexts that share these meet.
 
 Strings are judged on the input and never cross documents. Defined results for odd input:
 null is an empty text; texts shorter than SPAN bytes keep all; repeated rows are each other's
@@ -33,6 +38,8 @@ from .common import durable
 
 SPAN, GRAM = 400, 64
 WIDTH = SPAN - GRAM + 1  # grams in a string
+#: Contexts of an anchor beyond which they are split, and how many places of a string around the anchor a part has.
+CROWD, PART = 1000, 48
 U = np.uint64
 MASK = 2**64 - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses modulo 2**64
@@ -68,19 +75,18 @@ class Hashes:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first, last, gram hash, context hashes) of joined texts; first and last start the anchor's strings.
+    """(text, anchor, first, last, gram hash) of joined texts; first and last start the anchor's strings; the places count from the text's beginning.
 
-    ends: where the texts end. Places count from the beginning of all.
+    ends: where the texts end.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < SPAN:
-        return (none, none, none, none, none, none, none)
-    one, two = (Hashes(data, b) for b in BASES)
+        return (none, none, none, none, none)
     at = np.arange(n - GRAM + 1)
-    gram = mix(one.of(at, at + GRAM))
-    bits = U(int(n).bit_length())
-    least = (gram >> bits << bits) | at.astype(U)  # the leftmost of equal ones
+    gram = mix(Hashes(data, BASES[0]).of(at, at + GRAM))
+    low = U(2**32 - 1)  # a batch has less bytes; the same bits of a hash decide whatever stands around a string
+    least = (gram & ~low) | at.astype(U)  # the leftmost of equal ones
     reach, width = 1, WIDTH
     while reach * 2 <= width:  # minima over 1, 2, 4 ... grams
         least = np.minimum(least[:-reach], least[reach:])
@@ -91,17 +97,21 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(ends, np.arange(len(least)), side="right")
     valid = np.flatnonzero(np.arange(len(least)) + SPAN <= ends[text])
     if not len(valid):
-        return (none, none, none, none, none, none, none)
-    anchor = (least[valid] & ((U(1) << bits) - U(1))).astype(np.int64)
+        return (none, none, none, none, none)
+    anchor = (least[valid] & low).astype(np.int64)
     new = np.ones(len(valid), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[valid[1:]] != text[valid[:-1]])
     first = valid[new]
     last = valid[np.append(np.flatnonzero(new)[1:] - 1, len(valid) - 1)]
     anchor, owner = anchor[new], text[first]
-    shape = ((anchor - first).astype(U) << U(32)) | (last + SPAN - first).astype(U)
-    contexts = [mix(h.of(first, last + SPAN) ^ mix(shape)).view(np.int64) for h in (one, two)]
     base = starts[owner]
-    return owner, anchor - base, first - base, last - base, gram[anchor].view(np.int64), *contexts
+    return owner, anchor - base, first - base, last - base, gram[anchor].view(np.int64)
+
+
+def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each byte string, of a cryptographic digest."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def in_parts(batch: pa.RecordBatch, column: str):
@@ -116,39 +126,52 @@ def in_parts(batch: pa.RecordBatch, column: str):
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """(rid, anchor, first, last, gram, c1, c2) of every anchor of the texts (rid, text)."""
+    """(rid, anchor, first, last, gram, c1, c2) of every anchor of the texts (rid, text); c1 and c2: digest of the context and the anchor's place in it."""
 
     def run(batches):
         for whole in batches:
             for part in in_parts(whole, "text"):
                 raw = [x.encode("utf-8", "surrogatepass") if x else b"" for x in part.column("text").to_pylist()]
-                found = anchors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]))
-                rid = part.column("rid").to_numpy()[found[0]]
+                owner, anchor, first, last, gram = anchors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]))
+                told = [raw[i][f : e + SPAN] + (a - f).to_bytes(4, "big") for i, a, f, e in zip(owner.tolist(), anchor.tolist(), first.tolist(), last.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), *(pa.array(x.astype(np.int32)) for x in found[1:4]), *map(pa.array, found[4:])],
+                    [part.column("rid").take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (anchor, first, last)), pa.array(gram), *map(pa.array, digests(told))],
                     names=["rid", "anchor", "first", "last", "gram", "c1", "c2"],
                 )
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, anchor int, first int, last int, gram long, c1 long, c2 long")
+    return texts.select("rid", "text").mapInArrow(run, "rid binary, anchor int, first int, last int, gram long, c1 long, c2 long")
+
+
+def split(gram: int, anchor: int, first: int, last: int, data: bytes):
+    """(gram, first, last) of a context's strings by range of places around the anchor; gram stands for the range and the bytes all its strings have."""
+    for low in range(0, WIDTH, PART):
+        high = low + PART - 1
+        f, e = max(first, anchor - high), min(last, anchor - low)
+        if f <= e:
+            must = data[anchor - low : anchor + SPAN - high]
+            yield int.from_bytes(hashlib.blake2b(must + gram.to_bytes(8, "big", signed=True) + bytes([low // PART]), digest_size=8).digest(), "big", signed=True), f, e
 
 
 def with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts with their bytes, cut out of the texts that they lie in."""
+    """The contexts with their bytes, cut out of the texts that they lie in; those of a crowded anchor in parts."""
+    kinds = {"gram": pa.int64(), "rid": pa.binary(), "anchor": pa.int32(), "first": pa.int32(), "last": pa.int32(), "n": pa.int64(), "bytes": pa.binary()}
 
     def run(batches):
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("gram", "rid", "anchor", "first", "last", "n", "bytes")}
+            rows: list[tuple] = []
             for text, rid, places in zip(batch.column("text").to_pylist(), batch.column("rid").to_pylist(), batch.column("places").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for p in places:
-                    rows["rid"].append(rid)
-                    for k in ("gram", "anchor", "first", "last", "n"):
-                        rows[k].append(p[k])
-                    rows["bytes"].append(data[p["first"] : p["last"] + SPAN])
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64() if k in ("gram", "rid", "n") else pa.int32()) for k, v in rows.items()], names=list(rows))
+                    whole = p["gram"], p["first"], p["last"]
+                    for gram, first, last in split(p["gram"], p["anchor"], p["first"], p["last"], data) if p["kinds"] > CROWD else [whole]:
+                        rows.append((gram, rid, p["anchor"], first, last, p["n"], data[first : last + SPAN]))
+                if len(rows) > 4000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    by_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last", "n")).alias("places"))
-    return texts.join(by_text, "rid").mapInArrow(run, "gram long, rid long, anchor int, first int, last int, n long, bytes binary")
+    by_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last", "n", "kinds")).alias("places"))
+    return texts.join(by_text, "rid").mapInArrow(run, "gram long, rid binary, anchor int, first int, last int, n long, bytes binary")
 
 
 class Context:
@@ -159,8 +182,8 @@ class Context:
         self.at = 0  # where the anchor lies in the joined bytes
 
 
-def extension(h: Hashes, a: int, b: int, most: int) -> int:
-    """Length of the common extension from places a and b on, by binary search over hashes."""
+def extension(h: Hashes, data: bytes, a: int, b: int, most: int) -> int:
+    """Length of the common extension from places a and b on, by binary search over hashes, verified on the bytes."""
     p, inv = h.prefix, h.inverse
     pa_, pb, ia, ib = int(p[a]), int(p[b]), int(inv[a]), int(inv[b])
     low, high = 0, most
@@ -170,7 +193,9 @@ def extension(h: Hashes, a: int, b: int, most: int) -> int:
             high = m - 1
         else:
             low = m
-    return low
+    if data[a : a + low] == data[b : b + low]:
+        return low
+    return next(i for i in range(low) if data[a + i] != data[b + i])  # hashes collided
 
 
 def suffix_sorted(group: list[Context], h: Hashes, data: bytes) -> tuple[list[Context], list[int]]:
@@ -179,11 +204,11 @@ def suffix_sorted(group: list[Context], h: Hashes, data: bytes) -> tuple[list[Co
 
     def compare(x: Context, y: Context) -> int:
         nx, ny = rest[id(x)], rest[id(y)]
-        k = extension(h, x.at, y.at, min(nx, ny))
+        k = extension(h, data, x.at, y.at, min(nx, ny))
         return nx - ny if k == min(nx, ny) else data[x.at + k] - data[y.at + k]
 
     ordered = sorted(group, key=cmp_to_key(compare))  # a mergesort
-    common = [-1] + [extension(h, x.at, y.at, min(rest[id(x)], rest[id(y)])) for x, y in zip(ordered, ordered[1:])]
+    common = [-1] + [extension(h, data, x.at, y.at, min(rest[id(x)], rest[id(y)])) for x, y in zip(ordered, ordered[1:])]
     return ordered, common
 
 
@@ -257,7 +282,7 @@ def compared(contexts: DataFrame) -> DataFrame:
 
         def flush():
             out = repeated(todo) if todo else []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], names=["rid", "first", "end"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.binary()), (1, pa.int32()), (2, pa.int32()))], names=["rid", "first", "end"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "rid", "anchor", "first", "last", "n", "bytes"))):
@@ -271,7 +296,7 @@ def compared(contexts: DataFrame) -> DataFrame:
                 size += len(c.data)
         yield flush()
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid long, first int, end int")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid binary, first int, end int")
 
 
 def without_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -308,15 +333,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     again = contexts.where("n > 1").select("gram", "c1", "c2")
     whole = found.join(again, ["gram", "c1", "c2"]).select("rid", "first", (F.col("last") + SPAN).alias("end"))
     # anchors with several contexts, one of which at least occurs once only
-    several = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram")
-    wanted = contexts.join(several, "gram").select("gram", "n", "one.*")
+    several = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
+    wanted = contexts.join(several, "gram").select("gram", "n", "kinds", "one.*")
     return whole.unionAll(compared(with_bytes(texts, wanted)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, kept, n_bytes, n_removed, n_spans. A row is known by a hash of its id and text; equal rows fare alike."""
+    """doc_id, kept, n_bytes, n_removed, n_spans. A row is known by 128 bits of hashes of its id and text; equal rows fare alike."""
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text, "doc_id").alias("rid"))
+    rid = F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text, "doc_id"), F.xxhash64(F.lit(1), text, "doc_id")))))
+    texts = docs.select("doc_id", text.alias("text"), rid.alias("rid"))
     return without_spans(texts, repeated_spans(texts))
 
 

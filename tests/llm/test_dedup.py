@@ -119,8 +119,10 @@ def passages() -> list[tuple]:
 
 
 @pytest.mark.parametrize("together", [2_000_000, 3000])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, together):
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, together, crowd):
     monkeypatch.setattr(substrings, "TOGETHER", together)
+    monkeypatch.setattr(substrings, "CROWD", crowd)
     rows = passages()
     got = {r.doc_id: tuple(r)[1:] for r in substrings.report(cases.documents(spark, rows, clash=together == 3000)).collect()}
     assert got == covered([r[:2] for r in rows])
@@ -154,6 +156,23 @@ def test_collisions_are_found_and_compared_plainly(monkeypatch):
     assert substrings.repeated([other]) == []
 
 
+def thue_morse(n: int, flip: bool) -> str:
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_strings_that_defeat_polynomial_hashes(spark):
+    """Thue-Morse strings of 512 letters and their complements have equal hashes modulo 2**64 for every base."""
+    r = random.Random(6)
+    lead = ["".join(r.choice("cdefgh") for _ in range(300)) for _ in range(3)]
+    rows = [(i, lead[i % 3] + thue_morse(1024, i % 2 == 1) + lead[(i + 1) % 3], None, None, None) for i in range(6)]
+    data = (thue_morse(1024, False) + thue_morse(1024, True)).encode()
+    h = substrings.Hashes(np.frombuffer(data, np.uint8), substrings.BASES[0])
+    assert h.of(np.array([0, 1024]), np.array([1024, 2048])).tolist()[0] == h.of(np.array([0, 1024]), np.array([1024, 2048])).tolist()[1]
+    assert substrings.extension(h, data, 0, 1024, 1024) == 0
+    got = {x.doc_id: tuple(x)[1:] for x in substrings.report(cases.documents(spark, rows)).collect()}
+    assert got == covered([x[:2] for x in rows])
+
+
 def test_suffixes_are_sorted_with_their_common_extensions():
     r = random.Random(4)
     contexts = []
