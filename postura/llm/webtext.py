@@ -5,7 +5,11 @@ them belong to links. The densities of a node's children add up, and the node wi
 largest sum is the heart of the article. The least density on the path from there to the
 body is the threshold: siblings along the path that reach it belong to the article too.
 Parts that the markup itself names as menus, headers, footers, sidebars, notices,
-adverts, forms or comments count as empty throughout.
+adverts, forms or comments count as empty throughout. Elements say so; names (class, id,
+role) are taken by whole words, not where they tell a state (has-sidebar, comments-open).
+A form, a name joined of several words or one beside a word for content doesn't count on an
+element that holds most of the page's text outside of links, or an article, main part or
+first heading; no name of this kind counts if nothing would be left of the page.
 
 Pages are read whole, one at a time, without a shuffle. Defined results for odd input:
 null or empty html, or a page without text, gives an empty text; unclosed and stray tags
@@ -26,32 +30,53 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp".split())
-#: Elements that hold no article text.
-EMPTY = set("head nav header footer aside form button select option script style noscript iframe template svg canvas object audio video menu dialog textarea label fieldset title".split())
+#: Elements that hold no article text; a form may be around the whole page.
+EMPTY = set("head nav header footer aside button select option script style noscript iframe template svg canvas object audio video menu dialog textarea label fieldset title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Words of class, id and role that mark such parts.
+#: Words of class, id and role that mark such parts; those of reader comments; words beside them that tell a state; words for content.
 PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside"
     r"|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*"
-    r"|comments?|disqus|replies|respond|widget|pagination|pager|copyright|legal|search|contentinfo|complementary|toolbar)(?:$|[\s_-])",
-    re.I,
+    r"|respond|widget|pagination|pager|copyright|legal|search|contentinfo|complementary|toolbar"
 )
+COMMENTS = re.compile("comments?|disqus|replies")
+STATE = set("has no with without open closed enabled disabled on off is not".split())
+CONTENT = set("article post entry content main story page body text".split())
+WEAK, STRONG = 1, 2
 #: An opening tag closes open ones of these.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = set("article section div main body ul ol dl table blockquote nav aside header footer form".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link", "link_chars", "link_tags", "parent", "part", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "head", "link", "link_chars", "link_tags", "mark", "own", "parent", "part", "plain", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, part: bool):
-        self.tag, self.parent, self.part = tag, parent, part
+    def __init__(self, tag: str, parent: Node | None, part: bool, mark: int = 0):
+        self.tag, self.parent, self.part, self.mark = tag, parent, part, mark
         self.link = tag == "a" or parent is not None and parent.link
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.head = False
         self.density = self.total = 0.0
 
 
+def marked(tag: str, attributes: str) -> int:
+    """Whether an element is named as no part of the article: not at all, WEAK or STRONG."""
+    if tag in ("html", "body", "main"):
+        return 0
+    tokens = [re.split("[-_]+", t) for a, b, c in NAMED.findall(attributes) for t in (a or b or c).lower().split()]
+    content = any(w in CONTENT for parts in tokens for w in parts)
+    found = WEAK if tag == "form" else 0
+    for parts in tokens:
+        if not STATE.isdisjoint(parts):
+            continue
+        if any(COMMENTS.fullmatch(w) for w in parts):
+            found = STRONG
+        elif tag != "article" and any(PART.fullmatch(w) for w in parts):
+            found = max(found, WEAK if content or len(parts) > 1 else STRONG)
+    return found
+
+
 def parse(page: str) -> Node:
     """The page's tree; texts are children of their node."""
     root = at = Node("#root", None, False)
@@ -64,6 +89,7 @@ def parse(page: str) -> Node:
             text = m.group()
             if text[0] != "<" or text == "<":
                 at.children.append(text)
+                at.own += len(" ".join(html.unescape(text).split()))
             continue
         tag = tag.lower()
         if m.group(1):
@@ -82,8 +108,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             while node.tag in ends and node.parent is not None:
                 at = node = node.parent
-        part = at.part or tag in EMPTY or any(PART.search(a or b or c) for a, b, c in NAMED.findall(attributes)) and tag not in ("body", "html")
-        node = Node(tag, at, part)
+        node = Node(tag, at, at.part or tag in EMPTY, marked(tag, attributes))
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
@@ -93,6 +118,16 @@ def parse(page: str) -> Node:
     return root
 
 
+def settle(order: list[Node], least: int) -> None:
+    """Decides which marked nodes count as empty, from the root down; order has parents before children. Marks below least are weak."""
+    body = next((x for x in order if x.tag == "body"), order[0])
+    for node in order:
+        if node.parent is not None and node.parent.part:
+            node.part = True
+        elif node.mark >= STRONG >= least or node.mark and not node.head and 2 * node.plain <= body.plain:
+            node.part = True
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in the counts from the leaves up, then the densities; returns the nodes from the root down."""
     order, todo = [], [root]
@@ -100,18 +135,29 @@ def measure(root: Node) -> list[Node]:
         node = todo.pop()
         order.append(node)
         todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+    for node in reversed(order):
+        if not node.part:  # text outside of links, and whether an article's beginning is inside
+            node.plain += node.own * (not node.link)
+            node.head = node.head or node.tag in ("article", "main", "h1") and node.plain > 0 and node.mark < STRONG
+            if node.parent is not None:
+                node.parent.plain += node.plain
+                node.parent.head = node.parent.head or node.head
+    first = [node.part for node in order]
+    settle(order, STRONG)
+    if order[0].plain and not any(x.own and not x.part for x in order):
+        for node, part in zip(order, first):
+            node.part = part
+        settle(order, STRONG + 1)
     for node in reversed(order):
         for x in node.children:
-            if isinstance(x, Node):
-                if not x.part:
-                    node.chars += x.chars
-                    node.tags += x.tags + 1
-                    node.link_chars += x.link_chars
-                    node.link_tags += x.link_tags + (x.tag == "a")
-            elif not node.part:
-                n = len(" ".join(html.unescape(x).split()))
-                node.chars += n
-                node.link_chars += n * node.link
+            if isinstance(x, Node) and not x.part:
+                node.chars += x.chars
+                node.tags += x.tags + 1
+                node.link_chars += x.link_chars
+                node.link_tags += x.link_tags + (x.tag == "a")
+        if not node.part:
+            node.chars += node.own
+            node.link_chars += node.own * node.link
     whole = next((x for x in order if x.tag == "body"), root)
     share = whole.link_chars / max(whole.chars, 1)
     for node in reversed(order):

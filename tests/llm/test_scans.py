@@ -282,3 +282,94 @@ def test_nothing_to_learn_from(spark):
     docs = cases.documents(spark, [(1, "text", None, None, None)])
     assert [r.lang_pred for r in langid.report(docs).collect()] == ["und"]
     assert langid.report(docs.limit(0)).count() == 0
+
+
+ARTICLE = "<p>" + "One sentence of the article with many words in it, and more. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "layout has-sidebar", "no-sidebar", "post comments-open", "entry share", "main-content search-results", "post-header-fixed", "social-post", "search", "legal"])
+@pytest.mark.parametrize("page", ["<body><nav>menu</nav><div class='{}'><h1>Title</h1>{}</div><div class=footer>foot text</div></body>", "<body><div id='{}'>{}</div><div class='sidebar'>side text</div></body>"])
+def test_names_around_the_article_dont_empty_it(name, page):
+    got = webtext.extract(page.format(name, ARTICLE * 2))
+    assert got.count("One sentence") == 16 and "foot" not in got and "side text" not in got
+
+
+def test_forms_and_long_comment_threads():
+    page = f"<body><form id=aspnet><input><div><h1>Title</h1>{ARTICLE}</div><div class='comments-area'>{ARTICLE.replace('article', 'comment') * 9}</div></form></body>"
+    assert webtext.extract(page).count("article") == 8 and "comment" not in webtext.extract(page)
+    page = f"<body><main class='legal-page'>{ARTICLE}<form>Subscribe here</form></main><article class=comment>{ARTICLE.replace('article', 'remark')}</article></body>"
+    assert webtext.extract(page).count("article") == 8 and "remark" not in webtext.extract(page) and "Subscribe" not in webtext.extract(page)
+
+
+def plain_extract(root):
+    """The method spelled out over a tree (tag, children) of divisions, paragraphs and links."""
+    import math
+
+    def chars(x, link=False):
+        return len(" ".join(x.split())) * (not link or link) if isinstance(x, str) else sum(chars(y) for y in x[1])
+
+    def linked(x, inside=False):
+        return chars(x) * inside if isinstance(x, str) else sum(linked(y, inside or x[0] == "a") for y in x[1])
+
+    def tags(x, only=None):
+        return 0 if isinstance(x, str) else sum((only in (None, y[0])) + tags(y, only) for y in x[1] if not isinstance(y, str))
+
+    share = linked(root) / max(chars(root), 1)
+
+    def density(x, inside):
+        c, lc = chars(x), linked(x, inside)
+        t, lt = max(tags(x), 1), tags(x, "a")
+        if not c or lc == c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        gain = math.log(c / max(lc, 1) * t / max(lt, 1))
+        return c / t * max(0.0, gain / math.log(max(base, 1.0001)))
+
+    found = []
+
+    def visit(x, path, inside):
+        own = density(x, inside or x[0] == "a")
+        total = sum(density(y, inside or x[0] == "a" or y[0] == "a") for y in x[1] if not isinstance(y, str))
+        if any(isinstance(y, str) for y in x[1]):
+            total = max(total, own)
+        path = [*path, (x, own)]
+        if x[0] != "a" and chars(x):
+            found.append((total, path))
+        for y in x[1]:
+            if not isinstance(y, str):
+                visit(y, path, inside or x[0] == "a")
+
+    visit(root, [], False)
+    total, path = max(found, key=lambda f: f[0])
+    least, heart, lines = min(d for _, d in path), path[-1][0], [""]
+
+    def put(x, all_in):
+        if isinstance(x, str):
+            lines[-1] += x
+        elif all_in or x is heart or any(x is y for y, _ in path) or x[0] == "a" or density(x, False) >= least and chars(x):
+            lines.append("") if x[0] != "a" else None
+            for y in x[1]:
+                put(y, all_in or x is heart or not any(x is z for z, _ in path))
+            lines.append("") if x[0] != "a" else None
+
+    put(root, False)
+    return "\n".join(" ".join(x.split()) for x in lines if x.split())
+
+
+def test_extraction_equals_brute_force():
+    r = random.Random(12)
+
+    def tree(depth):
+        kids = []
+        for _ in range(r.randrange(1, 5)):
+            pick = r.random()
+            text = " ".join(r.choice(("some", "words", "here", "longer-words")) for _ in range(r.choice((1, 3, 30))))
+            kids.append(("div", tree(depth - 1)) if depth and pick < 0.5 else ("p", [text + " ", ("a", ["link " + text])][: r.randrange(1, 3)]) if pick < 0.9 else ("p", [("a", [text])]))
+        return kids
+
+    def spelled(x):
+        return x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(spelled, x[1])) + f"</{x[0]}>"
+
+    for _ in range(300):
+        root = ("body", tree(3))
+        assert webtext.extract("<html>" + spelled(root) + "</html>") == plain_extract(root)
