@@ -51,6 +51,11 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def text_key() -> Column:
+    """Tells apart rows that share a doc_id but not a text, and rows without doc_id from others."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+
+
 def indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: (h, id, k, doc_id, pos), a posting for each place of the terms (h, term).
 
@@ -61,7 +66,7 @@ def indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
     texts = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("k"),
+        text_key().alias("k"),
         F.array_append(words(F.col("text")), F.lit(END)).alias("ws"),
     )
     places = texts.select("doc_id", "id", "k", F.posexplode("ws").alias("pos", "term")).withColumn("h", F.xxhash64("term"))
@@ -124,7 +129,7 @@ def covered(places: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (phrases matched by proximity only), and k, a hash of the text."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (phrases matched by proximity only), and k, the row's text_key()."""
     windows = durable(benchmark_windows(benchmark, n))
     terms = windows.select(F.explode("terms").alias("term")).distinct().select(F.xxhash64("term").alias("h"), "term")
     index = indexed(docs, terms)

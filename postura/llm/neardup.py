@@ -259,8 +259,8 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
             keep = []
             for i in range(batch.num_rows):
-                if (k := b[i].as_py()) != last:
-                    last, seen = k, shingled(tb[i].as_py() or "")
+                if (text := tb[i].as_py() or "") != last:
+                    last, seen = text, shingled(text)
                 keep.append(alike(shingled(ta[i].as_py() or ""), seen))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -414,6 +414,22 @@ def classes(docs: DataFrame) -> DataFrame:
     return named(docs).select("doc_id", "class_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, one of each class: the one with the least id. All columns stay.
+
+    A row without doc_id goes if its text is another's; of equal ones among them one stays.
+    Different texts under one id are told apart by a hash of the text.
+    """
+    t1 = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = named(docs)
+    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1")).distinct()
+    rows = docs.withColumn("__t1", t1)
+    with_id = rows.join(kept.withColumnRenamed("__t1", "__t"), (F.col("doc_id") == F.col("__id")) & (F.col("__t1") == F.col("__t")), "left_semi").dropDuplicates(["doc_id", "__t1"])
+    copies = found.where("doc_id is null and class_id is not null").select(F.col("t1").alias("__t1")).distinct()
+    without = rows.where(F.col("doc_id").isNull()).join(copies, "__t1", "left_anti").select(rows.columns).dropDuplicates(["text"])
+    return with_id.unionByName(without).drop("__t1")
+
+
 def named(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, and t1, t2, which tell apart rows of one id by their texts."""
     every = durable(signed(docs))

@@ -220,16 +220,32 @@ def test_pipeline(spark, tmp_path):
 
 
 @pytest.mark.parametrize("index", range(5))
-def test_stages_stand_odd_documents(spark, index):
+def test_stages_stand_odd_documents(spark, index, tmp_path):
     import corpus_pipeline
 
-    docs, bench = cases.documents(spark, clash=True), "unused"
+    cases.benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, bench = cases.documents(spark, clash=True), str(tmp_path)
     name, stage = corpus_pipeline.STAGES[index]
-    if name == "decontamination":
-        pytest.skip("covered with a table of items in test_pipeline")
     got = stage(spark, docs, bench)
     assert got.count() <= docs.count()
     assert stage(spark, docs.limit(0), bench).count() == 0
+    if index < 4:
+        assert got.columns == docs.columns
+
+
+def test_rows_of_one_id_or_none_are_told_apart_by_their_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "wholly unlikely benchmark words stand here in a row for testing"
+    cases.benchmark(spark, [(1, item)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = (cases.prose(800 + i, 60) for i in range(3))
+    rows = [(1, a), (1, b), (1, "so " + item), (None, c), (None, c), (None, "but " + item), (None, a), (2, b + " more"), (3, a), (None, None)]
+    docs = cases.documents(spark, [(i, t, None, None, None) for i, t in rows])
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(1, a), (1, b), (1, "so " + item), (None, c), (None, "but " + item), (None, None)], key=repr)
+    left = stages["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([x for x in rows if item not in (x[1] or "")], key=repr)
 
 
 def crowd() -> list[tuple]:
