@@ -20,7 +20,7 @@ are the connected components of the links.
 Documents of a bucket that are then in different classes could still be alike. They are
 described by what sets them apart from their hub, elements removed and elements added, so
 that what the whole bucket shares cancels out, and joined by the rarest of these elements:
-a prefix filter with positions. For a hub c of size |c|, let v(x) be the removed plus 0.8
+a prefix filter with weights and positions. For a hub c of size |c|, let v(x) be the removed plus 0.8
 times the added elements of x. Counting shows that x and y can be linked only if they have
 (v(x) + v(y) - 0.2 |c|) / 1.8 of these elements in common, and that x is linked to c itself
 unless v(x) > 0.2 |c|. So a document outside of its hub's class shares at least
@@ -285,7 +285,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, n, cells): the cells of a text's weighted set, the first n of which are its set; a cell is a shingle and the how manieth it is."""
+    """(rep, shingles, weights): a text's distinct shingles, and how often it has each."""
 
     def run(batches):
         for whole in batches:
@@ -297,43 +297,40 @@ def described(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 sizes = np.diff(batch.column("hashes").offsets.to_numpy()).astype(np.int64)
                 flat = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(U)
                 doc, x, weight = weighted(*shingles(flat, sizes)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
-                nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-                owner, cell = np.repeat(doc, weight), mix(np.repeat(x, weight) + U(0x9E3779B97F4A7C15) * nth.astype(U)).view(np.int64)
-                order = np.lexsort((nth > 0, owner))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, len(sizes)).astype(np.int64))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), pa.array(np.bincount(doc, minlength=len(sizes)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order]))],
-                    names=["rep", "n", "cells"],
-                )
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sizes)))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (x.view(np.int64), weight)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), *lists], names=["rep", "shingles", "weights"])
 
     texts = among(docs, reps.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
     hashed = texts.select("rep", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).withColumn("words", F.size("hashes").cast("long"))
-    return hashed.mapInArrow(run, "rep long, n long, cells array<long>")
+    return hashed.mapInArrow(run, "rep long, shingles array<long>, weights array<long>")
 
 
 def measured(sets: DataFrame) -> DataFrame:
     """(rep, n, u, w, uw): a text's distinct shingles and those that no other of the texts has; the same by weight.
 
-    Shingles are counted over the given texts by aggregation alone: a cell of one text
+    Shingles are counted over the given texts by aggregation alone: a shingle of one text
     names that text by its least rep.
     """
-    each = sets.select("rep", "n", F.posexplode("cells").alias("at", "x")).withColumn("plain", F.col("at") < F.col("n"))
-    once = each.groupBy("x").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.first("plain").alias("plain"))
-    alone = once.where("texts = 1").groupBy("rep").agg(F.count_if("plain").alias("u"), F.count("*").alias("uw"))
-    whole = sets.select("rep", "n", F.size("cells").cast("long").alias("w"))
+    each = sets.select("rep", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("rep", F.col("s.shingles").alias("x"), F.col("s.weights").alias("times"))
+    once = each.groupBy("x").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.first("times").alias("times"))
+    alone = once.where("texts = 1").groupBy("rep").agg(F.count("*").alias("u"), F.sum("times").alias("uw"))
+    whole = sets.select("rep", F.size("shingles").cast("long").alias("n"), F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w).alias("w"))
     return whole.join(alone, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "w", F.coalesce("uw", F.lit(0)).alias("uw"))
 
 
 def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, rep, weighted, class, outside, e, size, v, most): a row for each element that sets a member apart from its hub c.
-
-    By sets, and by weighted sets too where any of the hub's members repeats a shingle. size:
-    how many elements there are; v: removed ones plus ALIKE times added ones; most:
-    (1 - ALIKE) |c|; outside: whether the member's class is not its hub's. A member that is
-    alike to its hub has a row without e, and counts as inside.
+    """(c, rep, weighted, class, outside, e, weight, size, v, most): a row for each shingle that sets a member apart from its hub c.
+
+    The hub stands for its set. A member that repeats a shingle comes twice, as its set and as
+    its weighted set; any other is the same either way. e: the shingle, its complement if it
+    is removed; weight: how often it is added or removed; size: all weights together; v: the
+    removed ones plus ALIKE times the added ones; most: (1 - ALIKE) |c|; outside: whether the
+    member's class is not its hub's. A member whose set is alike to its hub's has a row
+    without e, and counts as inside; for the others v is over most either way.
     """
-    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, size long, v double, most double"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, weight long, size long, v double, most double"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(k: int, *values) -> pa.RecordBatch:
@@ -343,21 +340,22 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i] for k in batch.schema.names}
-                mine, hub = (row[k].values.to_numpy() for k in ("cells", "hub_cells"))
-                n, m, c, rep, group, outside = (row[k].as_py() for k in ("n", "hub_n", "c", "rep", "class", "outside"))
-                found = []
-                for weighted in (False, True) if row["repeats"].as_py() or len(hub) > m else (False,):
-                    x, y = (mine, hub) if weighted else (mine[:n], hub[:m])
-                    removed, added = np.setdiff1d(y, x), np.setdiff1d(x, y)
-                    found.append((weighted, pa.array(np.concatenate([removed, added])), len(removed) + ALIKE * len(added), (1 - ALIKE) * len(y)))
-                alike = any(v <= most + 1e-6 for _, _, v, most in found)
-                if alike and outside:
-                    yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), 0, 0.0, 0.0)
-                for weighted, e, v, most in found:
-                    yield rows(len(e), c, rep, weighted, group, outside and not alike, e, len(e), v, most)
-
-    hub = sets.select(F.col("rep").alias("c"), F.col("n").alias("hub_n"), F.col("cells").alias("hub_cells"))
-    return members.join(sets, "rep").join(hub, "c").mapInArrow(run, schema)
+                mine, times, hub = (row[k].values.to_numpy() for k in ("shingles", "weights", "hub"))
+                c, rep, group, outside = (row[k].as_py() for k in ("c", "rep", "class", "outside"))
+                removed, most = np.setdiff1d(hub, mine), (1 - ALIKE) * len(hub)
+                for weighted in (False, True) if (times > 1).any() else (False,):
+                    extra = (times if weighted else np.ones(len(mine), np.int64)) - np.isin(mine, hub)
+                    more = extra > 0
+                    e, weight = np.concatenate([~removed, mine[more]]), np.concatenate([np.ones(len(removed), np.int64), extra[more]])
+                    v = len(removed) + ALIKE * int(extra[more].sum())
+                    if not weighted and outside and v <= most + 1e-6:
+                        outside = False
+                        yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), 0, 0, 0.0, 0.0)
+                    yield rows(len(e), c, rep, weighted, group, outside, pa.array(e), pa.array(weight), int(weight.sum()), v, most)
+
+    hub = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("hub"))
+    dealt = members.join(sets, "rep").join(hub, "c").repartition("rep", "c")  # a hub's members to many tasks
+    return dealt.mapInArrow(run, schema)
 
 
 def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -379,31 +377,30 @@ def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     able = known.join(several(known), "h").where(
         (most(F.col("n"), F.col("u"), F.col("least_n")) >= ALIKE) | (most(F.col("w"), F.col("uw"), F.col("least_w")) >= ALIKE)
     )
-    able = able.select("c", "rep", "class", (F.col("w") > F.col("n")).alias("repeats")).where("rep <> c").distinct()
+    able = able.select("c", "rep", "class").where("rep <> c").distinct()
     members = able.join(found.select(F.col("rep").alias("c"), F.col("class").alias("hub_class")), "c", "left")
-    members = durable(members.select("c", "rep", "class", "repeats", (F.col("class") != F.coalesce("hub_class", "c")).alias("outside")))
-    mixed = members.groupBy("c").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outside").alias("some"), F.max("repeats").alias("repeats"))
-    mixed = mixed.where("some").select("c", "repeats")
-    rows = durable(apart(members.drop("repeats").join(mixed, "c"), sets))
+    members = durable(members.select("c", "rep", "class", (F.col("class") != F.coalesce("hub_class", "c")).alias("outside")))
+    mixed = members.groupBy("c").agg(F.max("outside").alias("some")).where("some").select("c")
+    rows = durable(apart(members.join(mixed, "c"), sets))
     elements = rows.where("e is not null")
     # an element that one class alone has joins nothing; in the common order these come first
-    shared = elements.groupBy("c", "weighted", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    mine = Window.partitionBy("c", "weighted", "rep")
+    shared = elements.groupBy("c", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mine = Window.partitionBy("c", "rep", "weighted")
+    earlier = mine.orderBy("times", "e").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        elements.join(shared, ["c", "weighted", "e"])
-        .withColumn("rank", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "e")))
-        # elements that it has in common with any other of another class, and with one outside of the hub's class
+        elements.join(shared, ["c", "e"])
+        .withColumn("rest", F.sum("weight").over(mine) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))  # weight from here on
+        # what it has in common with any other of another class, and with one outside of the hub's class
         .withColumn("to_any", F.greatest(F.ceil(F.col("v") - F.col("most") - 1e-6), F.lit(1)))
         .withColumn("to_outside", F.greatest(F.ceil(F.col("v") / (1 + ALIKE) - 1e-6), F.when(F.col("outside"), F.col("to_any")).otherwise(1)))
-        .withColumn("is_x", F.col("outside") & (F.col("rank") <= F.col("size") - F.col("to_any") + 1))
-        .withColumn("is_y", F.col("rank") <= F.col("size") - F.col("to_outside") + 1)
+        .withColumn("is_x", F.col("outside") & (F.col("rest") >= F.col("to_any")))
+        .withColumn("is_y", F.col("rest") >= F.col("to_outside"))
         .where("is_x or is_y")
     )
-    ranked = durable(ranked.select("c", "weighted", "e", "rep", "class", "size", "v", "most", "rank", "is_x", "is_y"))
-    side = lambda x, df: df.select("c", "weighted", "e", *(F.col(k).alias(f"{x}_{k}") for k in ("rep", "class", "size", "v", "rank", "most")))
-    in_common = 1 + F.least(F.col("x_size") - F.col("x_rank"), F.col("y_size") - F.col("y_rank"))
-    met = side("x", ranked.where("is_x")).join(side("y", ranked.where("is_y")), ["c", "weighted", "e"]).where(
-        (F.col("x_class") != F.col("y_class")) & (in_common >= (F.col("x_v") + F.col("y_v") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
+    ranked = durable(ranked.select("c", "e", "rep", "class", "rest", "v", "most", "is_x", "is_y"))
+    side = lambda x, df: df.select("c", "e", *(F.col(k).alias(f"{x}_{k}") for k in ("rep", "class", "rest", "v", "most")))
+    met = side("x", ranked.where("is_x")).join(side("y", ranked.where("is_y")), ["c", "e"]).where(
+        (F.col("x_class") != F.col("y_class")) & (F.least("x_rest", "y_rest") >= (F.col("x_v") + F.col("y_v") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
     )
     both = met.select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).unionAll(rows.where("e is null").select("c", "rep"))
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
