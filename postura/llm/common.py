@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-#: Words of 64 bits of a bitmap of keys.
-MARKS = 1 << 19
+#: Words of 64 bits of a bitmap of keys, and how many bits of its word mark a key.
+MARKS, BITS = 1 << 19, 4
 
 
 def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,6 +64,8 @@ def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     broadcast. With very many keys more rows pass, and the join that follows leaves them out.
     """
     word = F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(64)).cast("int"))
-    marks = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    return rows.withColumn("__word", word).join(F.broadcast(marks), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+    other = F.xxhash64(*columns, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(other, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    marks = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+    return rows.withColumn("__word", word).join(F.broadcast(marks), "__word").where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")

@@ -10,8 +10,9 @@ anchors. The second rarest term's list is intersected with them, adjusted by off
 slack, then the lists of the other terms with what is left; a window with a term that the
 corpus lacks is dropped before any list is read. An anchor is an exact match if every term
 stands at its offset; else it is a proximity match if within len + slop - 1 words before or
-after it every term stands at least as often as in the window, in any order. Of a list,
-only postings near an anchor are sent (a bitmap of bounded size tells, see common.marked).
+after it every term stands at least as often as in the window, in any order. Of the other
+terms' lists only postings near an anchor that is left are sent (a bitmap of bounded size
+tells, see common.marked).
 
 Defined results for odd input: null text has no words and gets zeros; an item without
 words has no window; a repeated item_id counts once; a null item_id makes words hit but is
@@ -89,23 +90,28 @@ def by_rarity(windows: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def around(anchors: DataFrame, index: DataFrame) -> DataFrame:
-    """The anchors (id, k, at, phrase, reach, h) with the places, pos, of their terms h within reach of them."""
-    part = F.explode(F.sequence(F.floor((F.col("at") - F.col("reach")) / NEAR), F.floor((F.col("at") + F.col("reach")) / NEAR)))
-    sought = durable(anchors.withColumn("part", part))
-    places = index.select("id", "k", "h", "pos", F.floor(F.col("pos") / NEAR).alias("part"))
-    keys = ["id", "k", "h", "part"]
-    return marked(places, sought.select(*keys), keys).join(sought, keys).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+def parts(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / NEAR), F.floor(end / NEAR)))
+
+
+def around(anchors: DataFrame, lists: DataFrame) -> DataFrame:
+    """The anchors (id, k, at, phrase, reach, h, part) with the places, pos, of their terms h within reach of them."""
+    return lists.join(anchors, ["id", "k", "h", "part"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
 
 
 def occurrences(index: DataFrame, ranked: DataFrame, slop: int = 5) -> DataFrame:
     """(id, k, phrase, start, len, exact): exact and proximity matches of the phrases; start counts for exact ones."""
     reach = F.size("hs") + F.lit(slop - 1)
-    first = sized(ranked.select("phrase", F.col("h1").alias("h"), F.col("h2"), reach.alias("reach")))
-    anchors = index.join(first, "h").select("id", "k", F.col("pos").alias("at"), "phrase", "reach", F.col("h2").alias("h"))
-    two = durable(around(anchors, index).select("id", "k", "at", "phrase", "reach").distinct())
-    others = two.join(sized(ranked.select("phrase", F.explode(F.array_distinct("hs")).alias("h"))), "phrase")
-    found = around(others, index).groupBy("id", "k", "at", "phrase").agg(F.collect_set(F.struct("h", "pos")).alias("places"))
+    near_at = parts(F.col("at") - F.col("reach"), F.col("at") + F.col("reach")).alias("part")
+    lists = index.select("id", "k", "h", "pos", F.floor(F.col("pos") / NEAR).alias("part"))
+    first = sized(ranked.select("phrase", F.col("h1").alias("h"), "h2", reach.alias("reach")))
+    anchors = index.join(first, "h").select("id", "k", F.col("pos").alias("at"), "phrase", "reach", F.col("h2").alias("h")).select("*", near_at)
+    second = lists.join(sized(ranked.select(F.col("h2").alias("h")).distinct()), "h", "left_semi")
+    two = durable(around(anchors, second).select("id", "k", "at", "phrase", "reach").distinct())
+    sought = two.select("*", near_at)
+    others = sought.join(sized(ranked.select("phrase", F.explode(F.array_distinct("hs")).alias("h"))), "phrase")
+    close = marked(lists, sought, ["id", "k", "part"])  # of all lists, what lies near an anchor that is left
+    found = around(others, close).groupBy("id", "k", "at", "phrase").agg(F.collect_set(F.struct("h", "pos")).alias("places"))
     start = F.col("at") - F.col("o1")
     exact = F.forall(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: F.array_contains("places", F.struct(F.get("hs", i).alias("h"), (start + i).cast("int").alias("pos"))))
     often = lambda h, xs: F.size(F.filter(xs, lambda x: x == h))

@@ -46,13 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, words
+from .common import durable, marked, words
 
 K, BANDS, SHINGLE, ALIKE = 80, 20, 5, 0.8
 #: Coordinates that have to agree before texts are compared.
 SCREEN = K // 2
-#: Words of the bitmap of ids whose texts are wanted.
-MARKS = 1 << 19
 U = np.uint64
 #: Ends of the rank intervals in which darts are thrown: the first begins at 0.
 LEVELS = [4.0**j for j in range(-3, 9)]
@@ -237,17 +235,8 @@ def alike(x: Counter, y: Counter) -> bool:
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents with the given ids (column id), and of few others.
-
-    The ids are marked in a bitmap of MARKS words, a table of that many rows at most, which is
-    broadcast: most other texts go before anything is sent. With very many ids more pass,
-    and the joins that follow leave them out.
-    """
-    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int"))
-    marks = ids.select(word("id").alias("word"), bit("id").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("word", word("doc_id"))
-    return rows.join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
+    """(doc_id, text) of the documents with the given ids (column id), and of few others."""
+    return marked(docs.select(F.col("doc_id").cast("long"), "text"), ids.select(F.col("id").alias("doc_id")), ["doc_id"])
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
