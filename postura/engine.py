@@ -28,15 +28,16 @@ def pqc_ready(libraries: DataFrame) -> DataFrame:
     return libraries.where(ready).select("component").distinct()
 
 
-def inventory(occurrences: DataFrame, catalogue: DataFrame, libraries: DataFrame | None = None, reach: DataFrame | None = None, policy: Policy = DEFAULT) -> DataFrame:
-    """Assessed and advised assets of the occurrences."""
+def inventory(occurrences: DataFrame, catalogue: DataFrame, libraries: DataFrame | None = None, exposed: DataFrame | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """Assessed and advised assets of the occurrences; those that graph.exposure() finds reachable (exposed) are confirmed."""
     assets = normalize.assets(occurrences)
     best = classify.best(classify.scores(classify.evidence(occurrences)))
     rows = classify.classified(assets, best, policy)
     ready = pqc_ready(libraries).select("component", F.lit(1).alias("pqc_library")) if libraries is not None else None
     rows = rows.join(ready, "component", "left") if ready is not None else rows.withColumn("pqc_library", F.lit(0))
-    if reach is not None:
-        rows = rows.join(graph.exposure(occurrences, reach, policy), "asset_id", "left").withColumn("exposure", F.coalesce("exposure", F.lit(policy.exposure["unreached"])))
+    if exposed is not None:
+        rows = rows.join(exposed.select("asset_id", "exposure", "reachable"), "asset_id", "left").withColumn("exposure", F.coalesce("exposure", F.lit(policy.exposure["unreached"])))
+        rows = rows.withColumn("liveness", F.when(F.col("reachable"), "confirmed").otherwise(F.col("liveness")))
     else:
         rows = rows.withColumn("exposure", F.lit(policy.exposure["unreached"]))
     return advise.advised(assess.assessed(assess.with_strength(rows, catalogue), policy), policy)

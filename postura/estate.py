@@ -85,10 +85,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2: the functions that observations stand in."""
+    """E2: the functions that observations stand in; of a function's entry points the heaviest counts."""
+    from postura.operators.graph import entry_weight
+
     return (
         observations(spark, sf_dir).where("function_id IS NOT NULL")
-        .groupBy("function_id").agg(F.first("component").alias("component"), F.first("path").alias("path"), F.first("function_name").alias("name"), F.min("entry_kind").alias("entry_kind"))
+        .groupBy("function_id").agg(F.first("component").alias("component"), F.first("path").alias("path"), F.first("function_name").alias("name"), F.min(F.when(F.col("entry_kind").isNotNull(), F.struct((-entry_weight(F.col("entry_kind"))).alias("w"), "entry_kind")))["entry_kind"].alias("entry_kind"))
     )
 
 
@@ -124,3 +126,11 @@ LIBRARY = {
 def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7: libraries by component."""
     return read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(*(F.expr(e).alias(c) for c, e in LIBRARY.items()))
+
+
+SERVING = {"listener_id": "CAST(s_suppkey AS BIGINT)", "component": "n_name", "path": "concat('svc', CAST(s_suppkey AS STRING), '/f', CAST(s_suppkey % 50 AS STRING))", "served": "concat('f', CAST(s_suppkey % 17 AS STRING))"}
+
+
+def listeners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8: listeners by the configuration file that sets them up and a file that they serve."""
+    return read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(*(F.expr(e).alias(c) for c, e in SERVING.items()))

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Directories' marks that make them a component's root.
-MANIFESTS = ["package.json", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "setup.py", "pyproject.toml", "requirements.txt", "Dockerfile", "Makefile", "CMakeLists.txt", "Gemfile", "composer.json"]
+# Files that make their directory a component's root.
+MANIFESTS = [
+    "Cargo.toml", "package.json", "pom.xml", "build.gradle", "build.gradle.kts", "go.mod", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "composer.json", "Gemfile",
+    "CMakeLists.txt", "meson.build", "Package.swift", "mix.exs", "Dockerfile", "Chart.yaml",
+]
 
 
 # --- traces
@@ -61,10 +64,20 @@ def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def overlay(entries: DataFrame) -> DataFrame:
-    """(image, path, layer): files that survive; a whiteout hides a path in the layers below it."""
-    adds = F.max(F.when(~F.col("whiteout"), F.col("layer")))
-    hidden = F.max(F.when(F.col("whiteout"), F.col("layer")))
-    return entries.groupBy("image", "path").agg(adds.alias("layer"), hidden.alias("hidden")).where("layer IS NOT NULL AND (hidden IS NULL OR layer >= hidden)").drop("hidden")
+    """(image, path, layer): files that survive, with the last layer that adds them.
+
+    entries: (image, path, layer, kind); kind is 'file', 'whiteout' (the path and all below it
+    go from the layers before) or 'opaque' (only what is below it goes). What a layer adds
+    comes after what it removes. Every file looks at its own directories, so no pair of a
+    file and an unrelated removal is made.
+    """
+    files = entries.where("kind = 'file'").groupBy("image", "path").agg(F.max("layer").alias("layer"))
+    gone = entries.where("kind <> 'file'").groupBy("image", F.col("path").alias("root"), "kind").agg(F.max("layer").alias("hidden"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    met = files.select("image", "path", F.explode(above).alias("root")).join(gone, ["image", "root"]).where("kind = 'whiteout' or root <> path")
+    hidden = met.groupBy("image", "path").agg(F.max("hidden").alias("hidden"))
+    return files.join(hidden, ["image", "path"], "left").where("hidden IS NULL OR layer >= hidden").drop("hidden")
 
 
 # --- networks

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def entry_weight(kind: Column, policy: Policy = DEFAULT) -> Column:
     return table[kind]
 
 
-def reached(functions: DataFrame, edges: DataFrame, policy: Policy = DEFAULT, most_levels: int = 1000) -> DataFrame:
+def reached(functions: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """(function_id, depth, entry_weight, entry): functions that calls reach from entry points, level by level.
 
     A function belongs to the entry that reaches it at the least depth; of several to the
@@ -49,7 +51,7 @@ def reached(functions: DataFrame, edges: DataFrame, policy: Policy = DEFAULT, mo
     seen = durable(functions.where("entry_kind IS NOT NULL").select("function_id", F.lit(0).alias("depth"), weight.alias("entry_weight"), F.col("function_id").alias("entry")))
     hops = durable(edges.where("caller <> target"))
     frontier = seen
-    for depth in range(1, most_levels):
+    for depth in count(1):
         found = frontier.join(hops, F.col("function_id") == F.col("caller")).groupBy("target").agg(F.min(F.struct((-F.col("entry_weight")).alias("w"), "entry")).alias("by"))
         fresh = found.join(seen.select(F.col("function_id").alias("target")), "target", "left_anti")
         frontier = durable(fresh.select(F.col("target").alias("function_id"), F.lit(depth).alias("depth"), (-F.col("by.w")).alias("entry_weight"), F.col("by.entry").alias("entry")))
@@ -59,15 +61,25 @@ def reached(functions: DataFrame, edges: DataFrame, policy: Policy = DEFAULT, mo
     return seen
 
 
-def exposure(occurrences: DataFrame, reach: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """(asset_id, exposure): the heaviest entry that reaches a function of the asset, a listener's weight if it is seen on the wire, or the default."""
-    uses = occurrences.select("asset_id", "function_id", "surface").distinct()
-    weights = uses.join(reach.select("function_id", "entry_weight"), "function_id", "left")
-    grouped = weights.groupBy("asset_id").agg(F.max("entry_weight").alias("w"), F.max(F.when(F.col("surface") == "runtime", 1).otherwise(0)).alias("wire"))
-    return grouped.select("asset_id", F.coalesce("w", F.when(F.col("wire") == 1, policy.exposure["listener"]), F.lit(policy.exposure["unreached"])).alias("exposure"), (F.col("w").isNotNull()).alias("reachable"))
+def exposure(occurrences: DataFrame, reach: DataFrame, served: DataFrame | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """(asset_id, exposure, reachable, function_id, entry) of every asset.
+
+    The heaviest entry that reaches a function of the asset decides, and function_id and entry
+    say by which function (of equal ones the least). Else an asset that a listener serves
+    (served: asset_id, listener_id) or that was seen on the wire is as exposed as a listener;
+    any other has the default and counts as not reachable, not as dead.
+    """
+    uses = occurrences.select("asset_id", "function_id", "surface").distinct().join(reach.select("function_id", "entry_weight", "entry"), "function_id", "left")
+    best = F.min(F.when(F.col("entry_weight").isNotNull(), F.struct((-F.col("entry_weight")).alias("w"), "function_id", "entry")))
+    rows = uses.groupBy("asset_id").agg(best.alias("best"), F.max(F.col("surface") == "runtime").alias("listened"))
+    if served is not None:
+        found = served.where("listener_id is not null").select("asset_id", F.lit(True).alias("serves")).distinct()
+        rows = rows.join(found, "asset_id", "left").withColumn("listened", F.coalesce("serves", "listened"))
+    weight = F.coalesce(-F.col("best.w"), F.when(F.col("listened"), policy.exposure["listener"]), F.lit(policy.exposure["unreached"]))
+    return rows.select("asset_id", weight.alias("exposure"), (F.col("best").isNotNull() | F.col("listened")).alias("reachable"), "best.function_id", "best.entry")
 
 
-def relevant(edges: DataFrame, targets: DataFrame, most_levels: int = 1000) -> DataFrame:
+def relevant(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(function_id, depth): functions from which calls lead to the targets, and how many calls away.
 
     The search runs over reversed edges and doesn't pass through a target.
@@ -75,7 +87,7 @@ def relevant(edges: DataFrame, targets: DataFrame, most_levels: int = 1000) -> D
     seen = durable(targets.select("function_id", F.lit(0).alias("depth")).distinct())
     hops = durable(edges.where("caller <> target"))
     frontier = seen
-    for depth in range(1, most_levels):
+    for depth in count(1):
         found = frontier.join(hops, F.col("function_id") == F.col("target")).select(F.col("caller").alias("function_id")).distinct()
         frontier = durable(found.join(seen, "function_id", "left_anti").select("function_id", F.lit(depth).alias("depth")))
         if not frontier.limit(1).count():

@@ -35,14 +35,14 @@ def trace_setup_filter(spark, d):
     return ev.setup_counts(estate.trace(spark, d), "SSL_CTX_new", "exit")
 
 
-FILE_PATH = "concat(source, '/', lang, '/', CASE WHEN doc_id % 37 = 0 THEN 'setup.py' WHEN doc_id % 41 = 0 THEN 'lib/setup.py' ELSE concat('lib/', CAST(doc_id AS STRING), '.txt') END)"
+FILE_PATH = "concat(source, '/', lang, '/', CASE WHEN doc_id % 37 = 0 THEN 'setup.py' WHEN doc_id % 41 = 0 THEN 'lib/setup.cfg' WHEN doc_id % 43 = 0 THEN 'Makefile' WHEN doc_id % 47 = 0 THEN 'lib/Chart.yaml' ELSE concat('lib/', CAST(doc_id AS STRING), '.txt') END)"
 
 
 def files(spark, d):
     return estate.read(spark, d, "documents").select(F.expr(FILE_PATH).alias("path"), "doc_id", "text", "n_chars", "source").where("path IS NOT NULL")
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {FILE_PATH} AS path FROM documents), r AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM f WHERE path LIKE '%/setup.py')
+@query(f"""WITH f AS (SELECT DISTINCT {FILE_PATH} AS path FROM documents), r AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM f WHERE path LIKE '%/setup.py' OR path LIKE '%/setup.cfg' OR path LIKE '%/Chart.yaml')
 SELECT f.path, coalesce(arg_max(root, length(root)), '.') AS component FROM f LEFT JOIN r ON starts_with(f.path, r.root || '/') WHERE f.path IS NOT NULL GROUP BY 1""")
 def component_resolve(spark, d):
     return ev.components(files(spark, d).select("path").distinct()).select("path", "component")
@@ -66,10 +66,14 @@ def cache_misses(spark, d):
     return ev.misses(rows, rows.where("doc_id % 3 <> 0")).select("doc_id")
 
 
-LAYERS = {"image": "CAST(l_suppkey AS BIGINT)", "path": "concat('usr/lib/', CAST(l_partkey % 50 AS STRING))", "layer": "CAST(l_orderkey % 9 AS BIGINT)", "whiteout": "l_returnflag = 'R'"}
+LAYERS = {
+    "image": "CAST(l_suppkey AS BIGINT)", "layer": "CAST(l_orderkey % 9 AS BIGINT)", "kind": "CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'opaque' WHEN l_returnflag = 'R' THEN 'whiteout' ELSE 'file' END",
+    "path": "concat('usr/lib', CASE WHEN l_returnflag = 'R' AND l_linenumber < 3 THEN '' ELSE '/' END, CASE WHEN l_returnflag = 'R' AND l_linenumber < 3 THEN CAST(l_linenumber - 1 AS STRING) ELSE CAST(l_partkey % 50 AS STRING) END, CASE WHEN l_returnflag <> 'R' AND l_linenumber > 4 THEN '/x' ELSE '' END)",
+}
 
 
-@query("WITH l AS (SELECT " + columns(LAYERS) + " FROM lineitem), g AS (SELECT image, path, max(layer) FILTER (NOT whiteout) AS layer, max(layer) FILTER (whiteout) AS hidden FROM l GROUP BY ALL) SELECT image, path, layer FROM g WHERE layer IS NOT NULL AND (hidden IS NULL OR layer >= hidden)")
+@query("WITH l AS (SELECT " + columns(LAYERS) + """ FROM lineitem), f AS (SELECT image, path, max(layer) AS layer FROM l WHERE kind = 'file' GROUP BY ALL)
+SELECT image, path, layer FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.image = f.image AND l.kind <> 'file' AND l.layer > f.layer AND (starts_with(f.path, l.path || '/') OR l.kind = 'whiteout' AND l.path = f.path))""")
 def overlay(spark, d):
     return ev.overlay(projected(estate.read(spark, d, "lineitem"), LAYERS))
 
@@ -219,13 +223,13 @@ def certificate_status(spark, d):
 
 SETTING = {
     "kind": "CASE o_orderkey % 4 WHEN 0 THEN 'ssh' ELSE 'tls' END", "version": "split_part('ssl3.0,1.0,1.1,1.2,1.3', ',', CAST(1 + o_custkey % 5 AS INT))",
-    "suite": "split_part('TLS_AES_256_GCM_SHA384,TLS_RSA_WITH_RC4_128_SHA,ECDHE-RSA-AES128-GCM-SHA256,TLS_RSA_EXPORT_WITH_DES40_CBC_SHA', ',', CAST(1 + o_orderkey % 4 AS INT))",
+    "suite": "split_part('TLS_AES_256_GCM_SHA384,TLS_RSA_WITH_RC4_128_SHA,ECDHE-RSA-AES128-GCM-SHA256,TLS_RSA_EXPORT_WITH_DES40_CBC_SHA,DES-CBC3-SHA,TLS_DH_anon_WITH_AES_128_CBC_SHA,TLS_RSA_WITH_NULL_SHA256,EXP-RC4-MD5,ADH-AES256-SHA', ',', CAST(1 + o_orderkey % 9 AS INT))",
     "grp": "split_part('X25519,X25519MLKEM768,P-256', ',', CAST(1 + o_custkey % 3 AS INT))",
 }
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, {columns(SETTING)} FROM orders),
-q AS (SELECT *, list_has_any(regexp_split_to_array(suite, '[_-]'), ['NULL', 'EXPORT', 'EXP', 'anon', 'ADH', 'AECDH', 'RC4', 'DES', 'MD5']) AS weak, CASE WHEN grp = 'X25519MLKEM768' THEN 0.0 ELSE 1.0 END::DOUBLE AS qb FROM p)
+q AS (SELECT *, suite LIKE '%EXPORT%' OR suite LIKE 'EXP-%' OR suite LIKE '%WITH_NULL%' OR suite LIKE '%anon%' OR suite LIKE 'ADH-%' AS weak, CASE WHEN grp = 'X25519MLKEM768' THEN 0.0 ELSE 1.0 END::DOUBLE AS qb FROM p)
 SELECT o_orderkey, CASE WHEN version LIKE 'ssl%' OR weak THEN 3 WHEN version IN ('1.0', '1.1') AND kind <> 'ssh' THEN 2 ELSE 0 END AS status, qb,
 CASE WHEN kind = 'ssh' THEN 'enable' WHEN version LIKE 'ssl%' OR version IN ('1.0', '1.1') THEN 'upgrade' WHEN qb = 0 THEN 'retain' ELSE 'enable' END AS action FROM q""")
 def protocol_scores(spark, d):
@@ -237,6 +241,26 @@ def protocol_scores(spark, d):
     return rows.select("o_orderkey", "status", "qb", findings.protocol_advice(F.col("kind"), F.col("version"), F.col("qb")).alias("action"))
 
 
+# a suite's name is put together from parts that the oracle knows
+SUITE = {
+    "x": "CAST(1 + l_partkey % 9 AS INT)", "y": "CAST(1 + l_suppkey % 8 AS INT)", "z": "CAST(1 + l_orderkey % 4 AS INT)", "dash": "l_linenumber % 2 = 0 AND l_partkey % 9 < 5",
+}
+IANA = "concat('TLS_', split_part('RSA,DHE_RSA,ECDHE_RSA,ECDHE_ECDSA,DHE_DSS,DH_anon,RSA_EXPORT,PSK,DHE_PSK', ',', x), '_WITH_', split_part('AES_128_GCM,AES_256_CBC,3DES_EDE_CBC,RC4_128,CHACHA20_POLY1305,NULL,CAMELLIA_256_CBC,AES_256_CCM', ',', y), '_', split_part('SHA256,SHA,MD5,SHA384', ',', z))"
+DASHED = "concat(split_part(',DHE-RSA-,ECDHE-RSA-,ECDHE-ECDSA-,DHE-DSS-', ',', x), split_part('AES128-GCM,AES256,DES-CBC3,RC4,CHACHA20-POLY1305,NULL,CAMELLIA256,AES256-CCM', ',', y), '-', split_part('SHA256,SHA,MD5,SHA384', ',', z))"
+OF_Y = lambda names: f"nullif(split_part('{names}', ',', y), '')"
+
+
+@query(f"""WITH s AS (SELECT {columns(SUITE)} FROM lineitem), n AS (SELECT DISTINCT x, y, z, CASE WHEN dash THEN {DASHED} ELSE {IANA} END AS suite FROM s)
+SELECT suite, nullif(split_part('rsa,dh,ecdh,ecdh,dh,dh,rsa,,dh', ',', x), '') AS key_exchange, nullif(split_part('rsa,rsa,rsa,ecdsa,dsa,,rsa,,', ',', x), '') AS authentication,
+{OF_Y('aes,aes,3des,rc4,chacha20-poly1305,,camellia,aes')} AS cipher, CAST({OF_Y('128,256,,128,,,256,256')} AS INT) AS bits, {OF_Y('gcm,cbc,cbc,,,,cbc,ccm')} AS mode,
+split_part('sha-256,sha-1,md5,sha-384', ',', z) AS digest, concat_ws(',', CASE WHEN x = 6 THEN 'anonymous' END, CASE WHEN x = 7 THEN 'export' END, CASE WHEN y = 6 THEN 'null' END) AS weaknesses FROM n""")
+def suite_parts(spark, d):
+    from postura.operators import findings
+
+    rows = projected(estate.read(spark, d, "lineitem"), SUITE).select("x", "y", "z", F.when(F.col("dash"), F.expr(DASHED)).otherwise(F.expr(IANA)).alias("suite"))
+    return rows.select("suite").distinct().select("suite", F.inline(F.array(findings.suite_parts(F.col("suite")))))
+
+
 MATERIAL = {
     "kind": "split_part('private-key,public-key,secret-key', ',', CAST(1 + o_orderkey % 3 AS INT))", "encrypted": "o_custkey % 2 = 0", "custody": "CASE WHEN o_orderkey % 7 = 0 THEN 'cloud-kms' END",
     "algorithm_status": "CAST(o_custkey % 4 AS INT)", "qb": "CAST(CASE o_custkey % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 1.0 END AS DOUBLE)", "known": "o_orderkey % 5 <> 0",
@@ -288,7 +312,7 @@ def rule_match(spark, d):
 
 # --- listeners and relevance
 
-SERVING = {"listener_id": "CAST(s_suppkey AS BIGINT)", "component": "n_name", "path": "concat('svc', CAST(s_suppkey AS STRING), '/f', CAST(s_suppkey % 50 AS STRING))", "served": "concat('f', CAST(s_suppkey % 17 AS STRING))"}
+SERVING = estate.SERVING
 
 
 @query(sql.query("", sql.OCC).rstrip() + f""",
@@ -298,9 +322,8 @@ LEFT JOIN bf ON occ.component = bf.component AND string_split(occ.path, '/')[-1]
 def served_listener(spark, d):
     from postura.plans.registry import occurrences
 
-    listeners = estate.read(spark, d, "supplier").join(F.broadcast(estate.read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     places = occurrences(spark, d).select("asset_id", "component", "surface", "path").distinct()
-    return ev.listener_for(places, projected(listeners, SERVING))
+    return ev.listener_for(places, estate.listeners(spark, d))
 
 
 def relevance_oracle() -> str:

@@ -281,7 +281,9 @@ def regression_gate(spark, d):
 
 # --- call graph
 
-GRAPH = """fns AS (SELECT function_id, min(component) AS component, min(path) AS path, min(function_name) AS name, min(entry_kind) AS entry_kind FROM obs WHERE function_id IS NOT NULL GROUP BY 1),
+#: Sorts entry points by falling weight.
+LIGHT = "CASE {} WHEN 'http-route' THEN '0' WHEN 'listener' THEN '0' WHEN 'library-export' THEN '4' ELSE '7' END"
+GRAPH = f"""fns AS (SELECT function_id, min(component) AS component, min(path) AS path, min(function_name) AS name, arg_min(entry_kind, {LIGHT.format('entry_kind')} || entry_kind) AS entry_kind FROM obs WHERE function_id IS NOT NULL GROUP BY 1),
 calls AS (SELECT DISTINCT function_id AS caller, component, path, callee FROM (
   SELECT *, lead(function_name) OVER (PARTITION BY order_id ORDER BY obs_id, function_id, alg_id) AS callee FROM obs WHERE function_id IS NOT NULL) WHERE callee IS NOT NULL),
 infile AS (SELECT component, path, name, count(*) AS n FROM fns GROUP BY ALL), incomp AS (SELECT component, name, count(*) AS n FROM fns GROUP BY ALL),
@@ -310,11 +312,52 @@ def reach_depth(spark, d):
     return graph.reached(fns, graph.resolved_calls(estate.calls(spark, d), fns)).select("function_id", "depth")
 
 
-@query()
-def exposure(spark, d):
+# of the entries on shortest paths the heaviest; then what of an asset's functions is reached best, else its listeners, else the wire
+EXPOSED = REACH + f""", pairs(function_id, entry, depth) AS (SELECT function_id, function_id, 0 FROM fns WHERE entry_kind IS NOT NULL
+  UNION SELECT h.target, p.entry, p.depth + 1 FROM pairs p JOIN hops h ON p.function_id = h.caller JOIN d ON d.function_id = h.target AND d.depth = p.depth + 1),
+rc AS (SELECT p.function_id, p.entry, CASE e.entry_kind WHEN 'library-export' THEN 0.6 WHEN 'main' THEN 0.3 ELSE 1.0 END::DOUBLE AS w FROM pairs p JOIN fns e ON p.entry = e.function_id
+  QUALIFY row_number() OVER (PARTITION BY p.function_id ORDER BY w DESC, p.entry) = 1),
+li AS (SELECT {', '.join(f'{e} AS {c}' for c, e in estate.SERVING.items())} FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+sv AS (SELECT DISTINCT asset_id FROM occ JOIN li ON occ.path = li.path AND surface IN ('config', 'cloud') UNION SELECT DISTINCT asset_id FROM occ JOIN li ON occ.component = li.component AND string_split(occ.path, '/')[-1] = li.served),
+bf AS (SELECT asset_id, function_id, entry, w FROM occ JOIN rc USING (function_id) QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY w DESC, function_id) = 1),
+ex AS (SELECT a.asset_id, CASE WHEN bf.w IS NOT NULL THEN bf.w WHEN wire OR sv.asset_id IS NOT NULL THEN 1.0 ELSE 0.3 END::DOUBLE AS exposure, bf.w IS NOT NULL OR wire OR sv.asset_id IS NOT NULL AS reachable, bf.function_id, bf.entry
+  FROM (SELECT asset_id, bool_or(surface = 'runtime') AS wire FROM occ GROUP BY 1) a LEFT JOIN bf USING (asset_id) LEFT JOIN sv ON a.asset_id = sv.asset_id)"""
+
+
+def exposed(spark, d) -> DataFrame:
+    from postura.operators.evidence import listener_for
+
     fns = estate.functions(spark, d)
     reach = graph.reached(fns, graph.resolved_calls(estate.calls(spark, d), fns))
-    return graph.exposure(occurrences(spark, d), reach)
+    rows = occurrences(spark, d)
+    return graph.exposure(rows, reach, listener_for(rows.select("asset_id", "component", "surface", "path").distinct(), estate.listeners(spark, d)))
+
+
+@query("WITH RECURSIVE " + ",\n".join([sql.CATALOGUE, sql.OBS, sql.OCC, GRAPH]) + EXPOSED + " SELECT asset_id, exposure, reachable, function_id, entry FROM ex")
+def exposure(spark, d):
+    """The best reached function and entry of every asset."""
+    return exposed(spark, d)
+
+
+def exposed_sql(select: str) -> str:
+    steps = list(sql.FULL)
+    steps[steps.index(sql.OCC)] = sql.OCC + ",\n" + GRAPH + EXPOSED
+    steps[steps.index(sql.EXPOSURE)] = "exposed AS (SELECT s.* REPLACE (CASE WHEN ex.reachable THEN 'confirmed' ELSE liveness END AS liveness), ex.exposure FROM strength s JOIN ex USING (asset_id))"
+    return "WITH RECURSIVE " + ",\n".join(steps) + "\n" + select
+
+
+@query(exposed_sql("SELECT asset_id, exposure, liveness, exposure_index, priority, tier FROM scored"))
+def exposed_priority(spark, d):
+    """Scores of the inventory when exposure and confirmed liveness follow the call graph and the listeners."""
+    rows = engine.inventory(written(occurrences(spark, d), "occurrences"), estate.catalogue(spark), estate.libraries(spark, d), exposed(spark, d))
+    return rows.select("asset_id", "exposure", "liveness", "exposure_index", "priority", "tier")
+
+
+@query(exposed_sql("SELECT reachable, liveness, count(*) AS assets FROM (SELECT ex.reachable, s.liveness FROM scored s JOIN ex USING (asset_id)) GROUP BY ALL"))
+def confirmed_liveness(spark, d):
+    """Assets by whether they are reachable, and by their liveness once reachable ones are confirmed."""
+    rows = engine.inventory(written(occurrences(spark, d), "occurrences"), estate.catalogue(spark), estate.libraries(spark, d), exposed(spark, d))
+    return rows.groupBy("reachable", "liveness").agg(F.count("*").alias("assets"))
 
 
 @query(graph_sql("\nSELECT (SELECT count(*) FROM fns) AS functions, (SELECT count(*) FROM fns WHERE entry_kind IS NOT NULL) AS entries, (SELECT count(*) FROM res WHERE n BETWEEN 1 AND 8) AS resolved, (SELECT count(*) FROM edges) AS edges"))

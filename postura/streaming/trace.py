@@ -9,23 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# The kernel's trace line: command-pid [cpu] flags seconds: event: (address) name=value ...
-HEADER = r"^\s*(.*?)-(\d+)\s+(?:\(\s*[\d-]+\)\s+)?\[\d+\]\s+(?:\S+\s+)?(\d+\.\d+):\s+(\w+):\s+\(0x[0-9a-fA-F]+(?:\s*<-\s*0x[0-9a-fA-F]+)?\)(.*)$"
-
-
 def source(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the trace files that arrive in a folder."""
     return spark.readStream.format("text").load(folder)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """(command, pid, ts, event, value) of well-formed lines; value is the field of that name."""
-    part = lambda i: F.regexp_extract("value", HEADER, i)
-    rest = F.regexp_extract("value", HEADER, 5)
-    return lines.where(F.rlike("value", F.lit(HEADER))).select(
-        F.trim(part(1)).alias("command"), part(2).cast("long").alias("pid"), part(3).cast("double").alias("ts"), part(4).alias("event"),
-        F.nullif(F.regexp_replace(F.regexp_extract(rest, r'\bvalue=("[^"]*"|\S+)', 1), '"', ""), F.lit("")).alias("value"),
+    """(command, pid, ts, event, value) of well-formed lines; value is the field of that name.
+
+    A line of the kernel's probe events begins with the task, before the processor in brackets:
+    its command, a hyphen and the thread, and perhaps its group in parentheses. Behind that stand,
+    between colons, flags and the seconds, the event, and its body, which begins with the
+    address in parentheses.
+    """
+    halves = F.split("value", r"\s\[[0-9]+\]\s", 2)
+    part = F.split(F.get(halves, 1), ": ", 3)
+    head, event, body = F.trim(F.get(part, 0)), F.trim(F.get(part, 1)), F.trim(F.get(part, 2))
+    task = F.regexp_replace(F.trim(F.get(halves, 0)), r"\s+\([^()]*\)$", "")
+    thread = F.substring_index(task, "-", -1)
+    fields = F.filter(F.split(body, r"\s(?=\w+=)"), lambda f: F.startswith(f, F.lit("value=")))
+    rows = lines.select(
+        F.regexp_replace(task, "-[^-]*$", "").alias("command"), thread.try_cast("long").alias("pid"), F.substring_index(head, " ", -1).try_cast("double").alias("ts"),
+        event.alias("event"), F.nullif(F.replace(F.trim(F.substr(F.get(fields, 0), F.lit(7))), F.lit('"'), F.lit("")), F.lit("")).alias("value"),
+        (F.rlike(event, F.lit(r"^\w+$")) & F.startswith(body, F.lit("(0x"))).alias("formed"),
     )
+    return rows.where("formed and pid is not null and ts is not null").drop("formed")
 
 
 def known(events: DataFrame, probes: DataFrame) -> DataFrame:
@@ -70,14 +78,15 @@ def bounded_distinct(events: DataFrame, key: str, value: str, most: int) -> Data
         seen = set(names)
         tally: dict[str, int] = {}
         dropped = 0
-        for v in sorted(v for rows in batches for v in rows["value"].fillna("")):
-            if v not in seen and len(names) < most:
-                names.append(v)
-                seen.add(v)
-            if v in seen:
-                tally[v] = tally.get(v, 0) + 1
-            else:
-                dropped += 1
+        for rows in batches:
+            for v, n in rows["value"].fillna("").value_counts().sort_index().items():
+                if v not in seen and len(names) < most:
+                    names.append(v)
+                    seen.add(v)
+                if v in seen:
+                    tally[v] = tally.get(v, 0) + int(n)
+                else:
+                    dropped += int(n)
         state.update((names,))
         rows = [(group[0], v, n, 0) for v, n in tally.items()] + ([(group[0], None, 0, dropped)] if dropped else [])
         yield pd.DataFrame(rows, columns=["key", "value", "count", "dropped"])
@@ -96,5 +105,5 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
 
 def write_counts(events: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
     """Counts of all that has arrived, replaced as a whole with each batch."""
-    sink = lambda batch, _: batch.orderBy(*keys).coalesce(1).write.mode("overwrite").json(path)  # noqa: E731  one row for each probe
+    sink = lambda batch, _: batch.write.mode("overwrite").json(path)
     counts(events, keys).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()

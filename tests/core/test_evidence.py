@@ -33,11 +33,6 @@ def test_protocol_versions(text, version):
     assert names.protocol_version(text) == version
 
 
-def test_weak_suites():
-    assert names.suite_weaknesses("TLS_RSA_EXPORT_WITH_RC4_40_MD5") == ["broken cipher", "broken digest", "export grade"]
-    assert names.suite_weaknesses("TLS_AES_256_GCM_SHA384") == []
-
-
 def test_files_are_walked_and_never_cut(spark, tmp_path):
     for path, data in {"a/app.conf": b"x", "a/.git/config": b"y", "a/node_modules/m.js": b"z", "a/big.bin": b"0" * 100}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
@@ -143,7 +138,32 @@ def test_depth_in_batch_equals_the_stream(spark):
 
 
 def test_overlay_and_components(spark):
-    e = spark.createDataFrame([("i", "a", 1, False), ("i", "a", 2, True), ("i", "b", 1, False), ("i", "b", 1, True), ("i", "c", 1, True), ("i", "c", 2, False)], "image string, path string, layer int, whiteout boolean")
-    assert {(r.path, r.layer) for r in evidence.overlay(e).collect()} == {("b", 1), ("c", 2)}
+    rows = [("a", 1, "file"), ("a", 2, "whiteout"), ("b", 1, "file"), ("b", 1, "whiteout"), ("c", 1, "whiteout"), ("c", 2, "file"), ("d/e/f", 1, "file"), ("d", 2, "whiteout"), ("d/e/g", 2, "file")]
+    rows += [("o/p", 1, "file"), ("o/p/q", 1, "file"), ("o/p/q", 3, "file"), ("o/p/r", 1, "file"), ("o/p", 2, "opaque"), ("o/pp", 1, "file")]
+    e = spark.createDataFrame([("i", *r) for r in rows], "image string, path string, layer int, kind string")
+    assert {(r.path, r.layer) for r in evidence.overlay(e).collect()} == {("b", 1), ("c", 2), ("d/e/g", 2), ("o/p", 1), ("o/p/q", 3), ("o/pp", 1)}
     f = spark.createDataFrame([("svc/go.mod",), ("svc/x/y.go",), ("svc/x/lib/setup.py",), ("svc/x/lib/z.py",), ("other.txt",)], "path string")
     assert {r.path: r.component for r in evidence.components(f).collect()} == {"svc/go.mod": "svc", "svc/x/y.go": "svc", "svc/x/lib/setup.py": "svc/x/lib", "svc/x/lib/z.py": "svc/x/lib", "other.txt": "."}
+
+
+@pytest.mark.parametrize("line, want", [
+    ("   my-app: x-12 [003] .... 17.25: p1: (0xffff) fd=3 value=\"a b\" more=1", ("my-app: x", 12, 17.25, "p1", "a b")),
+    ("worker-9 ( 7) [000] 5.5: p2: (0x1 <- 0x2)", ("worker", 9, 5.5, "p2", None)),
+    ("worker-9 [000] d.h. 6.0: p3: (0x1)", ("worker", 9, 6.0, "p3", None)),
+    ("worker-x [000] 6.0: p3: (0x1)", None), ("worker-9 [000] now: p3: (0x1)", None), ("worker-9 6.0: p3: (0x1)", None), ("worker-9 [000] 6.0: p 3: (0x1)", None), ("worker-9 [000] 6.0: p3: value=1", None), ("", None),
+])
+def test_trace_lines(spark, line, want):
+    got = [tuple(r) for r in trace.parsed(spark.createDataFrame([(line,)], "value string")).collect()]
+    assert got == ([] if want is None else [want])
+
+
+@pytest.mark.parametrize("suite, parts", [
+    ("TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256", ("ecdh", "rsa", "aes", 128, "gcm", "sha-256", "")), ("TLS_AES_256_GCM_SHA384", (None, None, "aes", 256, "gcm", "sha-384", "")),
+    ("ECDHE-ECDSA-AES256-SHA384", ("ecdh", "ecdsa", "aes", 256, "cbc", "sha-384", "")), ("DES-CBC3-SHA", ("rsa", "rsa", "3des", None, "cbc", "sha-1", "")), ("AES128-SHA", ("rsa", "rsa", "aes", 128, "cbc", "sha-1", "")),
+    ("TLS_RSA_EXPORT_WITH_RC4_40_MD5", ("rsa", "rsa", "rc4", 40, None, "md5", "export")), ("TLS_DH_anon_WITH_AES_128_CBC_SHA", ("dh", None, "aes", 128, "cbc", "sha-1", "anonymous")),
+    ("ADH-AES256-SHA", ("dh", None, "aes", 256, "cbc", "sha-1", "anonymous")), ("TLS_RSA_WITH_NULL_SHA256", ("rsa", "rsa", None, None, None, "sha-256", "null")), ("RC4-MD5", ("rsa", "rsa", "rc4", 128, None, "md5", "")),
+])
+def test_suite_parts(spark, suite, parts):
+    from postura.operators import findings
+
+    assert tuple(spark.createDataFrame([(suite,)], "s string").select(findings.suite_parts(F.col("s")).alias("p")).first().p) == parts
