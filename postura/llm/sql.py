@@ -31,4 +31,19 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
-ORACLES = {"op1_benchmark_decontamination": OP1}
+# hexadecimal digits of the UTF-8 bytes, so that places count bytes; a string is known by a 64-bit hash
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, hash(substr(x, CAST(2 * i + 1 AS BIGINT), 800)) AS h FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 400)) AS i FROM d WHERE len(x) >= 800)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM r)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+edges AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS k, a, b FROM spans),
+kept AS (SELECT e.doc_id, string_agg(substr(x, CAST(2 * k + 1 AS BIGINT), CAST(2 * (a - k) AS BIGINT)), '' ORDER BY a) || any_value(substr(x, CAST(2 * m + 1 AS BIGINT))) AS y, sum(b - a) AS gone, count(*) AS n
+         FROM edges e JOIN d USING (doc_id) JOIN (SELECT doc_id, max(b) AS m FROM spans GROUP BY 1) l USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op7_suffix_array_dedup": OP7}
