@@ -309,17 +309,19 @@ def measured(sets: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, rep, weighted, class, outside, e, weight, size, v, most): a row for each shingle that sets a member apart from its hub c.
+    """(c, rep, weighted, class, outside, e, removed, weight, behind, v, most): a row for each shingle that sets a member apart from its hub c.
 
     The hub stands for its set. A member that repeats a shingle comes twice, as its set and as
     its weighted set; any other is the same either way. e: the shingle, its complement if it
-    is removed; weight: how often it is added or removed; size: all weights together; v: the
-    removed ones plus ALIKE times the added ones; most: (1 - ALIKE) |c|; outside: whether the
-    member's class is not its hub's. A member whose set is alike to its hub's has a row
-    without e, and counts as inside; for the others v is over most either way.
+    is removed; weight: how often it is added or removed; v: the removed ones plus ALIKE times
+    the added ones; most: (1 - ALIKE) |c|; outside: whether the member's class is not its hub's.
+    In the common order the added ones come first; behind: the weight of the removed ones,
+    behind an added one. Removed ones that lie beyond what a member needs are left out. A
+    member whose set is alike to its hub's has a row without e, and counts as inside; for the
+    others v is over most either way.
     """
-    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, weight long, size long, v double, most double"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, removed boolean, weight long, behind long, v double, most double"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(k: int, *values) -> pa.RecordBatch:
@@ -335,12 +337,13 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
                 for weighted in (False, True) if (times > 1).any() else (False,):
                     extra = (times if weighted else np.ones(len(mine), np.int64)) - np.isin(mine, hub)
                     more = extra > 0
-                    e, weight = np.concatenate([~removed, mine[more]]), np.concatenate([np.ones(len(removed), np.int64), extra[more]])
                     v = len(removed) + ALIKE * int(extra[more].sum())
                     if not weighted and outside and v <= most + 1e-6:
                         outside = False
-                        yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), 0, 0, 0.0, 0.0)
-                    yield rows(len(e), c, rep, weighted, group, outside, pa.array(e), pa.array(weight), int(weight.sum()), v, most)
+                        yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), False, 0, 0, 0.0, 0.0)
+                    yield rows(int(more.sum()), c, rep, weighted, group, outside, pa.array(mine[more]), False, pa.array(extra[more]), len(removed), v, most)
+                    if len(removed) >= (v - most if outside else v / (1 + ALIKE)) - 1e-6:
+                        yield rows(len(removed), c, rep, weighted, group, outside, pa.array(~removed), True, 1, 0, v, most)
 
     hub = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("hub"))
     dealt = members.join(sets, "rep").join(hub, "c").repartition("rep", "c")  # a hub's members to many tasks
@@ -372,13 +375,13 @@ def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     mixed = members.groupBy("c").agg(F.max("outside").alias("some")).where("some").select("c")
     rows = durable(apart(members.join(mixed, "c"), sets))
     elements = rows.where("e is not null")
-    # an element that one class alone has joins nothing; in the common order these come first
+    # an element that one class alone has joins nothing; in the common order these come first, of the added and of the removed ones
     shared = elements.groupBy("c", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    mine = Window.partitionBy("c", "rep", "weighted")
+    mine = Window.partitionBy("c", "rep", "weighted", "removed")
     earlier = mine.orderBy("times", "e").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         elements.join(shared, ["c", "e"])
-        .withColumn("rest", F.sum("weight").over(mine) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))  # weight from here on
+        .withColumn("rest", F.col("behind") + F.sum("weight").over(mine) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))  # weight from here on
         # what it has in common with any other of another class, and with one outside of the hub's class
         .withColumn("to_any", F.greatest(F.ceil(F.col("v") - F.col("most") - 1e-6), F.lit(1)))
         .withColumn("to_outside", F.greatest(F.ceil(F.col("v") / (1 + ALIKE) - 1e-6), F.when(F.col("outside"), F.col("to_any")).otherwise(1)))

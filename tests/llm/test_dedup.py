@@ -248,29 +248,30 @@ def test_rows_of_one_id_or_none_are_told_apart_by_their_texts(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([x for x in rows if item not in (x[1] or "")], key=repr)
 
 
-def crowd() -> list[tuple]:
+def crowd(seed: int = 8) -> list[tuple]:
     """Copies of one text, few edits to many; some pairs far from it are alike; a pair that differs in repeats only."""
-    r = random.Random(8)
-    base, rows = cases.prose(700, 150).split(), []
-    for k in range(90):
+    r = random.Random(seed)
+    base, rows, at = cases.prose(700 + seed, 150).split(), [], seed * 10_000
+    line = " ".join(base[20:40])
+    for k in range(60):
         ws = list(base)
-        for _ in range(k % 45):
+        for _ in range(k % 30):
             ws[r.randrange(len(ws))] = f"z{r.randrange(60)}"
-        rows.append((5000 + k, " ".join(ws), "en", "s", 1))
+        rows.append((at + k, " ".join(ws) + (" " + line) * (r.randrange(6) if k % 4 == 0 else 0), "en", "s", 1))
     for k in range(8):
         ws = list(base)
         for j in range(0, 150, 12):
             ws[j] = f"far{k}x{j}"
-        rows += [(6000 + 10 * k + e, " ".join(ws[: 150 - 3 * e]), "en", "s", 1) for e in range(3)]
-    line, rest = "the same sentence stands here over and over ", cases.prose(701, 120)
-    return rows + [(7000, line * 40 + rest, "en", "s", 1), (7001, line * 4 + rest, "en", "s", 1)]
+        rows += [(at + 1000 + 10 * k + e, " ".join(ws[: 150 - 3 * e]), "en", "s", 1) for e in range(3)]
+    again, rest = f"the same sentence {seed} stands here over and over ", cases.prose(1700 + seed, 120)
+    return rows + [(at + 7000, again * 40 + rest, "en", "s", 1), (at + 7001, again * 4 + rest, "en", "s", 1)]
 
 
 def test_a_crowd_of_near_copies_loses_no_link(spark):
-    rows = crowd()
+    rows = [r for seed in (1, 2, 3, 4) for r in crowd(seed)]
     got = {r.doc_id: r.class_id for r in neardup.classes(cases.documents(spark, rows)).collect()}
     assert got == plain_classes(rows)
-    assert got[7001] == 7000
+    assert got[17001] == 17000
 
 
 def plain_classes(rows) -> dict:
