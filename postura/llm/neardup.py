@@ -346,8 +346,8 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
                         yield rows(len(removed), c, rep, weighted, group, outside, pa.array(~removed), True, 1, 0, v, most)
 
     hub = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("hub"))
-    dealt = members.join(sets, "rep").join(hub, "c").repartition("rep", "c")  # a hub's members to many tasks
-    return dealt.mapInArrow(run, schema)
+    many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.join(sets, "rep").join(hub, "c").repartition(many).mapInArrow(run, schema)  # a hub's members go evenly to all tasks
 
 
 def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
