@@ -28,8 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters per token below which a candidate counts as random.
 RATIO = 2.2
-#: Shortest candidate.
-SHORTEST = 20
+#: Shortest candidate, and shortest one without a digit or a capital behind its first letter: long words are of that kind.
+SHORTEST, SHORTEST_PLAIN = 16, 20
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -88,6 +88,8 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], path: str, ratio:
     found = []
     for m in CANDIDATE.finditer(text):
         s, (a, b) = m.group(), m.span()
+        if len(s) < SHORTEST_PLAIN and not re.search("[0-9]|(?<=.)[A-Z]", s):
+            continue
         if not re.search(r"[A-Za-z]", s) or any(x < b and a < y for x, _, y in taken):
             continue
         if len(s) in DIGESTS and re.fullmatch("[0-9a-fA-F]+", s):

@@ -138,6 +138,15 @@ def test_random_letters_and_strings_that_begin_with_digits_stand_out():
         assert find(f"see {s} end") == []
 
 
+def test_short_random_strings_stand_out_and_long_words_dont():
+    r = random.Random(21)
+    signs = string.ascii_letters + string.digits
+    found = [bool(secrets.scan_text("key " + "".join(r.choice(signs) for _ in range(n)) + " end", secrets.VOCABULARY, secrets.RATIO)[1]) for n in (16, 17, 18, 19) for _ in range(100)]
+    assert sum(found) >= 0.98 * len(found)
+    for word in ("dieeinaukeitkeit", "Einstschkeitieein", "internationalization", "getElementsByTagName", "2024-03-15-meeting-notes"):
+        assert not secrets.scan_text(f"the {word} here", secrets.VOCABULARY, secrets.RATIO)[1], word
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = cases.documents(spark, [(1, "a password=abcdefgh b", None, None, None), (2, "clean", None, None, None), (3, None, None, None, None)], clash=True)
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
