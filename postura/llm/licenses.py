@@ -10,7 +10,8 @@ in texts that hold all of its mandatory words.
 Words and places are counted over whole texts, in one pass without a shuffle. Defined
 results for odd input: null is an empty text and gives zero words, no places (null first
 and last word), no labels and score 0; repeated rows each give their row; further columns
-are ignored. The score is 1 if a template accepts, 0.5 if only a phrase stands there, else 0.
+are ignored. The score is 1 if the template of a whole text accepts, 0.9 if that of a notice
+does, 0.5 if only a phrase stands there, else 0.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Label: templates. Wording of public licences and of their usual notices.
+#: Label: templates of notices, and of wording that is a licence's own.
 TEMPLATES = {
     "mit": [
         "(released|licensed|distributed|available|published) under the [[terms of the]] [[x11]] mit license",
@@ -77,6 +78,68 @@ TEMPLATES = {
     "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable"],
 }
 
+# Disclaimers that several texts end with; holders' names are replaceable.
+MIT_ENDS = (
+    " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose"
+    " [[title]] and (noninfringement|non) [[infringement]] in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from"
+    " out of or in connection with the software or the use or other dealings in the software"
+)
+BSD_BEGINS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [[(1|a)]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [[(2|b)]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_ENDS = (
+    " this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits"
+    " or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software"
+    " even if advised of the possibility of such damage"
+)
+ISC_ENDS = (
+    " the software is provided as is and {{6}} (disclaims|disclaim) all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    " in no event shall {{6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+    " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+ISC_BEGINS = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"
+
+#: Label: templates of whole texts.
+TEXTS = {
+    "mit": [TEMPLATES["mit"][1].split(" [[subject")[0] + " subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software" + MIT_ENDS],
+    "bsd-2-clause": [BSD_BEGINS + BSD_ENDS],
+    "bsd-3-clause": [BSD_BEGINS + " [[(3|c)]] " + TEMPLATES["bsd-3-clause"][0].replace("nor the names of its contributors", "nor the names of [[its]] contributors") + BSD_ENDS],
+    "isc": [ISC_BEGINS + " provided that the above copyright notice and this permission notice appear in all copies" + ISC_ENDS],
+    "0bsd": [ISC_BEGINS + ISC_ENDS],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will {{8}} be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        " [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"
+        " [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    ],
+    "boost-1": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute"
+        " and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    ],
+    "apache-2": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{12}}"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+    ],
+    **{
+        f"{kind}-{n}": [
+            f"is free software you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software foundation either version {n} of the license or at your option any later version"
+            f" {{{{8}}}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} public license for more details"
+        ]
+        for kind, name, versions in (("gpl", "general", "23"), ("lgpl", "lesser general", "3"), ("agpl", "affero general", "3"))
+        for n in versions
+    },
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
+        " for any purpose commercial or non commercial and by any means",
+    ],
+    "wtfpl": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+}
+
 #: Which bytes of lower-cased UTF-8 are of words.
 IN_WORD = np.zeros(256, np.bool_)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
@@ -147,27 +210,33 @@ class Automaton:
 
 
 @lru_cache(maxsize=1)
-def automata() -> list[tuple[str, Automaton]]:
-    return [(label, Automaton(t)) for label, templates in TEMPLATES.items() for t in templates]
+def automata() -> list[tuple[str, float, Automaton]]:
+    """(label, score, automaton) of every template."""
+    return [(label, score, Automaton(t)) for table, score in ((TEXTS, 1.0), (TEMPLATES, 0.9)) for label, templates in table.items() for t in templates]
 
 
 @lru_cache(maxsize=1)
 def rarest() -> list[bytes]:
     """For each automaton a long mandatory word, to look for first."""
-    return sorted({max(a.mandatory, key=len) for _, a in automata()})
+    return sorted({max(a.mandatory, key=len) for _, _, a in automata()})
 
 
-def template_labels(low: bytes) -> set[str]:
+def template_labels(low: bytes) -> dict[str, float]:
+    """The labels of the templates that accept a lower-cased text, each with its best score."""
     there = {w for w in rarest() if w in low}
     if not there:
-        return set()
+        return {}
     words = WORD.findall(low)
     vocabulary = set(words)
-    return {label for label, a in automata() if a.mandatory <= vocabulary and a.accepts(words)}
+    found: dict[str, float] = {}
+    for label, score, a in automata():
+        if found.get(label, 0.0) < score and a.mandatory <= vocabulary and a.accepts(words):
+            found[label] = score
+    return found
 
 
-def scan_text(low: bytes, starts: np.ndarray) -> tuple[list[tuple[int, str]], set[str]]:
-    """The phrases' (first word, label) and all labels of a lower-cased text; starts: bytes at which its words begin."""
+def scan_text(low: bytes, starts: np.ndarray) -> tuple[list[tuple[int, str]], dict[str, float]]:
+    """The phrases' (first word, label) and all templates' labels of a lower-cased text; starts: bytes at which its words begin."""
     places = []
     for pattern, (parts, label) in BASE.items():
         if max(parts, key=len) in low and parts[0] in low:
@@ -207,7 +276,7 @@ def scan_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         places, labels = scan_text(low, starts[bounds[i] : bounds[i + 1]] - offsets[i])
         base = {x for _, x in places}
         at = [p for p, _ in places]
-        rows.append((len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if labels else 0.5 if base else 0.0))
+        rows.append((len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels.keys())), max(labels.values(), default=0.5 if base else 0.0)))
     n, first, last, base, labels, score = zip(*rows) if rows else [()] * 6
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base, pa.string()), pa.array(labels, pa.string()), pa.array(score, pa.float64())],

@@ -40,7 +40,27 @@ def test_license_phrases_equal_brute_force(spark, clash):
 ])
 def test_templates(text, label):
     found = licenses.template_labels(text.encode().lower())
-    assert found == ({label} if label else set())
+    assert found == ({label: 0.9} if label else {})
+
+
+def filled(template: str, r: random.Random) -> str:
+    """A text of a template: optional parts kept or left out, gaps filled."""
+    while "[[" in template:
+        template = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: m[1] if r.random() < 0.5 else "", template)
+    template = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join("Someone" for _ in range(r.randrange(1, int(m[1]) + 1))), template)
+    return re.sub(r"\(([^)]*)\)", lambda m: r.choice(m[1].split("|")), template)
+
+
+def test_whole_texts_and_what_breaks_them():
+    r = random.Random(2)
+    for label, templates in licenses.TEXTS.items():
+        for t in templates:
+            for _ in range(3):
+                words = ["Copyright", "2020", *filled(t, r).split(), "end"]
+                text = " ".join(w + r.choice(("", ",", ".", "\n", ";  ")) for w in words)
+                assert licenses.template_labels(text.encode().lower()).get(label) == 1.0, (label, text)
+                words[len(words) // 2] = "changed"
+                assert licenses.template_labels(" ".join(words).encode().lower()).get(label) != 1.0 or "Someone" in filled(t, r)
 
 
 def test_optional_parts_nest_and_gaps_are_bounded():
