@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +64,58 @@ def directives(files: DataFrame) -> DataFrame:
 
 
 def key_values(files: DataFrame) -> DataFrame:
-    """(path, line, key, value) of flat lines; section names and nested paths are not kept; keys that begin with 'disabled' are left out."""
-    found = r"^([A-Za-z0-9_.-]+)\s*[=:]\s*(.*)$"
-    rows = lines(files).select("path", "line", F.regexp_extract("text", found, 1).alias("key"), F.regexp_replace(F.regexp_extract("text", found, 2), "^[\"']|[\"']$", "").alias("value"))
-    return rows.where(~F.rlike("key", F.lit(r"(?i)(^|\.)disabled")) & (F.col("key") != ""))
+    """(path, line, key, value) of key = value and key: value lines, keys with their sections and the keys that they are indented below.
+
+    For flat files, sections as in INI and TOML, and block style YAML: a file's lines are
+    folded once, with a stack of the keys that are open. List items keep the key above them.
+    Keys with a part that begins with 'disabled' are left out. Flow style is not taken apart.
+    """
+    stack = "array<struct<indent:int,key:string>>"
+    pairs = "array<struct<line:bigint,key:string,value:string>>"
+    raw = F.transform(F.split("text", r"\r?\n"), lambda x, i: F.struct(F.regexp_replace(x, r"(^|\s)#.*$", "").alias("text"), (i + 1).cast("long").alias("line")))
+    unquoted = lambda c: F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
+
+    def step(acc: Column, x: Column) -> Column:
+        line = x["text"]
+        section = F.regexp_extract(line, r"^\s*\[+\s*([^\[\]]+?)\s*\]+\s*$", 1)
+        found = r"^(\s*(?:- +)?)[\"']?([A-Za-z0-9_.-]+)[\"']?\s*(?:=|:(?=\s|$))\s*(.*)$"
+        indent, key, value = F.length(F.regexp_extract(line, found, 1)), F.regexp_extract(line, found, 2), unquoted(F.regexp_extract(line, found, 3))
+        above = F.filter(acc["open"], lambda o: o["indent"] < indent)
+        whole = F.array_join(F.concat(F.when(acc["section"] != "", F.array(acc["section"])).otherwise(F.expr("cast(array() as array<string>)")), F.transform(above, lambda o: o["key"]), F.array(key)), ".")
+        nothing = F.expr(f"cast(array() as {stack})")
+        opened = F.when(key == "", acc["open"]).otherwise(F.concat(above, F.array(F.struct(indent.alias("indent"), key.alias("key")))))
+        pair = F.struct(x["line"].alias("line"), whole.alias("key"), value.alias("value"))
+        return F.struct(
+            F.when(section != "", unquoted(section)).otherwise(acc["section"]).alias("section"), F.when(section != "", nothing).otherwise(opened).alias("open"),
+            F.when((section == "") & (key != "") & (value != ""), F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"),
+        )
+
+    start = F.struct(F.lit("").alias("section"), F.expr(f"cast(array() as {stack})").alias("open"), F.expr(f"cast(array() as {pairs})").alias("pairs"))
+    rows = files.select("path", F.explode(F.aggregate(raw, start, step, lambda acc: acc["pairs"])).alias("p")).select("path", "p.*")
+    return rows.where(~F.rlike("key", F.lit(r"(?i)(^|\.)disabled")))
+
+
+def json_values(files: DataFrame, most_levels: int = 32) -> DataFrame:
+    """(path, key, value): the leaves of JSON texts, with the path of names and places from 0 that leads to them.
+
+    Objects and arrays are opened level by level; a text nested deeper is an error, not cut.
+    """
+    is_object, is_list = F.startswith("value", F.lit("{")), F.startswith("value", F.lit("["))
+    level = files.select("path", F.lit("").alias("key"), F.trim(F.col("text")).alias("value")).where(is_object | is_list)
+    found = []
+    for _ in range(most_levels):
+        named = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        placed = F.transform(F.from_json("value", "array<string>"), lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v")))
+        opened = level.select("path", "key", F.explode(F.when(is_object, named).otherwise(placed)).alias("e"))
+        level = opened.select("path", F.concat_ws(".", F.nullif("key", F.lit("")), "e.k").alias("key"), F.col("e.v").alias("value"))
+        nested = F.coalesce(is_object | is_list, F.lit(False))
+        found.append(level.where(~nested & F.col("value").isNotNull()))
+        level = level.where(nested)
+        if not level.limit(1).count():
+            break
+    else:
+        raise ValueError(f"a text has more than {most_levels} levels")
+    return reduce(DataFrame.unionAll, found)
 
 
 def packages(files: DataFrame) -> DataFrame:

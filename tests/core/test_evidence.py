@@ -54,7 +54,7 @@ def test_directives_and_key_values(spark):
     df = spark.createDataFrame([("gw/nginx.conf", CONF), ("e/.env", "[tls]\nkey.size = 2048 # bits\ndisabledAlgorithms=MD5\n\nmode: 'gcm'")], "path string, text string")
     got = {(r.setting, r.value, r.line) for r in readers.directives(df).collect()}
     assert {("versions", "TLSv1", 3), ("versions", "TLSv1.2", 3), ("suites", "ECDHE-RSA-AES256-GCM-SHA384", 4), ("listener", "443", 5)} <= got and not any(v.startswith("!") for _, v, _ in got)
-    assert {(r.key, r.value) for r in readers.key_values(df.where("path = 'e/.env'")).collect()} == {("key.size", "2048"), ("mode", "gcm")}
+    assert {(r.key, r.value) for r in readers.key_values(df.where("path = 'e/.env'")).collect()} == {("tls.key.size", "2048"), ("tls.mode", "gcm")}
     formats = spark.createDataFrame([("a/nginx.conf",), ("k.tf",), ("package-lock.json",), ("x.yml",), ("main.py",)], "p string").select(readers.config_format(F.col("p"))).collect()
     assert [r[0] for r in formats] == ["directives", "terraform", None, "yaml", None]
 
@@ -167,3 +167,18 @@ def test_suite_parts(spark, suite, parts):
     from postura.operators import findings
 
     assert tuple(spark.createDataFrame([(suite,)], "s string").select(findings.suite_parts(F.col("s")).alias("p")).first().p) == parts
+
+
+def test_nested_keys(spark):
+    text = {
+        "a.ini": "top = 1\n[server]\nport = 8443\n; x\n[tls]\nmin=1.2",
+        "b.yaml": "server:\n  tls:\n    min: 'TLSv1.2' # note\n    ciphers:\n      - name: A\n        bits: 256\n  port: 1\nurl: http://x:1/y\ndisabledThings:\n  a: 1",
+        "c.json": '{"a": {"b": [1, {"c": "x"}], "d": null}, "e": true}', "d.json": "[[1], {}]", "e.json": "{broken",
+    }
+    df = spark.createDataFrame(list(text.items()), "path string, text string")
+    got = {(r.path, r.key, r.value) for r in readers.key_values(df.where("path < 'c'")).collect()}
+    assert got == {
+        ("a.ini", "top", "1"), ("a.ini", "server.port", "8443"), ("a.ini", "tls.min", "1.2"), ("b.yaml", "server.tls.min", "TLSv1.2"), ("b.yaml", "server.tls.ciphers.name", "A"),
+        ("b.yaml", "server.tls.ciphers.bits", "256"), ("b.yaml", "server.port", "1"), ("b.yaml", "url", "http://x:1/y"),
+    }
+    assert {(r.path, r.key, r.value) for r in readers.json_values(df.where("path > 'c'")).collect()} == {("c.json", "a.b.0", "1"), ("c.json", "a.b.1.c", "x"), ("c.json", "e", "true"), ("d.json", "0.0", "1")}
