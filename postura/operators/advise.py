@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postura.operators.assess import round2
 from postura.policy import DEFAULT, Policy
 
 
 def recommendation() -> Column:
-    """struct(action, target), by the first rule that holds."""
+    """struct(action, target), by the first rule that holds; the targets' wording is fixed."""
     p = F.coalesce("primitive", "alg_primitive")
     shor, broken, qb = F.col("quantum") == "shor", F.col("status") == 3, F.col("qb")
     say = lambda action, target: F.struct(F.lit(action).alias("action"), (target if isinstance(target, Column) else F.lit(target)).alias("target"))
@@ -19,15 +18,15 @@ def recommendation() -> Column:
     cipher = p.isin("block-cipher", "stream-cipher", "ae")
     first = F.split_part(F.split_part("replacements", F.lit(","), F.lit(1)), F.lit("="), F.lit(2))
     return (
-        F.when(F.col("quantum") == "post-quantum", say("retain", F.when(F.col("parameter_set").isin("512", "44"), F.concat("alg_name", F.lit(" at category 3 or higher"))).otherwise(F.col("alg_name"))))
-        .when(p.isin("key-agree", "kem", "pke") & shor, say("replace", "hybrid X25519 + ML-KEM-768"))
-        .when((p == "signature") & shor, say("replace", F.concat(F.lit("ML-DSA-"), signatures)))
-        .when((p == "hash") & ~broken & (qb > 0.2), say("replace", "SHA-384"))
-        .when((p == "mac") & (F.col("alg_id") == "hmac") & F.col("digest").isNull(), say("review", "the HMAC digest"))
+        F.when(F.col("quantum") == "post-quantum", say("retain", F.when(F.col("parameter_set").isin("512", "44"), F.concat("alg_name", F.lit(" at NIST level 3 or higher"))).otherwise(F.concat("alg_name", F.lit(" (verify implementation)")))))
+        .when(p.isin("key-agree", "kem", "pke") & shor, say("replace", "hybrid X25519 + ML-KEM-768 (FIPS 203)"))
+        .when((p == "signature") & shor, say("replace", F.concat(F.lit("ML-DSA-"), signatures, F.lit(" (FIPS 204), or SLH-DSA for long-term roots"))))
+        .when((p == "hash") & ~broken & (qb > 0.2), say("replace", "SHA-384 (or SHA3-384)"))
+        .when((p == "mac") & (F.col("alg_id") == "hmac") & F.col("digest").isNull(), say("review", "the HMAC digest: SHA-256 or stronger"))
         .when((p == "xof") & ~broken & (qb > 0.2), say("replace", "SHAKE256"))
-        .when((p == "kdf") & (F.col("alg_id") == "pbkdf2") & ~broken & (qb > 0.2), say("upgrade", "PBKDF2-HMAC-SHA-256 or Argon2id"))
-        .when(p.isin("hash", "xof") & broken, say("replace", "SHA-384"))
-        .when(p.isin("mac", "kdf") & F.col("digest").isin("sha-1", "md5"), say("upgrade", F.concat("alg_name", F.lit("-SHA-256"))))
+        .when((p == "kdf") & (F.col("alg_id") == "pbkdf2") & ~broken & (qb > 0.2), say("upgrade", "PBKDF2-HMAC-SHA-256 deriving 256-bit keys at ≥600,000 iterations, or Argon2id"))
+        .when(p.isin("hash", "xof") & broken, say("replace", "SHA-384 (or SHA3-384)"))
+        .when(p.isin("mac", "kdf") & F.col("digest").isin("sha-1", "md5"), say("upgrade", F.when(F.col("alg_id") == "pbkdf2", "Argon2id, or PBKDF2-HMAC-SHA-256 at ≥600,000 iterations").otherwise(F.concat("alg_name", F.lit("-SHA-256")))))
         .when(cipher & (F.coalesce(F.col("mode") == "ecb", F.lit(False)) | broken | (qb >= 0.5) | (F.col("status") > 0)), say("replace", "AES-256-GCM"))
         .when(cipher | ((qb <= 0.2) & ~broken), say("retain", F.col("alg_name")))
         .otherwise(say("replace", F.when(first != "", first).otherwise("an approved replacement")))
@@ -98,5 +97,3 @@ def plan(roadmap: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         F.coalesce((F.col("due_year") < year) & (F.col("cumulative") > 0), F.lit(False)).alias("overdue"),
     )
 
-
-__all__ = ["advised", "plan", "recommendation", "roadmap", "round2", "wave"]

@@ -102,11 +102,11 @@ ADVISED = f"""r1 AS (SELECT *, CASE WHEN quantum = 'post-quantum' THEN 'retain'
   WHEN {PR} = 'kdf' AND alg_id = 'pbkdf2' AND status < 3 AND qb > 0.2 THEN 'upgrade' WHEN {PR} IN ('hash', 'xof') AND status = 3 THEN 'replace' WHEN {PR} IN ('mac', 'kdf') AND digest IN ('sha-1', 'md5') THEN 'upgrade'
   WHEN {PR} IN ('block-cipher', 'stream-cipher', 'ae') THEN CASE WHEN mode = 'ecb' OR status > 0 OR qb >= 0.5 THEN 'replace' ELSE 'retain' END
   WHEN qb <= 0.2 AND status < 3 THEN 'retain' ELSE 'replace' END AS action,
-  CASE WHEN quantum = 'post-quantum' THEN CASE WHEN parameter_set IN ('512', '44') THEN alg_name || ' at category 3 or higher' ELSE alg_name END
-  WHEN {PR} IN ('key-agree', 'kem', 'pke') AND quantum = 'shor' THEN 'hybrid X25519 + ML-KEM-768' WHEN {PR} = 'signature' AND quantum = 'shor' THEN 'ML-DSA-' || CASE WHEN lifetime >= 25 THEN '87' ELSE '65' END
-  WHEN {PR} = 'hash' AND status < 3 AND qb > 0.2 THEN 'SHA-384' WHEN {PR} = 'mac' AND alg_id = 'hmac' AND digest IS NULL THEN 'the HMAC digest' WHEN {PR} = 'xof' AND status < 3 AND qb > 0.2 THEN 'SHAKE256'
-  WHEN {PR} = 'kdf' AND alg_id = 'pbkdf2' AND status < 3 AND qb > 0.2 THEN 'PBKDF2-HMAC-SHA-256 or Argon2id' WHEN {PR} IN ('hash', 'xof') AND status = 3 THEN 'SHA-384'
-  WHEN {PR} IN ('mac', 'kdf') AND digest IN ('sha-1', 'md5') THEN alg_name || '-SHA-256' WHEN {PR} IN ('block-cipher', 'stream-cipher', 'ae') THEN CASE WHEN mode = 'ecb' OR status > 0 OR qb >= 0.5 THEN 'AES-256-GCM' ELSE alg_name END
+  CASE WHEN quantum = 'post-quantum' THEN CASE WHEN parameter_set IN ('512', '44') THEN alg_name || ' at NIST level 3 or higher' ELSE alg_name || ' (verify implementation)' END
+  WHEN {PR} IN ('key-agree', 'kem', 'pke') AND quantum = 'shor' THEN 'hybrid X25519 + ML-KEM-768 (FIPS 203)' WHEN {PR} = 'signature' AND quantum = 'shor' THEN 'ML-DSA-' || CASE WHEN lifetime >= 25 THEN '87' ELSE '65' END || ' (FIPS 204), or SLH-DSA for long-term roots'
+  WHEN {PR} = 'hash' AND status < 3 AND qb > 0.2 THEN 'SHA-384 (or SHA3-384)' WHEN {PR} = 'mac' AND alg_id = 'hmac' AND digest IS NULL THEN 'the HMAC digest: SHA-256 or stronger' WHEN {PR} = 'xof' AND status < 3 AND qb > 0.2 THEN 'SHAKE256'
+  WHEN {PR} = 'kdf' AND alg_id = 'pbkdf2' AND status < 3 AND qb > 0.2 THEN 'PBKDF2-HMAC-SHA-256 deriving 256-bit keys at ≥600,000 iterations, or Argon2id' WHEN {PR} IN ('hash', 'xof') AND status = 3 THEN 'SHA-384 (or SHA3-384)'
+  WHEN {PR} IN ('mac', 'kdf') AND digest IN ('sha-1', 'md5') THEN CASE WHEN alg_id = 'pbkdf2' THEN 'Argon2id, or PBKDF2-HMAC-SHA-256 at ≥600,000 iterations' ELSE alg_name || '-SHA-256' END WHEN {PR} IN ('block-cipher', 'stream-cipher', 'ae') THEN CASE WHEN mode = 'ecb' OR status > 0 OR qb >= 0.5 THEN 'AES-256-GCM' ELSE alg_name END
   WHEN qb <= 0.2 AND status < 3 THEN alg_name WHEN replacements <> '' THEN split_part(split_part(replacements, ',', 1), '=', 2) ELSE 'an approved replacement' END AS target FROM scored),
 r2 AS (SELECT *, action = 'replace' AND quantum = 'shor' AND {PR} IN ('key-agree', 'kem', 'pke') AS exchange, action = 'replace' AND quantum = 'shor' AND {PR} = 'signature' AS signing FROM r1),
 advised AS (SELECT *, CAST(CASE WHEN exchange THEN CASE WHEN alg_id = 'x25519' THEN 64 WHEN alg_id = 'x448' THEN 112 WHEN alg_id = 'ecdh' THEN CASE curve WHEN 'P-384' THEN 194 WHEN 'P-521' THEN 266 ELSE 130 END
