@@ -69,3 +69,9 @@ def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
     marks = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
     return rows.withColumn("__word", word).join(F.broadcast(marks), "__word").where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
