@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postura.llm import decontaminate, langid, neardup, secrets, transducer
-from postura.llm.common import shared_folder, table
+from postura.llm.common import remove, shared_folder, table
 
 #: Least share of a text's words that has to be of its language.
 LEAST_SHARE = 0.4
@@ -66,9 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table is removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
