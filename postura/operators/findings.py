@@ -54,7 +54,7 @@ def suite_parts(suite: Column) -> Column:
     first = F.when(~iana & (exchange == ""), F.lit("RSA")).otherwise(F.get(kinds, 0))
     signer = F.when(first.isin("ADH", "AECDH"), None).when(F.size(kinds) > 1, F.get(kinds, 1)).when(first == "RSA", "RSA")
     cipher = F.regexp_extract(rest, "^([0-9]?[A-Z]+(?:(?:20|40|4|2)(?=_|$))?)", 1)
-    bits = F.regexp_extract(rest, "^[A-Z]+_?(128|192|256)(?:_|$)|^RC4_(128|40|56)", 1)
+    bits = F.regexp_extract(rest, "^[A-Z0-9]+?_?(128|192|256|40|56)(?:_|$)", 1)
     mode = F.lower(F.regexp_extract(rest, "_(GCM|CCM|CBC|CFB|OFB|ECB)(?:_|$)", 1))
     block = looked_up(CIPHERS, cipher).isin("aes", "camellia", "aria", "seed", "idea", "des", "3des")
     weak = F.array(
