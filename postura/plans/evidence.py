@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postura import estate
 from postura.operators import evidence as ev
-from postura.plans import sql
+from postura.plans import registry, sql
 from postura.plans.registry import query
 
 
@@ -193,7 +193,9 @@ def cbom_components(spark, d):
     return documents.components(inventory(spark, d))
 
 
-@query()
+@query(sql.query("", sql.CLASSIFIED).rstrip() + ",\n" + registry.LINKS + ",\n" + registry.GRAPH + """
+SELECT component AS source, asset_id AS target, 'contains' AS kind FROM classified UNION SELECT asset_id, depends_on, 'depends-on' FROM links UNION SELECT caller, target, 'calls' FROM edges
+UNION SELECT function_id, asset_id, 'uses' FROM occ WHERE function_id IS NOT NULL UNION SELECT asset_id, 'data/' || data_class || '/' || substr(sha256(data_class || '|' || asset_id), 1, 16), 'protects' FROM classified""")
 def graph_edges(spark, d):
     from postura.operators import graph, normalize
     from postura.plans.registry import classified
