@@ -309,19 +309,19 @@ def measured(sets: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, rep, weighted, class, outside, e, removed, weight, behind, v, most): a row for each shingle that sets a member apart from its hub c.
-
-    The hub stands for its set. A member that repeats a shingle comes twice, as its set and as
-    its weighted set; any other is the same either way. e: the shingle, its complement if it
-    is removed; weight: how often it is added or removed; v: the removed ones plus ALIKE times
-    the added ones; most: (1 - ALIKE) |c|; outside: whether the member's class is not its hub's.
-    In the common order the added ones come first; behind: the weight of the removed ones,
-    behind an added one. Removed ones that lie beyond what a member needs are left out. A
-    member whose set is alike to its hub's has a row without e, and counts as inside; for the
-    others v is over most either way.
+    """(c, rep, class, outside, e, removed, weight, times, behind, v, vw, most): a row for each shingle that sets a member apart from its hub c.
+
+    The hub stands for its set. e: the shingle, its complement if it is removed; weight: how
+    often it is added or removed if the member is its set (0 or 1), times: if it is its
+    weighted set; v, vw: the removed ones plus ALIKE times the added ones, in the one way and in
+    the other; most: (1 - ALIKE) |c|; outside: whether the member's class is not its hub's. In the
+    common order the added ones come first; behind: the weight of the removed ones, behind an
+    added one. Removed ones that lie beyond what a member needs are left out. A member whose
+    set is alike to its hub's has a row without e, and counts as inside; for the others v is
+    over most.
     """
-    schema = "c long, rep long, weighted boolean, class long, outside boolean, e long, removed boolean, weight long, behind long, v double, most double"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = "c long, rep long, class long, outside boolean, e long, removed boolean, weight long, times long, behind long, v double, vw double, most double"
+    types = [*[pa.int64()] * 3, pa.bool_(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(k: int, *values) -> pa.RecordBatch:
@@ -333,17 +333,15 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
                 row = {k: batch.column(k)[i] for k in batch.schema.names}
                 mine, times, hub = (row[k].values.to_numpy() for k in ("shingles", "weights", "hub"))
                 c, rep, group, outside = (row[k].as_py() for k in ("c", "rep", "class", "outside"))
-                removed, most = np.setdiff1d(hub, mine), (1 - ALIKE) * len(hub)
-                for weighted in (False, True) if (times > 1).any() else (False,):
-                    extra = (times if weighted else np.ones(len(mine), np.int64)) - np.isin(mine, hub)
-                    more = extra > 0
-                    v = len(removed) + ALIKE * int(extra[more].sum())
-                    if not weighted and outside and v <= most + 1e-6:
-                        outside = False
-                        yield rows(1, c, rep, False, group, False, pa.nulls(1, pa.int64()), False, 0, 0, 0.0, 0.0)
-                    yield rows(int(more.sum()), c, rep, weighted, group, outside, pa.array(mine[more]), False, pa.array(extra[more]), len(removed), v, most)
-                    if len(removed) >= (v - most if outside else v / (1 + ALIKE)) - 1e-6:
-                        yield rows(len(removed), c, rep, weighted, group, outside, pa.array(~removed), True, 1, 0, v, most)
+                removed, common, most = np.setdiff1d(hub, mine), np.isin(mine, hub), (1 - ALIKE) * len(hub)
+                n, once, often = len(removed), (~common).astype(np.int64), times - common
+                v, vw, more = n + ALIKE * int(once.sum()), n + ALIKE * int(often.sum()), often > 0
+                if outside and v <= most + 1e-6:
+                    outside = False
+                    yield rows(1, c, rep, group, False, pa.nulls(1, pa.int64()), False, 0, 0, 0, 0.0, 0.0, 0.0)
+                yield rows(int(more.sum()), c, rep, group, outside, pa.array(mine[more]), False, pa.array(once[more]), pa.array(often[more]), n, v, vw, most)
+                if n >= (v - most if outside else v / (1 + ALIKE)) - 1e-6:
+                    yield rows(n, c, rep, group, outside, pa.array(~removed), True, 1, 1, 0, v, vw, most)
 
     hub = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("hub"))
     many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -376,24 +374,24 @@ def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     rows = durable(apart(members.join(mixed, "c"), sets))
     elements = rows.where("e is not null")
     # an element that one class alone has joins nothing; in the common order these come first, of the added and of the removed ones
-    shared = elements.groupBy("c", "e").agg(F.count("*").alias("times"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    mine = Window.partitionBy("c", "rep", "weighted", "removed")
-    earlier = mine.orderBy("times", "e").rowsBetween(Window.unboundedPreceding, -1)
+    shared = elements.groupBy("c", "e").agg(F.count("*").alias("seen"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mine = Window.partitionBy("c", "rep", "removed")
+    earlier = mine.orderBy("seen", "e").rowsBetween(Window.unboundedPreceding, -1)
+    rest = lambda w: F.col("behind") + F.sum(w).over(mine) - F.coalesce(F.sum(w).over(earlier), F.lit(0))  # noqa: E731  weight from here on
+    # what it has in common with any other of another class, and with one outside of the hub's class
+    to_any = lambda v: F.greatest(F.ceil(F.col(v) - F.col("most") - 1e-6), F.lit(1))
+    to_outside = lambda v: F.greatest(F.ceil(F.col(v) / (1 + ALIKE) - 1e-6), F.when(F.col("outside"), to_any(v)).otherwise(1))
     ranked = (
-        elements.join(shared, ["c", "e"])
-        .withColumn("rest", F.col("behind") + F.sum("weight").over(mine) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))  # weight from here on
-        # what it has in common with any other of another class, and with one outside of the hub's class
-        .withColumn("to_any", F.greatest(F.ceil(F.col("v") - F.col("most") - 1e-6), F.lit(1)))
-        .withColumn("to_outside", F.greatest(F.ceil(F.col("v") / (1 + ALIKE) - 1e-6), F.when(F.col("outside"), F.col("to_any")).otherwise(1)))
-        .withColumn("is_x", F.col("outside") & (F.col("rest") >= F.col("to_any")))
-        .withColumn("is_y", F.col("rest") >= F.col("to_outside"))
-        .where("is_x or is_y")
-    )
-    ranked = durable(ranked.select("c", "e", "rep", "class", "rest", "v", "most", "is_x", "is_y"))
-    side = lambda x, df: df.select("c", "e", *(F.col(k).alias(f"{x}_{k}") for k in ("rep", "class", "rest", "v", "most")))
-    met = side("x", ranked.where("is_x")).join(side("y", ranked.where("is_y")), ["c", "e"]).where(
-        (F.col("x_class") != F.col("y_class")) & (F.least("x_rest", "y_rest") >= (F.col("x_v") + F.col("y_v") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
+        elements.join(shared, ["c", "e"]).withColumn("rest", rest("weight")).withColumn("rest_w", rest("times"))
+        .withColumn("is_x", F.col("outside") & (F.col("weight") > 0) & (F.col("rest") >= to_any("v"))).withColumn("is_y", (F.col("weight") > 0) & (F.col("rest") >= to_outside("v")))
+        .withColumn("is_xw", F.col("outside") & (F.col("rest_w") >= to_any("vw"))).withColumn("is_yw", F.col("rest_w") >= to_outside("vw"))
+        .where("is_x or is_y or is_xw or is_yw")
     )
+    kept = ["rep", "class", "rest", "rest_w", "v", "vw", "most", "is_x", "is_y", "is_xw", "is_yw"]
+    ranked = durable(ranked.select("c", "e", *kept))
+    side = lambda x, df: df.select("c", "e", *(F.col(k).alias(f"{x}_{k}") for k in kept))
+    meet = lambda w: F.col(f"x_is_x{w}") & F.col(f"y_is_y{w}") & (F.least(*(f"{s}_rest" + f"_{w}" * bool(w) for s in "xy")) >= (F.col(f"x_v{w}") + F.col(f"y_v{w}") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
+    met = side("x", ranked.where("is_x or is_xw")).join(side("y", ranked.where("is_y or is_yw")), ["c", "e"]).where((F.col("x_class") != F.col("y_class")) & (meet("") | meet("w")))
     both = met.select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).unionAll(rows.where("e is null").select("c", "rep"))
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
