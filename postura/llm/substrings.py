@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import durable, written
 
 SPAN, GRAM = 400, 64
 WIDTH = SPAN - GRAM + 1  # grams in a string
@@ -329,7 +329,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(rid, first, end): bytes of the texts that belong to strings which also start elsewhere."""
     found = written(anchored(texts), "anchors")
     contexts = found.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "anchor", "first", "last")).alias("one"))
-    contexts = written(contexts, "contexts")
+    contexts = durable(contexts)  # a checkpoint keeps how the rows are dealt out, so that they are not sent again
     again = contexts.where("n > 1").select("gram", "c1", "c2")
     whole = found.join(again, ["gram", "c1", "c2"]).select("rid", "first", (F.col("last") + SPAN).alias("end"))
     # anchors with several contexts, one of which at least occurs once only
