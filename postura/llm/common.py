@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postura.storage import durable, shared_folder, written  # noqa: F401
+
 #: A word is a run of digits, lower-case ASCII letters and any non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -29,30 +30,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints and tables between stages.
-
-    spark.checkpoint.dir names it; where that is unset (a laptop), a folder under the
-    session's warehouse is used, never a machine-local temporary folder.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, for readers that each need some of its columns."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 #: Words of 64 bits of a bitmap of keys, and how many bits of its word mark a key.
 MARKS, BITS = 1 << 19, 4
 

@@ -1,8 +1,8 @@
-"""Queries op1 to op10 over the whole tables, and the SQL that checks them where SQL can."""
+"""Queries op1 to op13 over the whole tables, and the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, langid, licenses, neardup, privacy, secrets, substrings, transducer, webtext
+from . import decontaminate, fingerprints, langid, licenses, neardup, privacy, secrets, shards, substrings, transducer, webtext
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -48,10 +48,14 @@ def op10_html_extraction(spark, sf_dir):
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_interleaved_sharding(spark, sf_dir):
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_language_id, op3_license_scan, op4_personal_data, op5_minhash_near_dedup,
-        op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction,
+        op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction, op13_interleaved_sharding,
     )
 }

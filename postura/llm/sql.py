@@ -46,4 +46,14 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op7_suffix_array_dedup": OP7}
+# the checksum's table from its polynomial, then one step a byte; a row's place from the sorted fractions of all rows
+OP13 = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+b AS (SELECT doc_id, coalesce(source, '') AS s, source IS NOT NULL AS has, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, s, has, CAST(len(bytes) + 16 AS BIGINT) AS size, xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY has, s ORDER BY md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || crc), doc_id, size) - 1 AS r, count(*) OVER (PARTITION BY has, s) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n), has, s, r) - 1 AS p, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * 40 // total AS INT) AS shard, CAST(p - (p * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op7_suffix_array_dedup": OP7, "op13_interleaved_sharding": OP13}
