@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, langid, licenses, neardup, privacy, secrets, shards, substrings, transducer, webtext
+from . import decontaminate, fingerprints, langid, licenses, neardup, privacy, ranking, secrets, shards, substrings, transducer, webtext, whitening
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -48,6 +48,14 @@ def op10_html_extraction(spark, sf_dir):
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_interleaved_sharding(spark, sf_dir):
     return shards.report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_language_id, op3_license_scan, op4_personal_data, op5_minhash_near_dedup,
-        op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction, op13_interleaved_sharding,
+        op6_document_fingerprints, op7_suffix_array_dedup, op8_sentencepiece, op9_secret_scan, op10_html_extraction, op11_embedding_whitening, op12_ranked_search, op13_interleaved_sharding,
     )
 }
