@@ -144,3 +144,16 @@ def listener_for(places: DataFrame, listeners: DataFrame) -> DataFrame:
     rows = places.withColumn("file", name).join(by_path, "path", "left").join(by_file, ["component", "file"], "left")
     configured = F.when(F.col("surface").isin("config", "cloud"), F.col("by_path"))
     return rows.groupBy("asset_id").agg(F.coalesce(F.min(configured), F.min("by_file")).alias("listener_id"))
+
+
+def serving(places: DataFrame, listeners: DataFrame) -> DataFrame:
+    """(asset_id, via, file, listener, at): the listener that an asset's configuration sets up ('configured'), else one that refers to its file ('served').
+
+    places and listeners as in listener_for(); at is the listener's own file. Of several listeners the least counts.
+    """
+    own = listeners.select("listener_id", F.col("component").alias("l_component"), F.col("path").alias("at"), "served")
+    configured = places.where(F.col("surface").isin("config", "cloud")).join(own, F.col("path") == F.col("at")).select("asset_id", F.lit(0).alias("turn"), "listener_id", F.lit(None).cast("string").alias("file"), "at")
+    name = F.element_at(F.split("path", "/"), -1)
+    presented = places.join(own, (F.col("component") == F.col("l_component")) & (name == F.col("served"))).select("asset_id", F.lit(1).alias("turn"), "listener_id", F.col("served").alias("file"), "at")
+    first = configured.unionByName(presented).groupBy("asset_id").agg(F.min(F.struct("turn", "listener_id", "file", "at")).alias("s"))
+    return first.select("asset_id", F.when(F.col("s.turn") == 0, "configured").otherwise("served").alias("via"), "s.file", F.col("s.listener_id").cast("string").alias("listener"), "s.at")
