@@ -36,7 +36,9 @@ from .common import durable
 
 COMPONENTS = 4
 #: Columns of the block: the more, the further off is the spectrum that has to be damped.
-WIDTH = 32
+WIDTH = 40
+#: Vectors of a task, at least: a pass is short, so that many small tasks would cost more than they do.
+TOGETHER = 4096
 #: Steps of the grid in a unit.
 GRID = 256
 TOLERANCE, ROUNDS, MOST_DEGREE, SEED = 1e-12, 40, 64, 11
@@ -68,8 +70,8 @@ def summed(fit: DataFrame, part) -> np.ndarray:
         if total is not None:
             yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "value"])
 
-    rows = fit.mapInArrow(each, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
-    return np.array([r["value"] for r in rows])
+    rows = fit.mapInArrow(each, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    return np.array([r["value"] for r in sorted(rows)])
 
 
 def orthonormal(block: np.ndarray) -> np.ndarray:
@@ -127,6 +129,7 @@ def whitened(vectors: DataFrame, count: int = COMPONENTS, vector: str = "embeddi
     rows = on_grid(vectors, vector, key)
     fit = durable(rows.select("x").distinct())
     n = fit.count()
+    fit = fit.coalesce(max(1, n // TOGETHER))
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if not n:
         return fit.sparkSession.createDataFrame([], schema)
