@@ -165,23 +165,28 @@ def library_versions(spark, d):
 
 SPELLED = {
     "name": "CASE l_partkey % 9 WHEN 0 THEN 'AES-' || CAST(128 + 64 * (l_suppkey % 3) AS STRING) || '-GCM' WHEN 1 THEN 'SHA256withRSA' WHEN 2 THEN 'ecdh-sha2-nistp' || split_part('256,384,521', ',', CAST(1 + l_suppkey % 3 AS INT)) "
-    "WHEN 3 THEN 'RS' || split_part('256,384,512', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 4 THEN 'ML-KEM-' || split_part('512,768,1024', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 5 THEN 'des-ede3-cbc' "
+    "WHEN 3 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'RS' ELSE 'PS' END || split_part('256,384,512', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 4 THEN 'ML-KEM-' || split_part('512,768,1024', ',', CAST(1 + l_suppkey % 3 AS INT)) WHEN 5 THEN 'des-ede3-cbc' "
     "WHEN 6 THEN 'RSA-' || CAST(1024 * (1 + l_suppkey % 3) AS STRING) WHEN 7 THEN 'hmac-sha2-256-etm@openssh.com' ELSE 'AESUtil' END",
 }
 
-EXPECTED = """(VALUES ('AES-128-GCM', 'aes', 128, NULL, NULL, 'gcm', NULL), ('AES-192-GCM', 'aes', 192, NULL, NULL, 'gcm', NULL), ('AES-256-GCM', 'aes', 256, NULL, NULL, 'gcm', NULL),
-('SHA256withRSA', 'rsa', NULL, NULL, NULL, NULL, 'sha-256'), ('ecdh-sha2-nistp256', 'ecdh', NULL, NULL, 'P-256', NULL, NULL), ('ecdh-sha2-nistp384', 'ecdh', NULL, NULL, 'P-384', NULL, NULL), ('ecdh-sha2-nistp521', 'ecdh', NULL, NULL, 'P-521', NULL, NULL),
-('RS256', 'rsa', NULL, NULL, NULL, NULL, 'sha-256'), ('RS384', 'rsa', NULL, NULL, NULL, NULL, 'sha-384'), ('RS512', 'rsa', NULL, NULL, NULL, NULL, 'sha-512'), ('ML-KEM-512', 'ml-kem', NULL, '512', NULL, NULL, NULL), ('ML-KEM-768', 'ml-kem', NULL, '768', NULL, NULL, NULL),
-('ML-KEM-1024', 'ml-kem', NULL, '1024', NULL, NULL, NULL), ('des-ede3-cbc', '3des', NULL, NULL, NULL, 'cbc', NULL), ('RSA-1024', 'rsa', 1024, NULL, NULL, NULL, NULL), ('RSA-2048', 'rsa', 2048, NULL, NULL, NULL, NULL), ('RSA-3072', 'rsa', 3072, NULL, NULL, NULL, NULL),
-('hmac-sha2-256-etm@openssh.com', 'hmac', NULL, NULL, NULL, NULL, 'sha-256')) e(name, alg_id, key_bits, parameter_set, curve, mode, digest)"""
+# a name and what it says: algorithm, bits, parameter set, curve, mode, padding, digest
+NAMES = [
+    ("AES-128-GCM", "aes", 128, None, None, "gcm", None, None), ("AES-192-GCM", "aes", 192, None, None, "gcm", None, None), ("AES-256-GCM", "aes", 256, None, None, "gcm", None, None), ("SHA256withRSA", "rsa", None, None, None, None, None, "sha-256"),
+    ("ecdh-sha2-nistp256", "ecdh", None, None, "P-256", None, None, None), ("ecdh-sha2-nistp384", "ecdh", None, None, "P-384", None, None, None), ("ecdh-sha2-nistp521", "ecdh", None, None, "P-521", None, None, None),
+    ("RS256", "rsa", None, None, None, None, "pkcs1v15", "sha-256"), ("RS384", "rsa", None, None, None, None, "pkcs1v15", "sha-384"), ("RS512", "rsa", None, None, None, None, "pkcs1v15", "sha-512"),
+    ("PS256", "rsa", None, None, None, None, "pss", "sha-256"), ("PS384", "rsa", None, None, None, None, "pss", "sha-384"), ("PS512", "rsa", None, None, None, None, "pss", "sha-512"),
+    ("ML-KEM-512", "ml-kem", None, "512", None, None, None, None), ("ML-KEM-768", "ml-kem", None, "768", None, None, None, None), ("ML-KEM-1024", "ml-kem", None, "1024", None, None, None, None), ("des-ede3-cbc", "3des", None, None, None, "cbc", None, None),
+    ("RSA-1024", "rsa", 1024, None, None, None, None, None), ("RSA-2048", "rsa", 2048, None, None, None, None, None), ("RSA-3072", "rsa", 3072, None, None, None, None, None), ("hmac-sha2-256-etm@openssh.com", "hmac", None, None, None, None, None, "sha-256"),
+]
+EXPECTED = f"(VALUES {sql.values(NAMES)}) e(name, alg_id, key_bits, parameter_set, curve, mode, padding, digest)"
 
 
-@query(f"WITH s AS (SELECT {columns(SPELLED)} FROM lineitem) SELECT name, alg_id, key_bits, parameter_set, curve, mode, digest, count(*) AS uses FROM s LEFT JOIN {EXPECTED} USING (name) GROUP BY ALL")
+@query(f"WITH s AS (SELECT {columns(SPELLED)} FROM lineitem) SELECT name, alg_id, key_bits, parameter_set, curve, mode, padding, digest, count(*) AS uses FROM s LEFT JOIN {EXPECTED} USING (name) GROUP BY ALL")
 def names_resolve(spark, d):
     from postura.functions import names
 
     rows = names.resolved(projected(estate.read(spark, d, "lineitem"), SPELLED), "name")
-    fields = ["alg_id", "key_bits", "parameter_set", "curve", "mode", "digest"]
+    fields = ["alg_id", "key_bits", "parameter_set", "curve", "mode", "padding", "digest"]
     return rows.groupBy("name", *(F.col(f"algorithm.{f}").alias(f) for f in fields)).agg(F.count("*").alias("uses"))
 
 
@@ -299,19 +304,6 @@ def key_setting(spark, d):
     return projected(estate.read(spark, d, "lineitem"), CONFIG_KEY).groupBy("k", setting.alias("setting")).agg(F.count("*").alias("uses"))
 
 
-USE = {"language": "split_part('java,c,python,go', ',', CAST(1 + l_partkey % 4 AS INT))", "callee": "split_part('Cipher.getInstance,EVP_aes_256_gcm,hashlib.new,rsa.GenerateKey,tls.Config,util.helper', ',', CAST(1 + l_suppkey % 6 AS INT))"}
-RULES = [("java.cipher", "java", "Cipher.getInstance", "getInstance"), ("c.evp", "c", "EVP_aes_256_gcm", "EVP_aes_256_gcm"), ("python.hashlib", "python", "hashlib.new", "new"), ("go.rsa", "go", "rsa.GenerateKey", "GenerateKey"), ("go.tls", "go", "tls.Config", "Config")]
-
-
-@query("WITH u AS (SELECT " + columns(USE) + f" FROM lineitem), r(rule_id, language, callee, last) AS (VALUES {sql.values(RULES)}) SELECT u.language, u.callee, rule_id, count(*) AS uses FROM u JOIN r ON u.language = r.language AND u.callee = r.callee GROUP BY ALL")
-def rule_match(spark, d):
-    """Calls that rules know: a broadcast hash join on language and last segment, then the whole name."""
-    uses = projected(estate.read(spark, d, "lineitem"), USE).withColumn("last", F.element_at(F.split("callee", r"\."), -1))
-    rules = spark.createDataFrame(RULES, "rule_id string, language string, name string, last string")
-    hits = uses.join(F.broadcast(rules), ["language", "last"]).where((F.col("callee") == F.col("name")) | F.endswith("callee", F.concat(F.lit("."), "name")))
-    return hits.groupBy("language", "callee", "rule_id").agg(F.count("*").alias("uses"))
-
-
 # --- listeners and relevance
 
 SERVING = estate.SERVING

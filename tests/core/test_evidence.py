@@ -14,8 +14,8 @@ from postura.streaming import trace
 
 @pytest.mark.parametrize("name, alg, params", [
     ("aes-256-gcm", "aes", {"key_bits": 256, "mode": "gcm"}), ("des-ede3-cbc", "3des", {"mode": "cbc"}), ("ML-KEM-768", "ml-kem", {"parameter_set": "768"}),
-    ("AES/CBC/PKCS5Padding", "aes", {"mode": "cbc", "padding": "PKCS5"}), ("ssh-rsa", "rsa", {"digest": "sha-1"}), ("diffie-hellman-group14-sha256", "dh", {"key_bits": 2048}),
-    ("ES384", "ecdsa", {"curve": "P-384"}), ("SHA256withRSA/PSS", "rsa", {"digest": "sha-256", "padding": "PSS"}), ("PBKDF2WithHmacSHA512", "pbkdf2", {"digest": "sha-512"}),
+    ("AES/CBC/PKCS5Padding", "aes", {"mode": "cbc", "padding": "pkcs5"}), ("ssh-rsa", "rsa", {"digest": "sha-1"}), ("diffie-hellman-group14-sha256", "dh", {"key_bits": 2048}),
+    ("ES384", "ecdsa", {"curve": "P-384"}), ("SHA256withRSA/PSS", "rsa", {"digest": "sha-256", "padding": "pss"}), ("PBKDF2WithHmacSHA512", "pbkdf2", {"digest": "sha-512"}),
     ("HmacSHA256", "hmac", {"digest": "sha-256"}), ("X25519MLKEM768", "x25519-mlkem768", {}), ("sha512/256", "sha-512-256", {}), ("'RSA-2048'", "rsa", {"key_bits": 2048}),
 ])
 def test_names(name, alg, params):
