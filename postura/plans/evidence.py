@@ -287,23 +287,6 @@ def material_scores(spark, d):
     return rows.select("o_orderkey", status.alias("status"), action.alias("action"))
 
 
-KEY_SETTINGS = "CASE WHEN k LIKE '%protocol%' OR k LIKE '%tls_version%' THEN 'versions' WHEN k LIKE '%cipher%' OR k LIKE '%suite%' THEN 'suites' WHEN k LIKE '%curve%' OR k LIKE '%group%' THEN 'groups' WHEN k LIKE '%keysize%' OR k LIKE '%key_bits%' THEN 'key-size' WHEN k LIKE '%algorithm%' OR k LIKE '%digest%' OR k LIKE '%hash%' THEN 'algorithm' END"
-CONFIG_KEY = {"k": "split_part('ssl_protocols,tls_version_min,cipher_list,ssl_suites,ecdh_curve,tls_groups,rsa_keysize,key_bits,jwt_algorithm,digest,hash_fn,timeout,port', ',', CAST(1 + l_partkey % 13 AS INT))"}
-
-
-@query(f"WITH c AS (SELECT {columns(CONFIG_KEY)} FROM lineitem) SELECT k, {KEY_SETTINGS} AS setting, count(*) AS uses FROM c GROUP BY ALL")
-def key_setting(spark, d):
-    """What configuration keys set, by the first rule that their name meets."""
-    rules = [(("protocol", "tls_version"), "versions"), (("cipher", "suite"), "suites"), (("curve", "group"), "groups"), (("keysize", "key_bits"), "key-size"), (("algorithm", "digest", "hash"), "algorithm")]
-    setting = F.lit(None).cast("string")
-    for parts, name in reversed(rules):
-        meets = F.lit(False)
-        for p in parts:
-            meets = meets | F.contains("k", F.lit(p))
-        setting = F.when(meets, name).otherwise(setting)
-    return projected(estate.read(spark, d, "lineitem"), CONFIG_KEY).groupBy("k", setting.alias("setting")).agg(F.count("*").alias("uses"))
-
-
 # --- listeners and relevance
 
 SERVING = estate.SERVING

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from postura.plans import evidence, graphs, rules  # noqa: F401  these register their queries
+from postura.plans import config, evidence, graphs, rules  # noqa: F401  these register their queries
 from postura.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
