@@ -190,7 +190,19 @@ def names_resolve(spark, d):
     return rows.groupBy("name", *(F.col(f"algorithm.{f}").alias(f) for f in fields)).agg(F.count("*").alias("uses"))
 
 
-@query()
+def json_pairs(pairs: dict[str, str]) -> str:
+    """The fields of a JSON object that have a value; texts here need no escapes."""
+    return "concat_ws(',', " + ", ".join(f"'\"{n}\":' || {v}" for n, v in pairs.items()) + ")"
+
+
+QUOTED = lambda c: f"'\"' || {c} || '\"'"
+CBOM_PARAMETERS = {"primitive": QUOTED(sql.PR), "parameterSetIdentifier": QUOTED("coalesce(parameter_set, CAST(key_bits AS VARCHAR))"), "curve": QUOTED("curve"), "mode": QUOTED("mode"), "nistQuantumSecurityLevel": "CAST(level AS VARCHAR)"}
+CBOM_PROPERTIES = ["component", "tier", "priority", "liveness", "grade", "data_class", "confidence", "qb", "threat", "agility", "exposure_index", "action", "target", "effort"]
+CBOM_LIST = "concat_ws(',', " + ", ".join(f"'{{\"name\":\"{c}\",\"value\":\"' || CAST({c} AS VARCHAR) || '\"}}'" for c in CBOM_PROPERTIES) + ")"
+
+
+@query(sql.query(f"""SELECT asset_id, '{{"type":"cryptographic-asset","bom-ref":"' || asset_id || '","name":"' || alg_name || '","cryptoProperties":{{"assetType":"algorithm","algorithmProperties":{{' || {json_pairs(CBOM_PARAMETERS)}
+  || '}}}},"properties":[' || {CBOM_LIST} || ']}}' AS json FROM advised"""))
 def cbom_components(spark, d):
     from postura.plans.registry import inventory
     from postura.sinks import documents
@@ -198,6 +210,25 @@ def cbom_components(spark, d):
     return documents.components(inventory(spark, d))
 
 
+# inventory documents, one a nation, whose components are its customers
+PART = """concat('{ "name" : "n', CAST(c_custkey % 11 AS STRING), '", "bom-ref": "c', CAST(c_custkey AS STRING), '", "properties": [ {"value":"', CAST(c_custkey % 5 AS STRING), '" , "name":"tier"}, null, true ], "cryptoProperties": {"level": ', CAST(c_custkey % 6 AS STRING), ', "bits" : 2048.50} }')"""
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position,
+  '{"bom-ref":"c' || c_custkey || '","cryptoProperties":{"bits":2048.5,"level":' || c_custkey % 6 || '},"name":"n' || c_custkey % 11 || '","properties":[{"name":"tier","value":"' || c_custkey % 5 || '"},null,true]}' AS text FROM customer),
+h(nation, position, custkey, digest) AS (SELECT c_nationkey, position, c_custkey, sha256(unhex(repeat('00', 32)) || encode(text)) FROM c WHERE position = 0
+  UNION ALL SELECT c_nationkey, c.position, c.c_custkey, sha256(unhex(h.digest) || encode(c.text)) FROM h JOIN c ON c.c_nationkey = h.nation AND c.position = h.position + 1)
+SELECT 'bom/' || nation AS path, CAST(position AS INT) AS position, 'c' || custkey AS bom_ref, digest FROM h""")
+def component_chain(spark, d):
+    """The chain of digests over each document's components, in canonical form."""
+    from postura.sinks import documents
+
+    parts = estate.read(spark, d, "customer").select("c_nationkey", F.struct("c_custkey", F.expr(PART).alias("text")).alias("p"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), ",\n")
+    files = parts.groupBy("c_nationkey").agg(F.concat(F.lit('{"bomFormat": "CycloneDX", "components": ['), inner, F.lit("] }")).alias("text"))
+    return documents.chained(documents.listed(files.select(F.concat(F.lit("bom/"), "c_nationkey").alias("path"), "text")))
+
+
 @query(sql.query("", sql.CLASSIFIED).rstrip() + ",\n" + registry.LINKS + ",\n" + registry.GRAPH + """
 SELECT component AS source, asset_id AS target, 'contains' AS kind FROM classified UNION SELECT asset_id, depends_on, 'depends-on' FROM links UNION SELECT caller, target, 'calls' FROM edges
 UNION SELECT function_id, asset_id, 'uses' FROM occ WHERE function_id IS NOT NULL UNION SELECT asset_id, 'data/' || data_class || '/' || substr(sha256(data_class || '|' || asset_id), 1, 16), 'protects' FROM classified""")

@@ -6,8 +6,11 @@ last step over them, for inventories small enough for one.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +62,42 @@ def edges(assets: DataFrame, links: DataFrame, calls: DataFrame, uses: DataFrame
     data = assets.select("asset_id", F.concat(F.lit("data/"), "data_class", F.lit("/"), F.substring(F.sha2(F.concat_ws("|", "data_class", "asset_id"), 256), 1, 16)).alias("data"))
     parts = [named(assets, "component", "asset_id", "contains"), named(links, "asset_id", "depends_on", "depends-on"), named(calls, "caller", "target", "calls"), named(uses.where("function_id IS NOT NULL"), "function_id", "asset_id", "uses"), named(data, "asset_id", "data", "protects")]
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+# --- chains over a document's components
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """(path, position, bom_ref, text) of the components of inventory documents (path, text), in their order, as canonical JSON; other documents have none."""
+    found = F.try_variant_get(F.try_parse_json("text"), "$.components", "array<variant>")
+    rows = files.select("path", F.posexplode(found).alias("position", "c"))
+    return rows.select("path", "position", F.coalesce(F.try_variant_get("c", "$['bom-ref']", "string"), F.lit("")).alias("bom_ref"), F.to_json("c").alias("text"))
+
+
+def chained(components: DataFrame) -> DataFrame:
+    """(path, position, bom_ref, digest): a digest over each component's text and the digest before it, from 32 zero bytes on; the last one stands for the document.
+
+    components: (path, position, bom_ref, text). A chain has to be followed one by one: a
+    document's components come sorted to one task, which holds the digest so far and a batch.
+    """
+    schema = "path string, position int, bom_ref string, digest string"
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, before = None, bytes(32)
+        for b in batches:
+            out = []
+            for here, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                before = hashlib.sha256((before if here == path else bytes(32)) + text.encode()).digest()
+                path = here
+                out.append(before.hex())
+            yield pa.record_batch([*b.columns[:3], pa.array(out, pa.string())], ["path", "position", "bom_ref", "digest"])
+
+    rows = components.where("path IS NOT NULL").select("path", F.col("position").cast("int").alias("position"), "bom_ref", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.repartition("path").sortWithinPartitions("path", "position").mapInArrow(follow, schema)
+
+
+def departures(chain: DataFrame, signed: DataFrame) -> DataFrame:
+    """(path, position, bom_ref, signed_ref) of the first component of each document whose digest is not the signed one; either may have ended there."""
+    there = signed.select("path", "position", F.col("bom_ref").alias("signed_ref"), F.col("digest").alias("signed_digest"))
+    apart = chain.join(there, ["path", "position"], "full").where(~F.col("digest").eqNullSafe(F.col("signed_digest")))
+    return apart.groupBy("path").agg(F.min(F.struct("position", "bom_ref", "signed_ref")).alias("a")).select("path", "a.*")

@@ -182,3 +182,71 @@ def test_nested_keys(spark):
         ("b.yaml", "server.tls.ciphers.bits", "256"), ("b.yaml", "server.port", "1"), ("b.yaml", "url", "http://x:1/y"),
     }
     assert {(r.path, r.key, r.value) for r in readers.json_values(df.where("path > 'c'")).collect()} == {("c.json", "a.b.0", "1"), ("c.json", "a.b.1.c", "x"), ("c.json", "e", "true"), ("d.json", "0.0", "1")}
+
+
+@pytest.mark.parametrize("text, form", [
+    ('{"b":1, "a":{"z":[1,2,{"y":null,"x":true}],"é":"ü"}}', '{"a":{"z":[1,2,{"x":true,"y":null}],"é":"ü"},"b":1}'), ('{"":0,"a":2,"aa":3,"Z":4,"A":1}', '{"":0,"A":1,"Z":4,"a":2,"aa":3}'), (" [ ] ", "[]"), ("1.50", "1.5"), ('"a\\u000a\\"/é"', '"a\\n\\"/é"'),
+    ("not json", None), ("", None), (None, None), ('{"a":1,"a":2}', None), ("[" * 40 + "1" + "]" * 40, "[" * 40 + "1" + "]" * 40),
+])
+def test_canonical_json(spark, text, form):
+    from postura.functions.canonical import canonical
+
+    assert spark.createDataFrame([(text,)], "t string").select(canonical(F.col("t"))).first()[0] == form
+
+
+def test_canonical_form_does_not_depend_on_order(spark):
+    import json
+    import random
+
+    from postura.functions.canonical import canonical
+
+    def value(r, depth):
+        kind = r.randrange(6 if depth else 4)
+        return [r.randrange(99), f"s{r.randrange(9)}é\"", None, r.random() < 0.5, [value(r, depth - 1) for _ in range(3)] if depth else 0, {f"k{r.randrange(20)}": value(r, depth - 1) for _ in range(4)} if depth else 0][kind]
+
+    def shuffled(r, v):
+        if isinstance(v, dict):
+            return {k: shuffled(r, v[k]) for k in r.sample(list(v), len(v))}
+        return [shuffled(r, x) for x in v] if isinstance(v, list) else v
+
+    values = [{"top": value(random.Random(i), 4), "x": i} for i in range(40)]
+    texts = [(i, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False), json.dumps(shuffled(random.Random(i), v), indent=1)) for i, v in enumerate(values)]
+    got = spark.createDataFrame(texts, "i int, want string, t string").select("want", canonical(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_a_chain_names_the_first_component_that_changed(spark):
+    import hashlib
+
+    def files(*texts):
+        return spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "path string, text string")
+
+    bom = '{"components":[{"bom-ref":"a","n":1},{"n":2},{"bom-ref":"c","n":3}]}'
+    chain = documents.chained(documents.listed(files(bom, "{}", None, "nope", '{"components":[]}', '{"components":[{"bom-ref":"a","n":1}]}')))
+    rows = sorted(map(tuple, chain.collect()))
+    one = hashlib.sha256(bytes(32) + b'{"bom-ref":"a","n":1}').hexdigest()
+    two = hashlib.sha256(bytes.fromhex(one) + b'{"n":2}').hexdigest()
+    assert [r[:3] for r in rows] == [("d0", 0, "a"), ("d0", 1, ""), ("d0", 2, "c"), ("d5", 0, "a")] and rows[0][3] == rows[3][3] == one and rows[1][3] == two
+    changed = {  # the document and where it departs
+        '{"components":[{"n":1.0,"bom-ref":"a"},{"n":2},{"bom-ref":"c","n":3}]}': None, '{"components":[{"bom-ref":"a","n":1},{"n":9},{"bom-ref":"c","n":3}]}': (1, "", ""), '{"components":[{"bom-ref":"a","n":1},{"n":2}]}': (2, None, "c"),
+        '{"components":[{"n":2},{"bom-ref":"a","n":1},{"bom-ref":"c","n":3}]}': (0, "", "a"), '{"components":[{"bom-ref":"a","n":1},{"n":2},{"bom-ref":"c","n":3},{"bom-ref":"d"}]}': (3, "d", None),
+    }
+    for text, at in changed.items():
+        found = [tuple(r)[1:] for r in documents.departures(documents.chained(documents.listed(files(text))), chain.where("path = 'd0'")).collect()]
+        assert found == ([] if at is None else [at]), text
+
+
+def test_chains_run_over_many_documents_and_batches(spark):
+    import hashlib
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f"p{i % 5}", i // 5, f"r{i}", f"t{i}") for i in range(200)]
+        got = {(r.path, r.position): r.digest for r in documents.chained(spark.createDataFrame(rows, "path string, position int, bom_ref string, text string").repartition(6)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in range(5):
+        before = bytes(32)
+        for k in range(40):
+            before = hashlib.sha256(before + f"t{k * 5 + p}".encode()).digest()
+            assert got[f"p{p}", k] == before.hex()
