@@ -20,7 +20,7 @@ are the connected components of the links.
 Documents of a bucket that are then in different classes could still be alike. They are
 described by what sets them apart from their hub, elements removed and elements added, so
 that what the whole bucket shares cancels out, and joined by the rarest of these elements:
-a prefix filter with weights and positions. For a hub c of size |c|, let v(x) be the removed plus 0.8
+a prefix filter with weights and positions, joined on cells of v. For a hub c of size |c|, let v(x) be the removed plus 0.8
 times the added elements of x. Counting shows that x and y can be linked only if they have
 (v(x) + v(y) - 0.2 |c|) / 1.8 of these elements in common, and that x is linked to c itself
 unless v(x) > 0.2 |c|. So a document outside of its hub's class shares at least
@@ -348,6 +348,43 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets, "rep").join(hub, "c").repartition(many).mapInArrow(run, schema)  # a hub's members go evenly to all tasks
 
 
+#: Cells of v in the part of a hub that copies may lack.
+CELLS = 4
+
+
+def dealt(ranked: DataFrame, w: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that can be the lower and the upper one of a meeting, by the set (w empty) or the weights ("w"), with the keys on which these meet.
+
+    x and y can meet only if neither's v is over the other's reach, 1.8 rest + most - v. So the
+    one with the lower v covers the other's v with what lies between its own v and its reach:
+    it goes to the cells of that range, the other to its own v's cell. Rows of the class that a
+    shingle has most rows of go to other classes' rows only.
+    """
+    rest, v = (f"rest_{w}", f"v{w}") if w else ("rest", "v")
+    counts = ranked.groupBy("c", "e", "class").agg(F.count("*").alias("times")).groupBy("c", "e").agg(F.max(F.struct("times", "class"))["class"].alias("top"))
+    rows = ranked.select("c", "e", "rep", "class", F.col(v).alias("v"), ((1 + ALIKE) * F.col(rest) + F.col("most") - F.col(v) + 1e-5).alias("reach"), F.greatest(F.col("most") / CELLS, F.lit(1.0)).alias("cell"), F.col(f"is_x{w}").alias("is_x"), F.col(f"is_y{w}").alias("is_y"))
+    rows = rows.where("is_x or is_y").join(counts, ["c", "e"]).withColumn("of_top", F.col("class") == F.col("top")).drop("top")
+    at = lambda x: F.floor(F.col(x) / F.col("cell"))
+    lower = rows.where("reach >= v").select("*", F.explode(F.sequence(at("v"), at("reach"))).alias("k"))
+    lower = lower.select("c", "e", "k", F.explode(F.when(F.col("of_top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_top"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "class", "v", "reach", "is_x", "is_y")))
+    upper = rows.select("c", "e", at("v").alias("k"), F.col("of_top").alias("to_top"), *(F.col(c).alias(f"y_{c}") for c in ("rep", "class", "v", "reach", "is_x", "is_y")))
+    return lower, upper
+
+
+MEETING = ["c", "e", "k", "to_top"]
+
+
+def meeting(ranked: DataFrame) -> DataFrame:
+    """(x_rep, y_rep) of rows of different classes that a shingle of both lets meet, one of them as x and the other as y."""
+    found = []
+    for w in ("", "w"):
+        lower, upper = dealt(ranked, w)
+        within = (F.col("x_v") <= F.col("y_v")) & (F.col("y_v") <= F.col("x_reach")) & (F.col("x_v") <= F.col("y_reach"))
+        roles = F.col("x_is_x") & F.col("y_is_y") | F.col("x_is_y") & F.col("y_is_x")
+        found.append(lower.join(upper, MEETING).where((F.col("x_class") != F.col("y_class")) & within & roles).select("x_rep", "y_rep"))
+    return found[0].unionAll(found[1])
+
+
 def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): documents of a bucket and of different classes that can be alike.
 
@@ -389,9 +426,7 @@ def unresolved(crowded: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     )
     kept = ["rep", "class", "rest", "rest_w", "v", "vw", "most", "is_x", "is_y", "is_xw", "is_yw"]
     ranked = durable(ranked.select("c", "e", *kept))
-    side = lambda x, df: df.select("c", "e", *(F.col(k).alias(f"{x}_{k}") for k in kept))
-    meet = lambda w: F.col(f"x_is_x{w}") & F.col(f"y_is_y{w}") & (F.least(*(f"{s}_rest" + f"_{w}" * bool(w) for s in "xy")) >= (F.col(f"x_v{w}") + F.col(f"y_v{w}") - F.col("x_most")) / (1 + ALIKE) - 1e-6)
-    met = side("x", ranked.where("is_x or is_xw")).join(side("y", ranked.where("is_y or is_yw")), ["c", "e"]).where((F.col("x_class") != F.col("y_class")) & (meet("") | meet("w")))
+    met = meeting(ranked)
     both = met.select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).unionAll(rows.where("e is null").select("c", "rep"))
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
