@@ -289,3 +289,41 @@ def plain_classes(rows) -> dict:
                 a, b = name[ids[i]], name[ids[j]]
                 name = {k: min(a, b) if v in (a, b) else v for k, v in name.items()}
     return name
+
+
+def set_apart(spark, seed: int, n: int):
+    """Rows as apart() and the ranking leave them, at random, many of them under one shingle and of one class."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        most = 40.0
+        for e in r.sample(range(6), r.randrange(1, 4)):
+            v, vw = r.randrange(2, 160) / 2, r.randrange(2, 160) / 2
+            flags = [r.random() < 0.6 for _ in range(4)]
+            rows.append((r.randrange(2), e, i, 0 if i % 2 else r.randrange(n), r.randrange(1, 60), r.randrange(1, 60), v, vw, most, *flags))
+    return rows, spark.createDataFrame(rows, "c long, e long, rep long, class long, rest long, rest_w long, v double, vw double, most double, is_x boolean, is_y boolean, is_xw boolean, is_yw boolean")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_meetings_lose_no_pair(spark, seed):
+    rows, df = set_apart(spark, seed, 120)
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[:2] == y[:2] and x[3] != y[3]:
+                for rest, v, is_x, is_y in ((4, 6, 9, 10), (5, 7, 11, 12)):
+                    if x[is_x] and y[is_y] and min(x[rest], y[rest]) >= (x[v] + y[v] - x[8]) / 1.8 - 1e-6:
+                        want.add((max(x[2], y[2]), min(x[2], y[2])))
+    assert {(max(p), min(p)) for p in neardup.meeting(df).collect()} == want and want
+
+
+def test_meetings_compare_a_fraction_of_all_pairs_of_a_shingle(spark):
+    from pyspark.sql import functions as F
+
+    rows, df = set_apart(spark, 9, 600)
+    df = df.where("rest < 12 and rest_w < 12")  # shared shingles come late in the order, so that little is left behind them
+    size = lambda d, keys: d.groupBy(*keys).count()
+    plain = size(df, ["c", "e"]).agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    lower, upper = neardup.dealt(df, "")
+    compared = size(lower, neardup.MEETING).join(size(upper, neardup.MEETING).withColumnRenamed("count", "n"), neardup.MEETING).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert compared * 5 < plain
