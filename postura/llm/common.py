@@ -34,18 +34,33 @@ def words(text: Column) -> Column:
 MARKS, BITS = 1 << 19, 4
 
 
+def marks_of(columns: list[str]) -> tuple[Column, Column]:
+    """The word of the bitmap, and the bits in it, that stand for the columns."""
+    other = F.xxhash64(*columns, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(other, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
+    return F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int"), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def bitmap(keys: DataFrame, columns: list[str]) -> DataFrame:
+    word, mask = marks_of(columns)
+    return keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+
+
 def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose columns are among the keys, and few others, so that a join with the keys has little to send.
 
     The keys are marked in a bitmap of MARKS words, a table of that many rows at most, which is
     broadcast. With very many keys more rows pass, and the join that follows leaves them out.
     """
-    word = F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
-    other = F.xxhash64(*columns, F.lit(1))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(other, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
-    mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    marks = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
-    return rows.withColumn("__word", word).join(F.broadcast(marks), "__word").where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")
+    word, mask = marks_of(columns)
+    return rows.withColumn("__word", word).join(F.broadcast(bitmap(keys, columns)), "__word").where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")
+
+
+def flagged(rows: DataFrame, keys: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """All rows, with a flag that is true for those that marked() would keep."""
+    word, mask = marks_of(columns)
+    rows = rows.withColumn("__word", word).join(F.broadcast(bitmap(keys, columns)), "__word", "left")
+    return rows.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))).drop("__word", "__bits")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, written
+from .common import flagged, marked, written
 
 SPAN, GRAM = 400, 64
 WIDTH = SPAN - GRAM + 1  # grams in a string
@@ -171,7 +171,7 @@ def with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     by_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last", "n", "kinds")).alias("places"))
-    return texts.join(by_text, "rid").mapInArrow(run, "gram long, rid binary, anchor int, first int, last int, n long, bytes binary")
+    return marked(texts, wanted, ["rid"]).join(by_text, "rid").mapInArrow(run, "gram long, rid binary, anchor int, first int, last int, n long, bytes binary")
 
 
 class Context:
@@ -322,20 +322,24 @@ def without_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     by_text = spans.groupBy("rid").agg(F.collect_set(F.struct("first", "end")).alias("places"))
-    return texts.join(by_text, "rid", "left").select("doc_id", "text", "places").mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    # only texts that have spans, and few others, are sent to them
+    rows = flagged(texts, spans, ["rid"], "__some")
+    kept = rows.where("__some").join(by_text, "rid", "left").select("doc_id", "text", "places")
+    whole = rows.where("not __some").select("doc_id", "text", F.lit(None).cast(kept.schema["places"].dataType).alias("places"))
+    return kept.unionAll(whole).mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(rid, first, end): bytes of the texts that belong to strings which also start elsewhere."""
     found = written(anchored(texts), "anchors")
     contexts = found.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "anchor", "first", "last")).alias("one"))
-    contexts = durable(contexts)  # a checkpoint keeps how the rows are dealt out, so that they are not sent again
+    contexts = written(contexts, "contexts")
     again = contexts.where("n > 1").select("gram", "c1", "c2")
     whole = found.join(again, ["gram", "c1", "c2"]).select("rid", "first", (F.col("last") + SPAN).alias("end"))
     # anchors with several contexts, one of which at least occurs once only
     several = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
-    wanted = contexts.join(several, "gram").select("gram", "n", "kinds", "one.*")
-    return whole.unionAll(compared(with_bytes(texts, wanted)))
+    wanted = written(contexts.join(several, "gram").select("gram", "n", "kinds", "one.*"), "wanted")
+    return written(whole.unionAll(compared(with_bytes(texts, wanted))), "spans")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
