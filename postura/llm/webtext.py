@@ -2,11 +2,16 @@
 
 Every node of a page's tree gets a density: its characters per tag, lowered the more of
 them belong to links. The densities of a node's children add up, and the node with the
-largest sum is the heart of the article. The least density on the path from there to the
-body is the threshold: siblings along the path that reach it belong to the article too.
+largest sum is the heart of the article, and the path from there to the body leads to its
+top: the outermost article or main element on it, else the highest node beside whose branch
+stand no menus, headers, footers or mostly links. What stands beside the path below the top
+belongs to the article, unless it is mostly links; that, and what stands beside the path above
+the top, has to reach the threshold, the least density on the path.
 Parts that the markup itself names as menus, headers, footers, sidebars, notices,
 adverts, forms or comments count as empty throughout. Elements say so; names (class, id,
-role) are taken by whole words, not where they tell a state (has-sidebar, comments-open).
+role) do if all their words speak of such parts or of layout (social-share-bar, not
+share-price), not where they tell a state (has-sidebar, comments-open); on paragraphs, headings
+and the like only those for adverts and notices count.
 A form, a name joined of several words or one beside a word for content doesn't count on an
 element that holds most of the page's text outside of links, or an article, main part or
 first heading; no name of this kind counts if nothing would be left of the page.
@@ -32,6 +37,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe template xmp".split())
 #: Elements that hold no article text; a form may be around the whole page.
 EMPTY = set("head nav header footer aside button select option script style noscript iframe template svg canvas object audio video menu dialog textarea label fieldset title".split())
+#: Of these, what a page has around its article.
+FRAME = set("nav header footer aside".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Words of class, id and role that mark such parts; those of reader comments; words beside them that tell a state; words for content.
 PART = re.compile(
@@ -39,6 +46,10 @@ PART = re.compile(
     r"|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*"
     r"|respond|widget|pagination|pager|copyright|legal|search|contentinfo|complementary|toolbar"
 )
+#: Words of layout, which may stand beside those; words that count on texts too, which are no containers.
+LAYOUT = re.compile(r"area|bar|bars|bottom|box|boxes|block|blocks|btn|button|buttons|column|col|container|content|desktop|fixed|global|icons?|inner|items?|left|links?|list|lists|main|mobile|outer|panel|primary|right|row|secondary|section|site|slot|small|sticky|top|unit|widgets?|wrap|wrapper|zone|post|posts|entry|article|page|story|form|text|message|policy|info|in|up|[a-z]?\d*")
+ON_TEXT = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription|signup|copyright|comments?|disqus|replies")
+TEXTS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split()) | INLINE
 COMMENTS = re.compile("comments?|disqus|replies")
 STATE = set("has no with without open closed enabled disabled on off is not".split())
 CONTENT = set("article post entry content main story page body text".split())
@@ -72,7 +83,9 @@ def marked(tag: str, attributes: str) -> int:
             continue
         if any(COMMENTS.fullmatch(w) for w in parts):
             found = STRONG
-        elif tag != "article" and any(PART.fullmatch(w) for w in parts):
+        elif tag in TEXTS and not any(ON_TEXT.fullmatch(w) for w in parts):
+            continue
+        elif tag != "article" and any(PART.fullmatch(w) for w in parts) and all(PART.fullmatch(w) or LAYOUT.fullmatch(w) for w in parts):
             found = max(found, WEAK if content or len(parts) > 1 else STRONG)
     return found
 
@@ -188,6 +201,23 @@ def blocks(node: Node, out: list[list[str]]) -> None:
             todo += inner if x.tag in INLINE else [(None,), *inner, (None,)]
 
 
+def linked(node: Node) -> bool:
+    """Whether most of its text belongs to links."""
+    return 2 * node.link_chars > node.chars
+
+
+def below_top(path: list[Node]) -> set[int]:
+    """The nodes of a path, from the heart up to the body, that are the article's top or lie below it."""
+    named = [i for i, x in enumerate(path) if x.tag in ("article", "main")]
+    top = named[-1] if named else 0
+    for i in range(top + 1, len(path) if not named else 0):
+        beside = [x for x in path[i].children if isinstance(x, Node) and x is not path[i - 1]]
+        if any(x.tag in FRAME or x.part and (path[i].tag == "body" and x.tag not in RAW | VOID) or not x.part and x.chars and linked(x) for x in beside):
+            break
+        top = i
+    return {id(x) for x in path[: top + 1]}
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
@@ -202,8 +232,9 @@ def extract(page: str | None) -> str:
             break
         node = node.parent
     threshold = min(x.density for x in path)
+    inner = below_top(path)
     out: list[list[str]] = [[]]
-    on_path = {id(x) for x in path}
+    on_path = {id(x): x for x in path}
     todo: list[Node | str | None] = [path[-1]]
     while todo:  # from the body down the path; None ends a block
         x = todo.pop()
@@ -216,7 +247,7 @@ def extract(page: str | None) -> str:
             blocks(x, out)
         elif id(x) in on_path:
             todo += [None, *reversed(x.children), None]
-        elif not x.part and x.chars and (x.density >= threshold or x.tag in INLINE):
+        elif not x.part and x.chars and (x.density >= threshold or x.tag in INLINE or id(x.parent) in inner and not linked(x)):
             blocks(x, out)
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 

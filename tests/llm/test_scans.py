@@ -371,14 +371,19 @@ def plain_extract(root):
     visit(root, [], False)
     total, path = max(found, key=lambda f: f[0])
     least, heart, lines = min(d for _, d in path), path[-1][0], [""]
+    nodes = [x for x, _ in path]
+    mostly_links = lambda x: 2 * linked(x) > chars(x)
+    top = len(nodes) - 1
+    while top and not any(not isinstance(y, str) and y is not nodes[top] and chars(y) and mostly_links(y) for y in nodes[top - 1][1]):
+        top -= 1
 
-    def put(x, all_in):
+    def put(x, all_in, below=False):
         if isinstance(x, str):
             lines[-1] += x
-        elif all_in or x is heart or any(x is y for y, _ in path) or x[0] == "a" or density(x, False) >= least and chars(x):
+        elif all_in or x is heart or any(x is y for y, _ in path) or x[0] == "a" or chars(x) and (density(x, False) >= least or below and not mostly_links(x)):
             lines.append("") if x[0] != "a" else None
             for y in x[1]:
-                put(y, all_in or x is heart or not any(x is z for z, _ in path))
+                put(y, all_in or x is heart or not any(x is z for z in nodes), any(x is z for z in nodes[top:]))
             lines.append("") if x[0] != "a" else None
 
     put(root, False)
@@ -402,3 +407,22 @@ def test_extraction_equals_brute_force():
     for _ in range(300):
         root = ("body", tree(3))
         assert webtext.extract("<html>" + spelled(root) + "</html>") == plain_extract(root)
+
+
+STORY = "Some words of a story that goes on, and on. " * 7
+LONG = f"<p>{STORY}</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><nav><a href=x>Home</a></nav><article><h1>My Title</h1><div>{LONG * 4}</div></article><footer>foot</footer></body>", "My Title|#|#|#|#"),
+    (f"<body><nav><a href=x>Home</a></nav><div id=main><p>Short lead.</p><div>{LONG * 4}</div><p>Short end.</p></div></body>", "Short lead.|#|#|#|#|Short end."),
+    (f"<article><section><h2>A</h2>{LONG * 3}</section><section><h2>B</h2><p>Tiny.</p></section><section><h2>C</h2>{LONG}</section></article>", "A|#|#|#|B|Tiny.|C|#"),
+    (f"<main><p>Intro.</p><div>{LONG * 3}</div><div>The end.</div></main>", "Intro.|#|#|#|The end."),
+    (f'<article><h1>T</h1>{LONG}<div class="share-price">The share price rose.</div><p class="social">Social thing.</p><p class="legal">Legal thing.</p>{LONG}</article>', "T|#|The share price rose.|Social thing.|Legal thing.|#"),
+    (f'<body><div class="cookie-banner">We use cookies</div><div class="post"><h1>T</h1><div class="entry">{LONG * 2}</div><div class="social-share">Share me</div><p>Last.</p></div><div class="sidebar"><p>Side text.</p></div></body>', "T|#|#|Last."),
+    (f'<body><article><h1>T</h1><div>{LONG * 2}</div><ul><li><a href=a>One other page</a></li><li><a href=b>Two other pages</a></li></ul><p class="ad">Buy now.</p></article></body>', "T|#|#"),
+])
+def test_articles_stay_whole(page, text):
+    from postura.llm import webtext
+
+    assert webtext.extract(page).replace(STORY.strip(), "#").replace("\n", "|") == text
