@@ -97,3 +97,8 @@ def plan(roadmap: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         F.coalesce((F.col("due_year") < year) & (F.col("cumulative") > 0), F.lit(False)).alias("overdue"),
     )
 
+
+
+def engineers(plan: DataFrame) -> DataFrame:
+    """(engineers_needed, overdue, person_weeks): the most that any wave needs, whether one is overdue, and the weeks of all."""
+    return plan.agg(F.max("engineers_needed").alias("engineers_needed"), F.max("overdue").alias("overdue"), F.max("cumulative").alias("person_weeks"))

@@ -57,6 +57,30 @@ def best(scores: DataFrame) -> DataFrame:
     return top.select("asset_id", "t.data_class", F.col("t.lifetime"), "t.criticality", "t.score", confidence.alias("confidence"))
 
 
+#: Matches that an explanation names, and characters of a name in it.
+NAMED_MATCHES, NAME_LENGTH = 3, 64
+
+
+def explained(assets: DataFrame, evidence: DataFrame, best: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """(asset_id, explanation) of every asset: its class, how long it stays secret, and the first matches of its terms.
+
+    A term counts where its weight is highest, of several names there by the least one. Matches
+    come by place (argument, function, parameter, path), then by name and term.
+    """
+    order = ["argument", "function", "parameter", "path"]
+    weight, place = (F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (WEIGHTS, {s: i for i, s in enumerate(order)}))
+    found = evidence.select("asset_id", "source", F.left("name", F.lit(NAME_LENGTH)).alias("name"), F.explode(candidates(F.col("name"))).alias("token"))
+    hits = found.join(F.broadcast(dictionary(evidence.sparkSession).select("token", "data_class")), "token").join(best.select("asset_id", "data_class"), ["asset_id", "data_class"])
+    first = hits.groupBy("asset_id", "token").agg(F.min(F.struct((-weight[F.col("source")]).alias("w"), place[F.col("source")].alias("place"), "name", "source")).alias("m"))
+    said = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("m.place", "m.name", "token", "m.source"))), 1, NAMED_MATCHES), lambda m: F.concat(m["source"], F.lit(" `"), m["name"], F.lit("` matches term `"), m["token"], F.lit("`")))  # as many as a class has terms
+    matches = first.groupBy("asset_id").agg(F.array_join(said, "; ").alias("matches"))
+    years = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    rows = assets.select("asset_id").join(best.select("asset_id", "data_class", "lifetime"), "asset_id", "left").join(matches, "asset_id", "left")
+    known = F.concat("data_class", F.lit(" data (secrecy "), years(F.col("lifetime")), F.lit(" years): "), "matches")
+    default = F.concat(F.lit("no name around this asset identifies its data; the policy default of "), years(F.lit(policy.default_lifetime)), F.lit(" years applies"))
+    return rows.select("asset_id", F.coalesce(known, default).alias("explanation"))
+
+
 def classified(assets: DataFrame, best: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Assets with their data class; those without a use inherit their component's most sensitive one."""
     order = F.when(F.col("criticality") == "critical", 3).when(F.col("criticality") == "high", 2).when(F.col("criticality") == "medium", 1).otherwise(0)

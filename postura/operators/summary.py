@@ -53,16 +53,47 @@ def mosca_timeline(assets: DataFrame, n: int = 16) -> DataFrame:
     return assets.where("qb >= 0.5").select("asset_id", "lifetime", "y_years", total.alias("total")).orderBy(F.desc("total"), "asset_id").limit(n)
 
 
-def inventory(assets: DataFrame, tier: str | None = None, threat: str | None = None, component: str | None = None, text: str | None = None) -> DataFrame:
-    """Assets that pass every given filter; text is looked for in id, component and class whatever the case."""
+def inventory(
+    assets: DataFrame, tier: str | None = None, threat: str | None = None, component: str | None = None, text: str | None = None, primitive: str | None = None, reachable: bool = False,
+) -> DataFrame:
+    """Assets that pass every given filter; text is looked for in id, component and class, and in location and target if they are there, whatever the case."""
     for name, value in (("tier", tier), ("threat", threat), ("component", component)):
         if value is not None:
             assets = assets.where(F.col(name) == value)
+    if primitive is not None:
+        assets = assets.where(F.coalesce("primitive", "alg_primitive") == primitive)
+    if reachable:
+        assets = assets.where("reachable")
     if text is not None:
-        assets = assets.where(F.contains(F.lower(F.concat_ws(" ", "asset_id", "component", "data_class")), F.lit(text.lower())))
+        places = [c for c in ("asset_id", "component", "data_class", "location", "target") if c in assets.columns]
+        assets = assets.where(F.contains(F.lower(F.concat_ws(" ", *places)), F.lit(text.strip().lower())))
     return assets
 
 
+#: What an inventory can be sorted by; assets without a deadline of their own come last.
+SORT_KEYS = {
+    "priority": F.col, "component": F.col, "agility": F.col, "name": lambda _: F.lower("alg_name"), "index": lambda _: F.col("exposure_index"),
+    "mosca": lambda _: F.when(F.col("qb") >= 0.5, F.col("urgency_years")).otherwise(-99.0),
+}
+
+
+def ordered(assets: DataFrame, key: str = "priority", descending: bool = True) -> DataFrame:
+    """The assets by one of SORT_KEYS, equal ones by id."""
+    by = SORT_KEYS[key](key)
+    return assets.orderBy(by.desc() if descending else by.asc(), "asset_id")
+
+
+def top_risks(assets: DataFrame, n: int = 6) -> DataFrame:
+    """The assets of the highest priority."""
+    return ordered(assets).limit(n).select("asset_id", "component", "priority", "tier", "threat")
+
+
+def domains(assets: DataFrame) -> DataFrame:
+    """(field, value): the components and primitives that there are, to choose from."""
+    each = lambda field, c: assets.select(F.lit(field).alias("field"), c.alias("value")).distinct()
+    return each("component", F.col("component")).unionByName(each("type", F.coalesce("primitive", "alg_primitive"))).orderBy("field", "value")
+
+
 def component_sensitivity(classified: DataFrame) -> DataFrame:
     """The most sensitive class of each component's assets."""
     order = F.when(F.col("criticality") == "critical", 3).when(F.col("criticality") == "high", 2).when(F.col("criticality") == "medium", 1).otherwise(0)

@@ -153,6 +153,24 @@ def component_sensitivity(spark, d):
     return summary.component_sensitivity(classified(spark, d))
 
 
+EXPLAINED = f"""
+, n2 AS (SELECT asset_id, w, left(name, 64) AS name, list_filter({sql.SPLIT}, lambda x: x <> '') AS t FROM evidence),
+t2 AS (SELECT asset_id, w, name, unnest(t) AS token FROM n2 UNION ALL SELECT asset_id, w, name, t[i] || t[i + 1] FROM (SELECT *, unnest(generate_series(1, len(t) - 1)) AS i FROM n2 WHERE len(t) > 1)),
+m AS (SELECT t2.asset_id, token, w, name FROM t2 JOIN terms USING (token) JOIN best ON best.asset_id = t2.asset_id AND best.data_class = terms.data_class QUALIFY row_number() OVER (PARTITION BY t2.asset_id, token ORDER BY w DESC, name) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY CASE w WHEN 10 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 3 END, name, token) AS k FROM m),
+x AS (SELECT asset_id, string_agg(CASE w WHEN 10 THEN 'argument' WHEN 6 THEN 'function' WHEN 7 THEN 'parameter' ELSE 'path' END || ' `' || name || '` matches term `' || token || '`', '; ' ORDER BY k) AS said FROM r WHERE k <= 3 GROUP BY 1)
+SELECT a.asset_id, coalesce(data_class || ' data (secrecy ' || regexp_replace(CAST(lifetime AS VARCHAR), '\\.0$', '') || ' years): ' || said, 'no name around this asset identifies its data; the policy default of 5 years applies') AS explanation
+FROM assets a LEFT JOIN best USING (asset_id) LEFT JOIN x ON a.asset_id = x.asset_id"""
+
+
+@query(sql.query(EXPLAINED, sql.BEST).replace("\n\n,", ","))
+def classify_explain(spark, d):
+    """Why each asset has its class: the first three matches."""
+    found = written(occurrences(spark, d), "occurrences")
+    evidence = classify.evidence(found)
+    return classify.explained(normalize.assets(found), evidence, classify.best(classify.scores(evidence)))
+
+
 NAME_TOKENS = "SELECT DISTINCT name, array_to_string(list_filter(" + sql.SPLIT + ", lambda x: x <> ''), ' ') AS tokens FROM evidence"
 
 
@@ -220,6 +238,26 @@ def mosca_timeline(spark, d):
     return summary.mosca_timeline(inventory(spark, d))
 
 
+@query(sql.query("SELECT asset_id, component, priority, tier, threat FROM scored ORDER BY priority DESC, asset_id LIMIT 6"))
+def top_risks(spark, d):
+    return summary.top_risks(inventory(spark, d))
+
+
+@query(sql.query(f"SELECT asset_id, row_number() OVER (ORDER BY CASE WHEN qb >= 0.5 THEN urgency_years ELSE -99 END DESC, asset_id) AS place FROM scored QUALIFY place <= 100"))
+def mosca_order(spark, d):
+    """The hundred assets with the least time left."""
+    from pyspark.sql import Window as W
+
+    first = summary.ordered(inventory(spark, d), "mosca").limit(100)
+    by = summary.SORT_KEYS["mosca"]("mosca")
+    return first.select("asset_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(by.desc(), "asset_id")).cast("long").alias("place"))  # a hundred rows
+
+
+@query(sql.query(f"SELECT DISTINCT 'component' AS field, component AS value FROM scored UNION SELECT DISTINCT 'type', {sql.PR} FROM scored"))
+def domain_lists(spark, d):
+    return summary.domains(inventory(spark, d))
+
+
 ROADMAP = "SELECT wave, asset_id, component, tier, priority, agility, y_years AS migration_years, action, target, effort, CASE wave WHEN 1 THEN 2027 WHEN 2 THEN 2028 WHEN 3 THEN 2029 END AS due_year FROM advised WHERE action <> 'retain'"
 
 
@@ -237,6 +275,15 @@ def wave_plan(spark, d):
     return advise.plan(advise.roadmap(inventory(spark, d)))
 
 
+@query(sql.query("""
+, sums AS (SELECT wave, sum(CAST(round(effort * 10) AS BIGINT)) AS tenths FROM advised WHERE action <> 'retain' GROUP BY 1),
+c AS (SELECT v.due_year, sum(coalesce(tenths, 0)) OVER (ORDER BY v.wave) / 10.0::DOUBLE AS cumulative FROM (VALUES (1, 2027), (2, 2028), (3, 2029), (4, NULL)) v(wave, due_year) LEFT JOIN sums USING (wave))
+SELECT max(round(cumulative / ((due_year - 2026 + 1) * 46.0::DOUBLE) * 10) / 10) AS engineers_needed, false AS overdue, max(cumulative) AS person_weeks FROM c""").replace("\n\n,", ","))
+def engineers_needed(spark, d):
+    """The most engineers that any wave of the plan needs."""
+    return advise.engineers(advise.plan(advise.roadmap(inventory(spark, d))))
+
+
 @query(sql.query("SELECT wave, count(*) AS items, sum(CAST(round(effort * 10) AS BIGINT)) / 10.0::DOUBLE AS effort, max(y_years) AS max_years FROM advised WHERE action <> 'retain' GROUP BY 1"))
 def wave_extents(spark, d):
     return summary.waves(advise.roadmap(inventory(spark, d)))
