@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,27 +95,37 @@ def key_values(files: DataFrame) -> DataFrame:
     return rows.where(~F.rlike("key", F.lit(r"(?i)(^|\.)disabled")))
 
 
-def json_values(files: DataFrame, most_levels: int = 32) -> DataFrame:
-    """(path, key, value): the leaves of JSON texts, with the path of names and places from 0 that leads to them.
+def json_leaves(text: str | None) -> list[dict] | None:
+    """key and value of a JSON text's leaves that are not null; None if it is no object or list."""
+    try:
+        top = json.loads(text or "", parse_float=str, parse_int=str, parse_constant=str)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(top, dict | list):
+        return None
+    out, todo = [], [("", top)]
+    while todo:
+        at, value = todo.pop()
+        if isinstance(value, dict | list):
+            inside = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += [(f"{at}.{k}" if at else str(k), v) for k, v in inside][::-1]
+        elif value is not None:
+            out.append({"key": at, "value": str(value).lower() if isinstance(value, bool) else value})
+    return out
 
-    Objects and arrays are opened level by level; a text nested deeper is an error, not cut.
+
+def json_values(files: DataFrame) -> DataFrame:
+    """(path, key, value): the leaves of JSON texts, with the path of names and places from 0 that leads to them, in one pass over each text.
+
+    A text that is no JSON, or nested deeper than the reader can go (some thousand levels), has
+    no leaves; the others keep theirs.
     """
-    is_object, is_list = F.startswith("value", F.lit("{")), F.startswith("value", F.lit("["))
-    level = files.select("path", F.lit("").alias("key"), F.trim(F.col("text")).alias("value")).where(is_object | is_list)
-    found = []
-    for _ in range(most_levels):
-        named = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-        placed = F.transform(F.from_json("value", "array<string>"), lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v")))
-        opened = level.select("path", "key", F.explode(F.when(is_object, named).otherwise(placed)).alias("e"))
-        level = opened.select("path", F.concat_ws(".", F.nullif("key", F.lit("")), "e.k").alias("key"), F.col("e.v").alias("value"))
-        nested = F.coalesce(is_object | is_list, F.lit(False))
-        found.append(level.where(~nested & F.col("value").isNotNull()))
-        level = level.where(nested)
-        if not level.limit(1).count():
-            break
-    else:
-        raise ValueError(f"a text has more than {most_levels} levels")
-    return reduce(DataFrame.unionAll, found)
+
+    @F.pandas_udf("array<struct<key:string,value:string>>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return pd.Series([json_leaves(t) for t in texts], dtype=object)
+
+    return files.select("path", F.explode(leaves("text")).alias("e")).select("path", "e.*")
 
 
 def packages(files: DataFrame) -> DataFrame:
