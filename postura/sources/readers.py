@@ -14,13 +14,21 @@ DEPENDENCIES = ["node_modules", "vendor", "third_party", "site-packages", "bower
 LARGEST = 16 * 1024 * 1024
 
 
-def files(spark: SparkSession, root: str, dependencies: bool = False, largest: int = LARGEST) -> DataFrame:
-    """(path, size, content) below a folder; content is null for files over the limit, which are never cut."""
+def files(spark: SparkSession, root: str, dependencies: bool = False, largest: int = LARGEST, since: str | None = None) -> DataFrame:
+    """(path, size, content) below a folder; content is null for files over the limit, which are neither cut nor opened.
+
+    The limit on size, and since (files changed from then on), are filters that reach the source:
+    files that pass are read, of the others the listing alone, as no other column is asked for.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if since is not None:
+        rows = rows.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
     parts = F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/")
     skipped = SKIPPED + ([] if dependencies else DEPENDENCIES)
     rows = rows.where(~F.arrays_overlap(parts, F.array(*map(F.lit, skipped))))
-    return rows.select("path", F.col("length").alias("size"), F.when(F.col("length") <= largest, F.col("content")).alias("content"))
+    read = rows.where(F.col("length") <= largest).select("path", F.col("length").alias("size"), "content")
+    listed = rows.where(F.col("length") > largest).select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"))
+    return read.unionAll(listed)
 
 
 def text(content: Column) -> Column:
@@ -245,3 +253,16 @@ def inventories(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.from_json("text", INVENTORY).alias("d")).select("path", F.explode("d.components").alias("c"))
     value = lambda name: F.try_element_at(F.filter("c.properties", lambda p: p["name"] == name), F.lit(1))["value"]
     return rows.select("path", F.col("c.bom-ref").alias("asset_id"), F.col("c.name").alias("name"), value("component").alias("component"), value("tier").alias("tier"))
+
+
+def reports(files: DataFrame) -> DataFrame:
+    """(path, asset_id, component, tier, priority, ...) of report documents (path, text): a row of JSON a line, as sinks.documents.report writes them; other lines are left out."""
+    from postura.sinks.documents import PROPERTIES
+
+    schema = "asset_id string, " + ", ".join(f"{p} {REPORTED.get(p, 'string')}" for p in PROPERTIES)
+    rows = files.select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).select("path", F.from_json("line", schema).alias("r"))
+    return rows.where("r.asset_id is not null").select("path", "r.*")
+
+
+#: Columns of a report that are no texts.
+REPORTED = {"priority": "int", "confidence": "double", "qb": "double", "agility": "int", "exposure_index": "double", "effort": "double"}

@@ -110,3 +110,31 @@ def test_tables_left_behind_go(spark):
     assert kept.count() == 5 and os.path.isdir(path)
     release(spark)
     assert not LEFT and not os.path.exists(path)
+
+
+def test_files_over_the_limit_are_not_opened(spark, tmp_path):
+    for path, size in {"a/small.conf": 40, "a/b/exact.conf": 50, "a/large.bin": 51}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50")  # the source refuses to read a larger file
+    try:
+        got = {r.path.rsplit("/", 1)[1]: (r.size, r.content and len(r.content)) for r in readers.files(spark, str(tmp_path), largest=50).collect()}
+        assert got == {"small.conf": (40, 40), "exact.conf": (50, 50), "large.bin": (51, None)}
+        with pytest.raises(Exception, match="50"):
+            readers.files(spark, str(tmp_path), largest=60).collect()
+        assert readers.files(spark, str(tmp_path), largest=50, since="2099-01-01").count() == 0 and readers.files(spark, str(tmp_path), largest=50, since="1999-01-01").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_reports_are_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from postura.sinks import documents
+
+    values = {"component": "c", "tier": "high", "priority": 61, "liveness": "confirmed", "grade": "A", "data_class": "payment", "confidence": 0.55, "qb": 1.0, "threat": "harvest", "agility": 40, "exposure_index": 12.5, "action": "replace", "target": "ML-KEM", "effort": 2.5}
+    rows = spark.createDataFrame([("a",), ("b",)], "asset_id string").withColumns({k: F.lit(v) for k, v in values.items()}).withColumn("priority", F.when(F.col("asset_id") == "a", 61).otherwise(70))
+    text = "\n".join(r.json for r in documents.report(rows).collect()) + "\nnot json\n{}\n"
+    back = readers.reports(spark.createDataFrame([("r.json", text), ("e", None)], "path string, text string"))
+    assert [r.asset_id for r in back.orderBy(F.desc("priority")).collect()] == ["b", "a"]
+    assert {k: v for k, v in back.where("asset_id = 'a'").first().asDict().items() if k in values} == values
