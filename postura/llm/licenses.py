@@ -43,31 +43,28 @@ TEMPLATES = {
     "apache-2": [
         "(licensed|released|distributed|available) under [[the terms of]] the apache license version 2 [[0]]",
     ],
-    "bsd-2-clause": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-        " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-        " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
-        " in the documentation and or other materials provided with the distribution",
-    ],
     "bsd-3-clause": [
         "neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software"
         " without specific prior written permission",
     ],
+    "bsd-4-clause": ["all advertising materials mentioning features or use of this software must display the following acknowledgement"],
     "isc": [
         "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that"
         " the above copyright notice and this permission notice appear in all copies",
     ],
     "gpl-3": [
+        "gnu general public license version 3 29 june 2007",
         "licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 3",
         "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"
         " [[or at your option any later version]]",
     ],
     "gpl-2": [
+        "gnu general public license version 2 june 1991",
         "licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 2",
     ],
-    "lgpl-3": ["licensed under [[the terms of]] the gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"],
-    "agpl-3": ["licensed under [[the terms of]] the gnu affero general public license [[as published by the free software foundation]] [[either]] version 3"],
-    "mpl-2": ["subject to the terms of the mozilla public license v [[2]] 2 0", "licensed under the mozilla public license [[version]] 2 0"],
+    "lgpl-3": ["gnu lesser general public license version 3 29 june 2007", "licensed under [[the terms of]] the gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"],
+    "agpl-3": ["gnu affero general public license version 3 19 november 2007", "licensed under [[the terms of]] the gnu affero general public license [[as published by the free software foundation]] [[either]] version 3"],
+    "mpl-2": ["mozilla public license version 2 0 1 definitions", "subject to the terms of the mozilla public license v [[2]] 2 0", "licensed under the mozilla public license [[version]] 2 0"],
     "cc-by-nc": [
         "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[(1|2|3|4)]] [[(0|5)]]",
         "licensed under [[a]] [[the]] creative commons attribution (noncommercial|non) [[commercial]] [[(1|2|3|4)]] [[(0|5)]] [[international]] license",
@@ -115,10 +112,32 @@ TEXTS = {
         " [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"
         " [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
     ],
+    "bsd-4-clause": [
+        BSD_BEGINS + " [[(3|c)]] all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{20}}"
+        " [[(4|d)]] " + TEMPLATES["bsd-3-clause"][0].replace("nor the names of its contributors", "nor the names of [[its]] contributors") + BSD_ENDS
+    ],
     "boost-1": [
         "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute"
-        " and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+        " and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+        " the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part"
+        " and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and (noninfringement|non) [[infringement]]"
+        " in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
+        " for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"
+        " we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"
+        + MIT_ENDS.replace("{{12}}", "the authors"),
+    ],
+    "wtfpl": [
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"
+        " do what the fuck you want to public license terms and conditions for copying distribution and modification [[0]] you just do what the fuck you want to",
     ],
+}
+
+#: Label: longer notices, which stand for texts that are kept elsewhere.
+NOTICES = {
     "apache-2": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{12}}"
         " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
@@ -133,13 +152,11 @@ TEXTS = {
         for n in versions
     },
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
-    "unlicense": [
-        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
-        " for any purpose commercial or non commercial and by any means",
-    ],
-    "wtfpl": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
 }
 
+#: Whole texts that hold another licence's notice: that one counts only if its own text stands there as well.
+HOLDS = {"bsd-4-clause": "bsd-3-clause"}
+
 #: Which bytes of lower-cased UTF-8 are of words.
 IN_WORD = np.zeros(256, np.bool_)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
@@ -212,7 +229,7 @@ class Automaton:
 @lru_cache(maxsize=1)
 def automata() -> list[tuple[str, float, Automaton]]:
     """(label, score, automaton) of every template."""
-    return [(label, score, Automaton(t)) for table, score in ((TEXTS, 1.0), (TEMPLATES, 0.9)) for label, templates in table.items() for t in templates]
+    return [(label, score, Automaton(t)) for table, score in ((TEXTS, 1.0), (NOTICES, 0.9), (TEMPLATES, 0.9)) for label, templates in table.items() for t in templates]
 
 
 @lru_cache(maxsize=1)
@@ -232,6 +249,9 @@ def template_labels(low: bytes) -> dict[str, float]:
     for label, score, a in automata():
         if found.get(label, 0.0) < score and a.mandatory <= vocabulary and a.accepts(words):
             found[label] = score
+    for whole, inner in HOLDS.items():
+        if found.get(whole) == 1.0 and found.get(inner, 1.0) < 1.0:
+            del found[inner]
     return found
 
 

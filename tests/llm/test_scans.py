@@ -59,7 +59,7 @@ def test_whole_texts_and_what_breaks_them():
                 words = ["Copyright", "2020", *filled(t, r).split(), "end"]
                 text = " ".join(w + r.choice(("", ",", ".", "\n", ";  ")) for w in words)
                 assert licenses.template_labels(text.encode().lower()).get(label) == 1.0, (label, text)
-                words[len(words) // 2] = "changed"
+                words[len(words) // 2] = "oddly"
                 assert licenses.template_labels(" ".join(words).encode().lower()).get(label) != 1.0 or "Someone" in filled(t, r)
 
 
@@ -426,3 +426,35 @@ def test_articles_stay_whole(page, text):
     from postura.llm import webtext
 
     assert webtext.extract(page).replace(STORY.strip(), "#").replace("\n", "|") == text
+
+
+def plain(template: str) -> str:
+    """A template's text without markup that may be left out, but with 'its'."""
+    import re
+
+    out = template.replace("[[its]]", "its")
+    while "[[" in out:
+        out = re.sub(r"\[\[[^\[\]]*\]\]", "", out)
+    return re.sub(r"\(([^|)]*)\|[^)]*\)", r"\1", re.sub(r"\{\{\d+\}\}", "Someone", out))
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEXTS))
+def test_only_whole_texts_have_the_full_score(label):
+    text = plain(licenses.TEXTS[label][0]).encode().lower()
+    words = text.split()
+    assert licenses.template_labels(text) == {label: 1.0}  # and no relative's label
+    for cut in (words[:-1], words[:-12], words[: len(words) // 2], words[1:], words[: len(words) // 2] + [b"oddly"] + words[len(words) // 2 :]):
+        assert licenses.template_labels(b" ".join(cut)).get(label, 0.0) < 1.0
+
+
+def test_a_notice_inside_another_text_counts_only_beside_its_own():
+    three, four = (plain(licenses.TEXTS[x][0]) for x in ("bsd-3-clause", "bsd-4-clause"))
+    assert licenses.template_labels(f"{four} {three}".encode().lower()) == {"bsd-3-clause": 1.0, "bsd-4-clause": 1.0}
+
+
+@pytest.mark.parametrize("text, label", [
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright", "gpl-3"), ("GNU General Public License, Version 2, June 1991", "gpl-2"), ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "agpl-3"),
+    ("Mozilla Public License Version 2.0\n====\n1. Definitions", "mpl-2"),
+])
+def test_titles_of_texts_kept_elsewhere(text, label):
+    assert licenses.template_labels(text.encode().lower()) == {label: 0.9}
