@@ -118,7 +118,17 @@ def refine(spark, d):
     return normalize.refinements(normalize.assets(occurrences(spark, d)))
 
 
-@query()
+FOLDED = sql.query(f"""
+, pairs AS (SELECT a.asset_id, b.asset_id AS target FROM assets a JOIN assets b ON a.component = b.component AND a.alg_id = b.alg_id
+  WHERE (a.primitive IS NULL OR a.primitive = b.primitive) AND {REFINES} AND ({DIFFERS})),
+refined AS (SELECT asset_id, min(target) AS refined_to FROM pairs WHERE target NOT IN (SELECT asset_id FROM pairs) GROUP BY 1 HAVING count(*) = 1),
+folded AS (SELECT DISTINCT coalesce(r.refined_to, o.asset_id) AS asset_id, {', '.join(f'CASE WHEN r.refined_to IS NULL THEN o.{c} ELSE t.{c} END AS {c}' for c in sql.IDENTITY)}, {sql.OCCURRENCE}
+  FROM occ o LEFT JOIN refined r ON o.asset_id = r.asset_id LEFT JOIN assets t ON r.refined_to = t.asset_id),
+{sql.ASSETS.replace('assets AS', 'again AS', 1).replace('FROM occ GROUP', 'FROM folded GROUP')}
+SELECT {cols(*ASSET_COLS)} FROM again""", sql.ASSETS).replace("\n\n,", ",")
+
+
+@query(FOLDED)
 def refined_inventory(spark, d):
     found = written(occurrences(spark, d), "occurrences")
     return normalize.assets(normalize.folded(found, normalize.assets(found))).select(*ASSET_COLS)
