@@ -10,29 +10,30 @@ forms that the fixed patterns don't know (ALTERED: without the plus, with a spel
 sign, as a bare number after a telling word), so that the learner can't rely on what the
 patterns ask for. Their negatives are clearly not personal: dates, versions, prices,
 amounts, parts of longer words, failed check sums (refused()), and the examples of
-REFUSED. Candidates that are neither are not learned from. On held-out documents the least
-threshold is chosen at which PRECISION of the scored candidates are positives. Candidates
-over it that touch no fixed span are added as kind "other".
+REFUSED. Candidates that are neither are not learned from. The least threshold is chosen at
+which PRECISION of the candidates, each scored by trees that its document had no part in,
+are positives. Candidates over it that touch no fixed span are added as kind "other".
 
-The trees are fitted to the counts of distinct descriptions in a sample of documents, about
-SAMPLE of them, dealt by a hash of the text. The scan is one pass over whole texts without
-a shuffle.
+The trees are fitted to the counts of distinct descriptions in all documents, dealt into
+FOLDS by a hash of the text. Fitting is one pass over whole texts that shuffles these
+counts, the scan another one without a shuffle.
 
 Defined results for odd input: null is scanned as an empty text and gives zero counts, the
 digest of an empty string and no spans; repeated rows each give their row; without any
-confirmed candidate in the sample nothing is added; further columns are ignored.
+confirmed candidate nothing is added; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose candidates the trees are fitted to, about.
-SAMPLE = 4000
+#: Parts of the documents, each scored by trees of the others for the threshold.
+FOLDS = 3
 #: Share of positives among the labelled candidates over the threshold, on held-out documents.
 PRECISION = 0.95
 TREES, SHRINK = 20, 0.4
@@ -216,19 +217,22 @@ def examples(rows: DataFrame) -> Column:
     return F.concat(confirmed, denied, *(F.filter(a, proposed) for a in altered), F.when(personal, F.array(*fixed)).otherwise(none_shown))
 
 
-def split_gain(rows: list, grads: list[float], hess: list[float], at: list[int]) -> tuple | None:
-    """The best (gain, feature, cut, left, right) of the rows at."""
+def split_gain(x: np.ndarray, grads: np.ndarray, hess: np.ndarray, at: np.ndarray) -> tuple | None:
+    """The best (gain, feature, cut, left, right) of the rows at, from histograms of the features."""
     best = None
-    g_all, h_all = sum(grads[i] for i in at), sum(hess[i] for i in at)
-    for f in range(len(rows[0][0]) if rows else 0):
-        for cut in sorted({rows[i][0][f] for i in at})[1:]:
-            left = [i for i in at if rows[i][0][f] < cut]
-            g, h = sum(grads[i] for i in left), sum(hess[i] for i in left)
-            gain = g * g / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all * g_all / (h_all + 1)
-            if best is None or gain > best[0] + 1e-9:
-                taken = set(left)
-                best = (gain, f, cut, left, [i for i in at if i not in taken])
-    return best if best and best[0] > 1e-6 else None
+    g_all, h_all = grads[at].sum(), hess[at].sum()
+    for f in range(x.shape[1] if len(at) else 0):
+        value = x[at, f]
+        cuts = np.flatnonzero(np.bincount(value))[1:]
+        g, h = (np.cumsum(np.bincount(value, w[at]))[cuts - 1] for w in (grads, hess))  # of the rows below each cut
+        gain = g * g / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all * g_all / (h_all + 1)
+        for cut, one in zip(cuts.tolist(), gain.tolist()):
+            if best is None or one > best[0] + 1e-9:
+                best = (one, f, cut)
+    if not best or best[0] <= 1e-6:
+        return None
+    below = x[at, best[1]] < best[2]
+    return (*best, at[below], at[~below])
 
 
 def boosted(rows: list[tuple[tuple[int, ...], int, int]]) -> list:
@@ -236,22 +240,23 @@ def boosted(rows: list[tuple[tuple[int, ...], int, int]]) -> list:
 
     A tree is a leaf's value or (feature, cut, tree below the cut, tree from it on).
     """
-    trees, score = [], [0.0] * len(rows)
+    x = np.array([r[0] for r in rows], np.int64)
+    good, all_ = np.array([r[1] for r in rows], float), np.array([r[1] + r[2] for r in rows], float)
+    trees, score = [], np.zeros(len(rows))
 
-    def grow(at: list[int], depth: int, grads: list[float], hess: list[float]):
-        found = split_gain(rows, grads, hess, at) if depth else None
+    def grow(at: np.ndarray, depth: int, grads: np.ndarray, hess: np.ndarray):
+        found = split_gain(x, grads, hess, at) if depth else None
         if found:
             _, f, cut, left, right = found
-            return (f, cut, grow(left, depth - 1, grads, hess), grow(right, depth - 1, grads, hess))
-        return SHRINK * sum(grads[i] for i in at) / (sum(hess[i] for i in at) + 1)
+            low, high = grow(left, depth - 1, grads, hess), grow(right, depth - 1, grads, hess)
+            return (f, cut, low, high)
+        leaf = SHRINK * float(grads[at].sum() / (hess[at].sum() + 1))
+        score[at] += leaf
+        return leaf
 
     for _ in range(TREES):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        grads = [a - (a + b) * q for (_, a, b), q in zip(rows, p)]
-        hess = [(a + b) * q * (1 - q) for (_, a, b), q in zip(rows, p)]
-        tree = grow(list(range(len(rows))), 2, grads, hess)
-        trees.append(tree)
-        score = [s + applied(tree, x) for s, (x, _, _) in zip(score, rows)]
+        p = 1 / (1 + np.exp(-score))
+        trees.append(grow(np.arange(len(rows)), 2, good - all_ * p, all_ * p * (1 - p)))
     return trees
 
 
@@ -261,9 +266,9 @@ def applied(tree, x: tuple[int, ...]) -> float:
     return tree
 
 
-def threshold(trees: list, held_out: list[tuple[tuple[int, ...], int, int]]) -> float:
-    """The least score from which on PRECISION of the held-out candidates are confirmed; infinity if there is none."""
-    scored = sorted(((sum(applied(t, x) for t in trees), a, b) for x, a, b in held_out), reverse=True)
+def threshold(scored: list[tuple[float, int, int]]) -> float:
+    """The least score from which on PRECISION of the (score, confirmed, refused) candidates are confirmed; infinity if there is none."""
+    scored = sorted(scored, reverse=True)
     least, good, bad = math.inf, 0, 0
     for k, (s, a, b) in enumerate(scored):
         good, bad = good + a, bad + b
@@ -272,23 +277,38 @@ def threshold(trees: list, held_out: list[tuple[tuple[int, ...], int, int]]) ->
     return least
 
 
-def fitted(docs: DataFrame) -> tuple[list, float]:
-    """The trees and the threshold, from the candidates of a sample of about SAMPLE documents."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(share)) == 0)
-    fold = (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(3)) == 0).cast("int")
-    spans = with_spans(some)
+def counted(docs: DataFrame) -> DataFrame:
+    """fold, x, a, b: confirmed and refused examples of all documents by fold of their text and description."""
+    fold = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int")
+    spans = with_spans(docs)
     each = spans.select(fold.alias("fold"), F.explode(examples(spans)).alias("c"))
-    counts = (
+    return (
         each.select("fold", F.array(*described(F.col("c.text"), F.col("c"))).alias("x"), F.col("c.y").alias("y"))
         .groupBy("fold", "x").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .collect()
     )
-    rows = [sorted((tuple(r.x), int(r.a), int(r.b)) for r in counts if r.fold == k) for k in (0, 1)]
-    if not rows[0] or not any(a for _, a, _ in rows[0]):
+
+
+def fitted(docs: DataFrame) -> tuple[list, float]:
+    """The trees and the threshold, from the candidates of all documents: only counts of distinct descriptions come to the driver.
+
+    A fold's candidates are scored by trees of the other folds; these scores set the threshold. The trees that stay are of all folds.
+    """
+    found = counted(docs).collect()
+
+    def of(some) -> list[tuple[tuple[int, ...], int, int]]:
+        sums: dict = {}
+        for r in some:
+            a, b = sums.get(tuple(r.x), (0, 0))
+            sums[tuple(r.x)] = (a + int(r.a), b + int(r.b))
+        return sorted((x, a, b) for x, (a, b) in sums.items())
+
+    if not any(r.a for r in found):
         return [], math.inf
-    trees = boosted(rows[0])
-    return trees, threshold(trees, rows[1])
+    scored = []
+    for k in range(FOLDS):
+        others = boosted(rest) if (rest := of(r for r in found if r.fold != k)) else []
+        scored += [(sum(applied(t, x) for t in others), a, b) for x, a, b in of(r for r in found if r.fold == k)]
+    return boosted(of(found)), threshold(scored)
 
 
 def as_column(tree, x: Column) -> Column:

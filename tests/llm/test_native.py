@@ -153,6 +153,18 @@ def test_uncovered_formats_are_added_and_numbers_are_not(spark):
     assert all(got[i][0] == 0 for i in range(200))
 
 
+def test_trees_learn_from_every_document(spark):
+    plain = spark.range(8200).select("id", F.concat(F.lit("nothing to see in room "), "id").alias("text"))
+    made = spark.range(10_000, 10_200).select("id", F.concat(F.lit("write to user"), "id", F.lit("@mail.example.com or call +1 (918) 555-"), F.col("id") % 9000 + 1000).alias("text"))
+    # an eighth of the personal ones, all of which a sample by the parity of this hash would leave out
+    docs = plain.union(made.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1).where("id % 4 = 0")).withColumnRenamed("id", "doc_id")
+    trees, least = privacy.fitted(docs)
+    assert trees and least < float("inf")
+    one = lambda d: {tuple(r.x): (r.a, r.b) for r in privacy.counted(d).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    once, twice = one(docs), one(docs.union(docs))
+    assert once and twice == {x: (2 * a, 2 * b) for x, (a, b) in once.items()}
+
+
 def test_no_personal_data_in_nothing(spark):
     assert privacy.report(cases.documents(spark).limit(0)).count() == 0
 
