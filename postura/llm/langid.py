@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import bounded_batches, words
 
 UNDETERMINED = "und"
 #: Labelled texts that the weights are fitted to, at most; runs of words taken of each, and their length; runs made of them.
 SAMPLE, SLICES, RUN, RUNS = 1500, 8, 30, 4000
 STEPS, RATE, DECAY = 40, 0.5, 1e-6
-#: Words a task labels together.
-TOGETHER = 200_000
+#: Words a task labels together, and different words whose features it has in memory.
+TOGETHER, WORDS = 200_000, 8192
 U = np.uint64
 
 
@@ -94,10 +94,13 @@ class Model:
             self.probes += 1
 
     def emissions(self, vocabulary: pa.Array) -> np.ndarray:
-        """A row of label weights for each word."""
+        """A row of label weights for each word; features of WORDS words at a time are in memory."""
         out = np.zeros((len(vocabulary), len(self.labels)), np.float32)
-        if not len(self.keys):
-            return out
+        for at in range(0, len(vocabulary) if len(self.keys) else 0, WORDS):
+            self.add_weights(vocabulary.slice(at, WORDS), out[at : at + WORDS])
+        return out
+
+    def add_weights(self, vocabulary: pa.Array, out: np.ndarray) -> None:
         keys, owners = features(vocabulary)
         at = keys & self.mask
         for _ in range(self.probes):
@@ -111,7 +114,6 @@ class Model:
             keys, owners, at = keys[~same], owners[~same], (at[~same] + U(1)) & self.mask
             if not len(keys):
                 break
-        return out
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Label probabilities of each word by forward-backward; first: the words that begin a sequence."""
@@ -246,41 +248,39 @@ def fitted(docs: DataFrame) -> Model:
 
 
 def label_lists(lists: pa.ListArray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(label, share of the expected words) of each list of words; label -1 without words."""
+    """(label, share of the expected words) of each list of words; label -1 without words. Different words are looked up once."""
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    emission = model.emissions(coded.dictionary)
-    scores = emission[coded.indices.to_numpy()]
-    sizes = np.diff(offsets)
-    first = np.zeros(len(scores), bool)
-    first[offsets[:-1][sizes > 0]] = True
-    p = model.marginals(scores, first)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    sums = np.stack([np.bincount(doc, p[:, c], len(sizes)) for c in range(p.shape[1])], axis=1)
-    best = sums.argmax(axis=1)
-    share = np.clip(sums[np.arange(len(sizes)), best] / np.maximum(sizes, 1), 0.0, 1.0)
-    return np.where(sizes > 0, best, -1), np.where(sizes > 0, share, 0.0)
+    emission, words = model.emissions(coded.dictionary), coded.indices.to_numpy()
+    best, shares, at = np.full(len(lists), -1), np.zeros(len(lists)), 0
+    while at < len(lists):  # some TOGETHER words at a time
+        k = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, side="right")) - 1)
+        sizes = np.diff(offsets[at : k + 1])
+        first = np.zeros(offsets[k] - offsets[at], bool)
+        first[offsets[at:k][sizes > 0] - offsets[at]] = True
+        p = model.marginals(emission[words[offsets[at] : offsets[k]]], first)
+        doc = np.repeat(np.arange(k - at), sizes)
+        sums = np.stack([np.bincount(doc, p[:, c], k - at) for c in range(p.shape[1])], axis=1)
+        most = sums.argmax(axis=1)
+        share = np.clip(sums[np.arange(k - at), most] / np.maximum(sizes, 1), 0.0, 1.0)
+        best[at:k], shares[at:k] = np.where(sizes > 0, most, -1), np.where(sizes > 0, share, 0.0)
+        at = k
+    return best, shares
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of docs, and the language and its score under the given names. Only the words go to Python."""
+    """All columns of docs, and the language and its score under the given names. Only the words go to Python, some BATCH_BYTES at a time."""
+    bounded_batches(docs.sparkSession)
     if not model.labels:
         return docs.withColumns({names[0]: F.lit(UNDETERMINED), names[1]: F.lit(0.0)})
     spread = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: a bounded sample's features
 
     @F.arrow_udf("struct<label:string,share:double>")
     def labelled(lists: pa.Array) -> pa.Array:
-        model, at = spread.value, 0
+        model = spread.value
         known = [*model.labels, UNDETERMINED]
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        labels, shares = [], []
-        while at < len(lists):  # some TOGETHER words at a time
-            k = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
-            label, share = label_lists(lists.slice(at, k - at), model)
-            labels += [known[i] for i in label]
-            shares.append(share)
-            at = k
-        return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(shares) if shares else [], pa.float64())], names=["label", "share"])
+        label, share = label_lists(lists, model)
+        return pa.StructArray.from_arrays([pa.array([known[i] for i in label], pa.string()), pa.array(share, pa.float64())], names=["label", "share"])
 
     text = F.coalesce("text", F.lit(""))
     found = F.when(F.rlike(text, F.lit(r"\p{L}")), words(F.col("text"))).otherwise(F.array().cast("array<string>"))

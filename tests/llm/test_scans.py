@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from postura.llm import langid, licenses, secrets, transducer, webtext
 
@@ -280,6 +281,34 @@ def test_features_are_those_of_the_words():
     assert len({*keys.tolist()}) == len({f for w in vocabulary for f in plain_features(w)})
 
 
+def test_labelling_takes_bounded_batches(spark):
+    """In one partition, 9000 texts of 300 words: some 24 MB of words, which went to Python at once."""
+    model = langid.fit([([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]])
+    docs = spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the thing und das wort "), 60).alias("text"))
+
+    @F.arrow_udf("long")
+    def together(lists: pa.Array) -> pa.Array:
+        return pa.array([lists.nbytes] * len(lists), pa.int64())
+
+    found = langid.predict(docs, model)
+    assert found.select("lang_pred").distinct().count() == 1
+    assert found.select(together(F.split("text", " ")).alias("n")).agg(F.max("n")).first()[0] < 12 << 20
+
+
+def test_labels_do_not_depend_on_what_is_looked_up_together(monkeypatch):
+    texts = [([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]]
+    model = langid.fit(texts)
+    lists = pa.array([*(w[0] for w, _ in texts), [], ["unheard-of"] * 50, []], pa.list_(pa.string()))
+    whole = langid.label_lists(lists, model)
+    monkeypatch.setattr(langid, "WORDS", 7)
+    monkeypatch.setattr(langid, "TOGETHER", 40)
+    parts = langid.label_lists(lists, model)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+    for i in range(len(lists)):
+        one = langid.label_lists(lists.slice(i, 1), model)
+        assert one[0][0] == whole[0][i] and np.isclose(one[1][0], whole[1][i])
+
+
 def test_predictions_equal_brute_force():
     """Weights looked up by feature, and forward-backward text by text."""
     texts = [([cases.words(t)], x) for _, t, x, *_ in labelled(60)[:60]]
