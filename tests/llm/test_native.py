@@ -203,6 +203,24 @@ def one_line(script: str, spaced: bool, n: int = 6000) -> str:
     return " ".join(letters[i : i + 6] for i in range(0, n, 6)) if spaced else letters
 
 
+def test_paragraphs_end_where_the_plain_rule_says(spark):
+    """The rule written out with ranges and in its plain order; no set of Latin letters has a range, and no text has its pattern compiled anew."""
+    ends, begins = fingerprints.striped(r"adhlptxADHLPTX0-2.!?)\xe0-\xe3\xe8-\xeb", 0), fingerprints.striped(r"bcfmsBCFMS3-5\xc0-\xcc\xe4-\xe7\xec-\xef", 2)
+    behind = f"(?:(?<={ends[0][1]})|(?<=[^\x00-\xff])(?:" + "|".join(f"(?<={cheap})(?<={one})" for cheap, one in ends[1:]) + "))"
+    ahead = f"(?:{begins[0][1]}|(?=[^\x00-\xff])(?:" + "|".join(f"(?={cheap}){one}" for cheap, one in begins[1:]) + "))"
+    plain = rf"[\t-\r\x20]*\n[\t-\r\x20]*|(?=[\t-\r\x20]){behind}[\t-\r\x20]+(?={ahead})|{behind}(?={ahead}{{2}})(?<=[!-퟿]{{24}})"
+    r = random.Random(5)
+    some = [chr(x) for x in (*range(9, 14), *range(32, 256), *range(0x3B1, 0x3C9), *range(0x430, 0x450), *range(0x4E00, 0x4E80), 0xFFFE, 0xFFFF, 0x20000, 0x21000, 0x21400)]
+    texts = ["".join(r.choices(some, k=400)) for _ in range(60)] + ["".join(r.choices("adhbcf \n", k=400)) for _ in range(20)] + [fingerprints.CUT * 3, "\n\n", " \n a", ""]
+    texts += ["".join(r.choices(some[24 + 32 :], k=400)) for _ in range(40)] + [one_line(s, spaced, 600) for s in SCRIPTS for spaced in (True, False)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    pieces = F.array_except(F.transform(F.split("text", plain), lambda p: F.xxhash64(p)), F.array(F.xxhash64(F.lit(""))))
+    made = df.select("i", pieces.alias("a"), fingerprints.digests(F.col("text")).alias("b"))
+    assert made.where("a <> b").count() == 0 and made.agg(F.sum(F.size("a"))).first()[0] > 1000
+    assert not re.search(r".-.", fingerprints.ENDS[0][1] + fingerprints.BEGINS[0][1])
+    assert "regexp_replace" in str(fingerprints.digests(F.col("text")))
+
+
 def test_long_lines_of_every_script_keep_their_likeness(spark):
     cases_ = [(s, spaced) for s in SCRIPTS for spaced in (True, False) if (s, spaced) != ("rare", False)]
     rows = [(i, one_line(*c), None, None, None) for i, c in enumerate(cases_)]
