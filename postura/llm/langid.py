@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, words
+from .common import bounded_batches, give_back, make_room, words
 
 UNDETERMINED = "und"
 #: Labelled texts that the weights are fitted to, at most; runs of words taken of each, and their length; runs made of them.
@@ -279,7 +279,9 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def labelled(lists: pa.Array) -> pa.Array:
         model = spread.value
         known = [*model.labels, UNDETERMINED]
+        make_room()
         label, share = label_lists(lists, model)
+        give_back()
         return pa.StructArray.from_arrays([pa.array([known[i] for i in label], pa.string()), pa.array(share, pa.float64())], names=["label", "share"])
 
     text = F.coalesce("text", F.lit(""))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, marked, words
+from .common import durable, marked, tidy, words
 
 K, BANDS, SHINGLE, ALIKE = 80, 20, 5, 0.8
 #: Coordinates that have to agree before texts are compared.
@@ -206,7 +206,7 @@ def signed(docs: DataFrame) -> DataFrame:
     hashed = docs.select("doc_id", words(F.col("text")).alias("ws"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")).select(
         F.col("doc_id").cast("long"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hashes"), F.size("ws").cast("long").alias("n"), "t1", "t2"
     )
-    return hashed.mapInArrow(run, "doc_id long, t1 long, t2 long, s1 long, s2 long, signature binary, plain binary, bands array<long>")
+    return hashed.mapInArrow(tidy(run), "doc_id long, t1 long, t2 long, s1 long, s2 long, signature binary, plain binary, bands array<long>")
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = among(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def described(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     texts = among(docs, reps.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
     hashed = texts.select("rep", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).withColumn("words", F.size("hashes").cast("long"))
-    return hashed.mapInArrow(run, "rep long, shingles array<long>, weights array<long>")
+    return hashed.mapInArrow(tidy(run), "rep long, shingles array<long>, weights array<long>")
 
 
 def measured(sets: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     hub = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("hub"))
     many = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.join(sets, "rep").join(hub, "c").repartition(many).mapInArrow(run, schema)  # a hub's members go evenly to all tasks
+    return members.join(sets, "rep").join(hub, "c").repartition(many).mapInArrow(tidy(run), schema)  # a hub's members go evenly to all tasks
 
 
 #: Cells of v in the part of a hub that copies may lack.

@@ -17,12 +17,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, only_model
+
 KINDS = ("assign", "access", "hex", "random")
 #: Where the public vocabularies lie on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,7 +48,7 @@ JOINED = re.compile(r"(([A-Za-z]+[-_/]+)+[A-Za-z]*)\d{0,4}|([A-Za-z]+)\d{1,4}")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-@lru_cache(maxsize=2)
+@only_model
 def encoder(path: str):
     import tiktoken
 
@@ -139,7 +140,9 @@ def redact(docs: DataFrame, path: str = VOCABULARY, ratio: float = RATIO, mark:
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(clean, na_action="ignore")
+        found = texts.map(clean, na_action="ignore")
+        give_back()
+        return found
 
     return docs.withColumn("text", cleaned("text"))
 

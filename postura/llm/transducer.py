@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -34,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only_model, tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments remembered by a Python worker, and the longest of them in characters.
@@ -273,7 +274,7 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text else text
 
 
-@lru_cache(maxsize=2)
+@only_model
 def compiled(path: str) -> Transducer:
     return Transducer(path)
 
@@ -297,7 +298,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                     names=["doc_id", "ids", "n_tokens", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, model=True), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:

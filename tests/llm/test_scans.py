@@ -1,9 +1,11 @@
 """Operators 2, 3, 8, 9 and 10."""
 
+import gc
 import hashlib
 import random
 import re
 import string
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postura.llm import langid, licenses, secrets, transducer, webtext
+from postura.llm import common, langid, licenses, secrets, transducer, webtext
 
 from . import cases
 
@@ -487,3 +489,15 @@ def test_a_notice_inside_another_text_counts_only_beside_its_own():
 ])
 def test_titles_of_texts_kept_elsewhere(text, label):
     assert licenses.template_labels(text.encode().lower()) == {label: 0.9}
+
+
+def test_a_worker_keeps_the_model_of_its_stage_only():
+    """A Python worker goes from stage to stage; models of earlier ones would add up in it."""
+    first = weakref.ref(transducer.compiled(transducer.MODEL))
+    assert transducer.compiled(transducer.MODEL) is first()
+    second = weakref.ref(secrets.encoder(secrets.VOCABULARY))
+    gc.collect()
+    assert first() is None and secrets.encoder(secrets.VOCABULARY) is second()
+    alive = lambda batches: (second() is not None for _ in batches)
+    assert list(common.tidy(alive, model=True)([1])) == [True]
+    assert list(common.tidy(alive)([1])) == [False]
