@@ -67,6 +67,17 @@ def test_handlers_are_found_by_file_then_by_component(spark):
     assert {tuple(x) for x in graph.entries(functions).collect()} == {("m", "main", "main")}
 
 
+def test_calls_meet_their_own_candidates_only(spark, capsys):
+    rows = [(f"{f}{n}", "c", f"p{f}", n, None) for f in range(9) for n in ("go", "run")] + [("x", "c", "p0", "far", None), ("y", "d", "p0", "run", None)]
+    functions = spark.createDataFrame(rows, FUNCTION)
+    calls = [("0go", "c", "p0", "run"), ("0go", "c", "p0", "far"), ("1go", "c", "p1", "far"), ("x", "c", "p9", "run"), ("y", "d", "p1", "run"), ("y", "d", "p1", "go")]
+    edges = graph.resolved_calls(spark.createDataFrame(calls, "caller string, component string, path string, callee string"), functions)
+    assert {tuple(e) for e in edges.collect()} == {("0go", "0run"), ("0go", "x"), ("1go", "x"), ("y", "y")}
+    edges.explain("formatted")
+    met = [line for line in capsys.readouterr().out.splitlines() if line.startswith("Join condition")]
+    assert met and all(line.endswith(": None") for line in met)  # no pairs are made to be thrown away
+
+
 def test_reasons(spark):
     exposed = spark.createDataFrame([("x", "f", "e"), ("y", None, None), ("z", None, None), ("w", None, None), ("v", None, None)], "asset_id string, function_id string, entry string")
     paths = spark.createDataFrame([("f", "e → f")], "function_id string, path string")
