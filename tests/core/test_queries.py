@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from postura import estate
 from postura.plans import config, evidence, graphs, rules  # noqa: F401  these register their queries
 from postura.plans.registry import ORACLES, QUERIES
 
@@ -44,3 +45,21 @@ def test_equals_sql(spark, database, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+#: How often a query reads the lines at most: for the call graph, for the occurrences, and for links of dependencies.
+PASSES = {"call_resolution": 1, "reach_depth": 1, "backward_relevance": 1, "exposure": 2, "exposure_path": 2, "reachable_assets": 2, "graph_stats": 1, "graph_totals": 1, "exposed_priority": 2, "confirmed_liveness": 2}
+
+
+@pytest.mark.parametrize("name", PASSES)
+def test_lines_are_joined_once_for_each_use(spark, monkeypatch, name):
+    read, rows = estate.read, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(estate, "read", lambda s, d, table: read(s, d, table).mapInArrow(counted, read(s, d, table).schema) if table == "lineitem" else read(s, d, table))
+    QUERIES[name](spark, SF).count()
+    assert 0 < rows.value <= PASSES[name] * read(spark, SF, "lineitem").count()
