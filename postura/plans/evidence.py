@@ -347,5 +347,5 @@ def backward_relevance(spark, d):
     """Functions that lead to those named fn3."""
     from postura.operators import graph
 
-    fns = estate.functions(spark, d)
-    return graph.relevant(graph.resolved_calls(estate.calls(spark, d), fns), fns.where("name = 'fn3'"))
+    fns, calls = estate.call_graph(spark, d)
+    return graph.relevant(graph.resolved_calls(calls, fns), fns.where("name = 'fn3'"))
