@@ -141,9 +141,11 @@ def listener_for(places: DataFrame, listeners: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     by_path = listeners.groupBy("path").agg(F.min("listener_id").alias("by_path"))
     by_file = listeners.groupBy("component", F.col("served").alias("file")).agg(F.min("listener_id").alias("by_file"))
-    rows = places.withColumn("file", name).join(by_path, "path", "left").join(by_file, ["component", "file"], "left")
-    configured = F.when(F.col("surface").isin("config", "cloud"), F.col("by_path"))
-    return rows.groupBy("asset_id").agg(F.coalesce(F.min(configured), F.min("by_file")).alias("listener_id"))
+    none = F.lit(None).cast(listeners.schema["listener_id"].dataType)
+    configured = places.where(F.col("surface").isin("config", "cloud")).select("asset_id", "path").join(by_path, "path").select("asset_id", "by_path", none.alias("by_file"))
+    files = places.select("asset_id", "component", name.alias("file")).distinct()
+    presented = files.join(by_file, ["component", "file"], "left").select("asset_id", none.alias("by_path"), "by_file")
+    return configured.unionByName(presented).groupBy("asset_id").agg(F.coalesce(F.min("by_path"), F.min("by_file")).alias("listener_id"))
 
 
 def serving(places: DataFrame, listeners: DataFrame) -> DataFrame:
@@ -151,9 +153,10 @@ def serving(places: DataFrame, listeners: DataFrame) -> DataFrame:
 
     places and listeners as in listener_for(); at is the listener's own file. Of several listeners the least counts.
     """
-    own = listeners.select("listener_id", F.col("component").alias("l_component"), F.col("path").alias("at"), "served")
-    configured = places.where(F.col("surface").isin("config", "cloud")).join(own, F.col("path") == F.col("at")).select("asset_id", F.lit(0).alias("turn"), "listener_id", F.lit(None).cast("string").alias("file"), "at")
-    name = F.element_at(F.split("path", "/"), -1)
-    presented = places.join(own, (F.col("component") == F.col("l_component")) & (name == F.col("served"))).select("asset_id", F.lit(1).alias("turn"), "listener_id", F.col("served").alias("file"), "at")
+    by_path = listeners.groupBy("path").agg(F.min("listener_id").alias("listener_id"))
+    configured = places.where(F.col("surface").isin("config", "cloud")).select("asset_id", "path").join(by_path, "path").select("asset_id", F.lit(0).alias("turn"), "listener_id", F.lit(None).cast("string").alias("file"), F.col("path").alias("at"))
+    by_file = listeners.groupBy("component", F.col("served").alias("file")).agg(F.min(F.struct("listener_id", F.col("path").alias("at"))).alias("l"))
+    files = places.select("asset_id", "component", F.element_at(F.split("path", "/"), -1).alias("file")).distinct()
+    presented = files.join(by_file, ["component", "file"]).select("asset_id", F.lit(1).alias("turn"), "l.listener_id", "file", "l.at")
     first = configured.unionByName(presented).groupBy("asset_id").agg(F.min(F.struct("turn", "listener_id", "file", "at")).alias("s"))
     return first.select("asset_id", F.when(F.col("s.turn") == 0, "configured").otherwise("served").alias("via"), "s.file", F.col("s.listener_id").cast("string").alias("listener"), "s.at")
