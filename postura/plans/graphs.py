@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postura import estate
 from postura.operators import classify, evidence, graph, network, normalize
 from postura.plans import registry, sql
-from postura.plans.registry import EXPOSED, GRAPH, LIGHT, LINKS, exposed, graph_sql, occurrences, query
+from postura.plans.registry import EXPOSED, GRAPH, LIGHT, LINKS, exposed, graph_sql, query
 from postura.storage import written
 
 # registrations of handlers by name, from the suppliers
@@ -61,11 +61,10 @@ why AS (SELECT ex.asset_id, path.path, CASE WHEN path.path IS NOT NULL THEN 'rea
 @query("WITH RECURSIVE " + ",\n".join([sql.CATALOGUE, sql.OBS, sql.OCC, GRAPH]) + EXPOSED + TREE + " SELECT asset_id, path, exposure_reason FROM why")
 def exposure_path(spark, d):
     """The functions from the entry point to the best reached use of every asset, and why it is exposed."""
-    functions = estate.functions(spark, d)
-    reach = graph.reached(functions, graph.resolved_calls(estate.calls(spark, d), functions))
-    rows = written(occurrences(spark, d), "occurrences")
-    places = rows.select("asset_id", "component", "surface", "path").distinct()
-    served = evidence.serving(places, estate.listeners(spark, d))
+    functions, calls = estate.call_graph(spark, d)
+    reach = graph.reached(functions, graph.resolved_calls(calls, functions))
+    rows = registry.places(spark, d)
+    served = evidence.serving(rows.select("asset_id", "component", "surface", "path").distinct(), estate.listeners(spark, d))
     wire = rows.where("surface = 'runtime'").groupBy("asset_id").agg(F.min("path").alias("at"), F.min("alg_id").alias("token"))
     found = graph.exposure(rows, reach, served.select("asset_id", F.col("listener").alias("listener_id")))
     return graph.reasons(found, graph.paths(reach, functions), graph.entries(functions), served, wire)
@@ -74,11 +73,13 @@ def exposure_path(spark, d):
 @query(graph_sql(registry.REACH + """ SELECT (SELECT count(*) FROM fns) AS functions, (SELECT count(*) FROM fns WHERE entry_kind IS NOT NULL) AS entry_points, (SELECT count(*) FROM res WHERE n BETWEEN 1 AND 8) AS calls_resolved,
 (SELECT count(*) FROM res WHERE coalesce(n, 0) NOT BETWEEN 1 AND 8) AS calls_unresolved, (SELECT count(*) FROM d) AS reachable_functions""", recursive=True))
 def graph_totals(spark, d):
-    functions, calls = estate.functions(spark, d), estate.calls(spark, d)
+    functions, calls = estate.call_graph(spark, d)
+    calls = written(calls, "calls")
     known = calls.join(functions.select(F.col("function_id").alias("caller")), "caller", "left_semi")
-    reach = graph.reached(functions, graph.resolved_calls(calls, functions))
+    resolved = written(graph.resolution(calls, functions), "resolved")
+    reach = graph.reached(functions, graph.targets(resolved, functions).select("caller", "target").distinct())
     one = lambda df, c: df.agg(F.count("*").alias(c))  # noqa: E731  one row each
-    rows = one(functions, "functions").crossJoin(one(functions.where("entry_kind IS NOT NULL"), "entry_points")).crossJoin(one(graph.resolution(calls, functions), "calls_resolved"))
+    rows = one(functions, "functions").crossJoin(one(functions.where("entry_kind IS NOT NULL"), "entry_points")).crossJoin(one(resolved, "calls_resolved"))
     rows = rows.crossJoin(one(known, "known")).crossJoin(one(reach, "reachable_functions"))
     return rows.select("functions", "entry_points", "calls_resolved", (F.col("known") - F.col("calls_resolved")).alias("calls_unresolved"), "reachable_functions")
 
