@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postura import estate
-from postura.operators import classify, evidence, graph, network, normalize
+from postura.operators import evidence, graph, network, normalize
 from postura.plans import registry, sql
 from postura.plans.registry import EXPOSED, GRAPH, LIGHT, LINKS, exposed, graph_sql, query
 from postura.storage import written
@@ -116,12 +116,12 @@ def network_sql(select: str, recursive: bool = False) -> str:
 
 
 def parts(spark, d) -> dict:
-    functions, rows, catalogue = estate.functions(spark, d), estate.observations(spark, d), estate.catalogue(spark)
-    found = written(normalize.occurrences(normalize.expand_dependencies(rows, catalogue)), "occurrences")
-    assets = classify.classified(normalize.assets(found), classify.best(classify.scores(classify.evidence(found))))
+    functions, calls = estate.call_graph(spark, d)
+    catalogue = estate.catalogue(spark)
+    assets, found = registry.kinds(normalize.expand_dependencies(estate.observations(spark, d), catalogue))
     return {
-        "assets": assets, "functions": functions, "entries": graph.entries(functions), "libraries": estate.libraries(spark, d), "calls": graph.resolved_calls(estate.calls(spark, d), functions),
-        "uses": found.where("function_id IS NOT NULL").select("function_id", "asset_id").distinct(), "links": normalize.dependency_links(rows, catalogue),
+        "assets": assets, "functions": functions, "entries": graph.entries(functions), "libraries": estate.libraries(spark, d), "calls": graph.resolved_calls(calls, functions),
+        "uses": found.where("function_id IS NOT NULL").select("function_id", "asset_id"), "links": normalize.dependency_links(assets, catalogue),
     }
 
 
