@@ -234,12 +234,12 @@ SELECT component AS source, asset_id AS target, 'contains' AS kind FROM classifi
 UNION SELECT function_id, asset_id, 'uses' FROM occ WHERE function_id IS NOT NULL UNION SELECT asset_id, 'data/' || data_class || '/' || substr(sha256(data_class || '|' || asset_id), 1, 16), 'protects' FROM classified""")
 def graph_edges(spark, d):
     from postura.operators import graph, normalize
-    from postura.plans.registry import classified
+    from postura.plans.registry import kinds
     from postura.sinks import documents
 
-    rows = estate.observations(spark, d)
-    calls = graph.resolved_calls(estate.calls(spark, d), estate.functions(spark, d))
-    return documents.edges(classified(spark, d), normalize.dependency_links(rows, estate.catalogue(spark)), calls, normalize.occurrences(rows))
+    fns, calls = estate.call_graph(spark, d)
+    assets, found = kinds(estate.observations(spark, d))
+    return documents.edges(assets, normalize.dependency_links(assets, estate.catalogue(spark)), graph.resolved_calls(calls, fns), found)
 
 
 # --- certificates, protocols, key material

@@ -48,7 +48,7 @@ def test_gives_rows(spark, name):
 
 
 #: How often a query reads the lines at most: for the call graph, for the occurrences, and for links of dependencies.
-PASSES = {"call_resolution": 1, "reach_depth": 1, "backward_relevance": 1, "exposure": 2, "exposure_path": 2, "reachable_assets": 2, "graph_stats": 1, "graph_totals": 1, "exposed_priority": 2, "confirmed_liveness": 2}
+PASSES = {"call_resolution": 1, "reach_depth": 1, "backward_relevance": 1, "exposure": 2, "exposure_path": 2, "reachable_assets": 2, "graph_stats": 1, "graph_totals": 1, "exposed_priority": 2, "confirmed_liveness": 2, "graph_edges": 2, "graph_network": 2, "graph_integrity": 2, "asset_lineage": 2, "dependency_expand": 1}
 
 
 @pytest.mark.parametrize("name", PASSES)
