@@ -13,6 +13,7 @@ SEALS = {"pkcs11": ("pkcs11-token", "a PKCS#11 HSM"), "awskms": ("cloud-kms", "A
 SEAL_LABELS = ["key_label", "kms_key_id", "key_name", "crypto_key"]
 #: Lines after a seal's first one in which its label is looked for.
 SEAL_LINES = 30
+LINE_END = r"\r?\n"
 COLUMNS = ["path", "line", "rule_id", "custody", "material", "detail", "token", "key"]
 
 
@@ -77,22 +78,26 @@ def volumes(lines: DataFrame) -> DataFrame:
     return row(rows, rule, F.when(sealed, "tpm").otherwise("pkcs11-token"), "secret-key", detail, F.concat_ws(" ", "name", F.split_part("option", F.lit("="), F.lit(1))), F.concat(F.lit("luks:"), "name"))
 
 
-def seals(lines: DataFrame) -> DataFrame:
-    """What protects a vault's own keys; its label stands in one of the next lines, before the closing brace."""
+def seals(files: DataFrame) -> DataFrame:
+    """What protects a vault's own keys; its label stands in one of the next lines, before the closing brace.
+
+    A file's lines are at hand where it is split, so that each seal takes its next lines along and no join is made.
+    """
     provider = F.create_map(*(x for k, v in SEALS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("custody"), F.lit(v[1]).alias("name")))))
-    rows = lines.select("path", "line", F.regexp_extract("text", r'^\s*seal\s*"([^"]*)"', 1).alias("kind")).withColumn("p", provider[F.col("kind")]).where("p IS NOT NULL")
-    later = lines.select("path", F.col("line").alias("at"), F.trim("text").alias("next"))
-    near = rows.select("path", "line", F.explode(F.sequence(F.col("line") + 1, F.col("line") + SEAL_LINES)).alias("at")).join(later, ["path", "at"])
-    name, value = F.trim(F.regexp_extract("next", "^([^=]*)=(.*)$", 1)), F.regexp_replace(F.trim(F.regexp_extract("next", "^([^=]*)=(.*)$", 2)), '^"+|"+$', "")
-    found = near.groupBy("path", "line").agg(F.min(F.when(F.col("next") == "}", F.col("at"))).alias("end"), F.min(F.when(name.isin(SEAL_LABELS), F.struct("at", clipped(value).alias("label")))).alias("l"))
-    found = found.where("end IS NULL OR l.at < end").select("path", "line", "l.label")
-    rows = rows.join(found, ["path", "line"], "left")
+    opened = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, r'^\s*seal\s*"([^"]*)"', 1).alias("kind"))), lambda s: s["kind"].isin(*SEALS))
+    near = F.transform(opened, lambda s: F.struct(s["line"].cast("long").alias("line"), s["kind"].alias("kind"), F.transform(F.slice("lines", s["line"] + 1, F.lit(SEAL_LINES)), lambda x: F.trim(x)).alias("next")))
+    rows = files.where(F.contains("text", F.lit("seal"))).select("path", F.split("text", LINE_END).alias("lines")).select("path", F.explode(near).alias("s")).select("path", "s.*")
+    part = lambda x, i: F.regexp_extract(x, "^([^=]*)=(.*)$", i)
+    labels = F.filter(F.transform("next", lambda x, i: F.struct((i + 1).alias("at"), F.trim(part(x, 1)).alias("name"), x.alias("text"))), lambda s: s["name"].isin(*SEAL_LABELS))
+    rows = rows.withColumn("end", F.array_position("next", "}")).withColumn("l", F.try_element_at(labels, F.lit(1)))
+    value = clipped(F.regexp_replace(F.trim(part(F.col("l.text"), 2)), '^"+|"+$', ""))
+    rows = rows.select("path", "line", "kind", provider[F.col("kind")].alias("p"), F.when((F.col("end") == 0) | (F.col("l.at") < F.col("end")), value).alias("label"))
     detail = F.concat(F.lit("Vault seal key "), F.coalesce(F.concat(F.lit('"'), "label", F.lit('" ')), F.lit("")), F.lit("in "), F.col("p.name"))
     return row(rows, "config.custody.vault-seal", F.col("p.custody"), "secret-key", detail, F.concat(F.lit('seal "'), "kind", F.lit('"')), F.concat_ws(":", F.lit("vault-seal"), "kind", F.coalesce("label", F.lit(""))))
 
 
 def references(files: DataFrame) -> DataFrame:
     """(path, line, rule_id, custody, material, detail, token, key) of every reference in (path, text), each key once a line; comments hold none."""
-    lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line"), "text").where(~F.rlike("text", F.lit(r"^\s*(#|;|//)")))
-    found = reduce(DataFrame.unionByName, (f(lines) for f in (tokens, engines, handles, keystores, volumes, seals)))
+    lines = files.select("path", F.posexplode(F.split("text", LINE_END)).alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line"), "text").where(~F.rlike("text", F.lit(r"^\s*(#|;|//)")))
+    found = reduce(DataFrame.unionByName, [*(f(lines) for f in (tokens, engines, handles, keystores, volumes)), seals(files)])
     return found.groupBy("path", "line", "key").agg(F.min(F.struct("rule_id", "custody", "material", "detail", "token")).alias("r")).select("path", "line", "r.*", "key").select(COLUMNS)

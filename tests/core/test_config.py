@@ -115,3 +115,20 @@ def test_references_never_keep_a_pin(spark):
         ("a.conf", 7, "tpm", "private-key", "TPM2 persistent key handle 0x81000001"), ("a.conf", 8, "pkcs11-token", "private-key", "Java PKCS#11 keystore (key-store-type)"), ("a.conf", 10, "cloud-kms", "secret-key", 'Vault seal key "alias/v" in AWS KMS'),
         ("a.conf", 14, "pkcs11-token", "secret-key", "Vault seal key in a PKCS#11 HSM"), ("etc/crypttab", 2, "tpm", "secret-key", "LUKS volume key for root sealed to the TPM2"), ("etc/crypttab", 3, "pkcs11-token", "secret-key", "LUKS volume key for home unlocked by a PKCS#11 token"),
     }
+
+
+def test_seals_are_labelled_without_a_join(spark, capsys):
+    seal = lambda kind, *lines: "\n".join([f'seal "{kind}" {{', *lines])
+    far = ["  x = 1"] * 29
+    texts = {
+        "a": seal("awskms", "# }", '  # key_name = "no"', ' kms_key_id = "k1"', ' key_name = "k2"', "}"), "b": seal("pkcs11", "  }", 'key_label = "late"'), "c": seal("shamir", 'key_label = "no"'),
+        "d": seal("ocikms", *far, 'key_name = "thirtieth"'), "e": seal("ocikms", *far, "x = 2", 'key_name = "beyond"'), "f": seal("awskms", seal("pkcs11", 'key_label = "both"')),
+    }
+    found = custody.references(spark.createDataFrame([*texts.items(), ("g", None)], "path string, text string"))
+    got = sorted((r.path, r.line, r.key) for r in found.collect())
+    assert got == [
+        ("a", 1, "vault-seal:awskms:k1"), ("b", 1, "vault-seal:pkcs11:"), ("d", 1, "vault-seal:ocikms:thirtieth"), ("e", 1, "vault-seal:ocikms:"),
+        ("f", 1, "vault-seal:awskms:both"), ("f", 2, "vault-seal:pkcs11:both"),
+    ]
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
