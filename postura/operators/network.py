@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postura.storage import durable
+from postura.storage import written
 
 #: Edges on the way from an entry point to an asset, and from an asset on.
 UP, DOWN = ["exposes", "calls", "uses"], ["depends-on", "protects"]
@@ -76,16 +76,17 @@ def lineage(roots: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
 
     On side 'up' are the functions, callers and entry points that lead to it, on side 'down' what
     it depends on and protects. All roots are searched at once: the frontier is keyed by root and
-    node, each level is one join with the edges, and a node counts at its least depth.
+    node, each level is one join with the edges, and a node counts at its least depth. Edges are
+    read for each level, so they should be stored; levels are written as tables.
     """
     found = []
     for side, kinds, here, there in (("up", UP, "target", "source"), ("down", DOWN, "source", "target")):
-        hops = durable(edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("node"), F.col(there).alias("next")).distinct())
+        hops = edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("node"), F.col(there).alias("next"))
         level = roots.select("asset_id", F.col("asset_id").alias("node")).distinct()
         seen = [level]
         for depth in range(1, most + 1):
             step = level.join(hops, "node").select("asset_id", F.col("next").alias("node")).distinct()
-            level = durable(step.join(reduce(DataFrame.unionByName, seen), ["asset_id", "node"], "left_anti"))
+            level = written(step.join(reduce(DataFrame.unionByName, seen), ["asset_id", "node"], "left_anti"), f"{side}-{depth}")
             seen.append(level)
             found.append(level.select("asset_id", "node", F.lit(side).alias("side"), F.lit(depth).alias("depth")))
     return reduce(DataFrame.unionByName, found)

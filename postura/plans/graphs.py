@@ -155,4 +155,4 @@ SELECT asset_id, node, side, CAST(min(depth) AS INT) AS depth FROM (SELECT *, 'u
 def asset_lineage(spark, d):
     """What leads to each asset, and what it depends on and protects, within three edges; all assets are searched at once."""
     p = parts(spark, d)
-    return network.lineage(p["assets"], written(network.edges(**p), "edges"))
+    return network.lineage(p["assets"], written(network.edges(**p).where(F.col("kind").isin(network.UP + network.DOWN)), "edges"))
